@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -209,19 +208,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, b
     return found.groupBy("doc_id", "item_id").agg(best.alias("m")).select("doc_id", "item_id", "m.score", "m.first_word", "m.end_word")
 
 
+def _without_matches(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    @F.arrow_udf("boolean")
+    def clean(text: pa.Array) -> pa.Array:
+        ok = np.ones(len(text), bool)
+        for i, _, data, off in tv.byte_slices(pc.utf8_lower(tv.as_text(text))):
+            for t, *_ in matches(data, off, shared.value, threshold):
+                ok[i + t] = False
+        return pa.array(ok)
+
+    return docs.where(clean("text"))
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without a match, with all their columns; narrow passes only."""
     out = docs
     for items in _prepared(docs, benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        @F.pandas_udf("boolean")
-        def clean(text: pd.Series, shared=shared) -> pd.Series:
-            ok = np.ones(len(text), bool)
-            for i, _, data, off in tv.byte_slices(pc.utf8_lower(pa.array(text.fillna(""), pa.large_string()))):
-                for t, *_ in matches(data, off, shared.value, threshold):
-                    ok[i + t] = False
-            return pd.Series(ok)
-
-        out = out.where(clean("text"))
+        out = _without_matches(out, items, threshold)
     return out

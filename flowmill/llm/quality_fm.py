@@ -201,14 +201,13 @@ def keep_good(docs: DataFrame, machine: Machine) -> DataFrame:
     """The documents that the machine accepts (score >= 0.5), with all their columns, in one pass."""
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.linear, machine.factors))
 
-    @F.pandas_udf("boolean")
-    def accepted(text, n_chars):
+    @F.arrow_udf("boolean")
+    def accepted(text: pa.Array, n_chars: pa.Array) -> pa.Array:
         m, out = Machine(*shared.value), np.zeros(len(text), bool)
-        for i, j, data, off in tv.byte_slices(pa.array(text.fillna(""), pa.large_string())):
-            out[i:j] = raw_scores(m, *features(data, off, n_chars.to_numpy(np.float64)[i:j])) >= 0
-        import pandas as pd
-
-        return pd.Series(out)
+        chars = n_chars.to_numpy(zero_copy_only=False).astype(np.float64)
+        for i, j, data, off in tv.byte_slices(tv.as_text(text)):
+            out[i:j] = raw_scores(m, *features(data, off, chars[i:j])) >= 0
+        return pa.array(out)
 
     chars = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
     return docs.where(accepted(F.col("text"), chars.cast("double")))

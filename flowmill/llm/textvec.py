@@ -64,14 +64,18 @@ NON_SPACE = byte_class(lambda c: not (c == 0x20 or 9 <= c <= 13))
 ASCII_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 
 
-def text_array(batch: pa.RecordBatch, name: str) -> pa.Array:
-    """The text column, nulls as empty texts."""
-    col = batch.column(batch.schema.get_field_index(name))
+def as_text(col: pa.Array) -> pa.Array:
+    """A string column with 64-bit offsets, nulls as empty texts."""
     if not pa.types.is_large_string(col.type):
         col = col.cast(pa.large_string())
     return pc.fill_null(col, "")
 
 
+def text_array(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """The named text column, nulls as empty texts."""
+    return as_text(batch.column(batch.schema.get_field_index(name)))
+
+
 def byte_slices(arr: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows with at most `limit` bytes, or one row."""
     n = len(arr)
