@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import q_clean, q_evaluate, q_labels, q_models, q_prepare, q_profile, q_robust, q_runs, q_split  # noqa: F401
+from .catalog import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
