@@ -44,6 +44,17 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def only_columns(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns alone, so that extra columns can't clash with an operator's own names."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until none is a column of df (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def columns_of(df: DataFrame) -> list:
+    """df's columns by name, odd characters included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

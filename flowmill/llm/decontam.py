@@ -55,14 +55,14 @@ def grams(h: np.ndarray, row: np.ndarray, k: int = GRAM) -> tuple[np.ndarray, np
 class Items:
     """One block of the benchmark: words of each item, and seed -> (item, position) lists."""
 
-    ids: np.ndarray
+    ids: list
     words: list[np.ndarray]
     seed: np.ndarray  # sorted, with repeats
     seed_item: np.ndarray
     seed_at: np.ndarray
 
 
-def load_items(ids: np.ndarray, texts: list[str]) -> Items:
+def load_items(ids: list, texts: list[str]) -> Items:
     """All grams of a block's items as seeds."""
     arr = pc.utf8_lower(pa.array([t or "" for t in texts], pa.large_string()))
     words, seeds, items, at = [], [], [], []
@@ -77,7 +77,7 @@ def load_items(ids: np.ndarray, texts: list[str]) -> Items:
     seed = np.concatenate([np.zeros(0, np.uint64), *seeds])
     order = np.argsort(seed, kind="stable")
     whole = lambda x: np.concatenate([np.zeros(0, np.int64), *x])[order].astype(np.int64)
-    return Items(np.asarray(ids), words, seed[order], whole(items), whole(at))
+    return Items(ids, words, seed[order], whole(items), whole(at))
 
 
 def rare_seeds(items: Items, df: dict[int, int]) -> Items:
@@ -160,9 +160,9 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[Items]:
     sized = benchmark.select("item_id", "text").where("text is not null")
     n = int((sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // limit + 1)
     for k in range(n):
-        block = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toPandas()
-        if len(block):
-            yield load_items(block["item_id"].to_numpy(), list(block["text"]))
+        block = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toArrow()
+        if block.num_rows:
+            yield load_items(block.column("item_id").to_pylist(), block.column("text").to_pylist())
 
 
 def _prepared(docs: DataFrame, benchmark: DataFrame, limit: int) -> Iterator[Items]:
@@ -201,7 +201,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, b
                     if got:
                         t, k, score, first, end = zip(*got, strict=True)
                         ids = b.column(0).take(pa.array(np.array(t) + i))
-                        yield pa.RecordBatch.from_arrays([ids, pa.array(shared.value.ids[list(k)], pa.int64()), pa.array(score), pa.array(first, pa.int32()), pa.array(end, pa.int32())], ["doc_id", "item_id", "score", "first_word", "end_word"])
+                        yield pa.RecordBatch.from_arrays([ids, pa.array([shared.value.ids[x] for x in k], pa.int64()), pa.array(score), pa.array(first, pa.int32()), pa.array(end, pa.int32())], ["doc_id", "item_id", "score", "first_word", "end_word"])
 
         found = found.union(docs.select("doc_id", "text").mapInArrow(run, schema))
     best = F.max(F.struct("score", "first_word", "end_word"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side
+from .common import columns_of, fresh, materialize, small_side
 
 MAX_EPOCHS = 3
 SEED = 17
@@ -78,21 +78,24 @@ def plan(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> Dat
     return materialize(out, "mix-plan")
 
 
-def _with_copies(docs: DataFrame, mix: DataFrame, seed: int) -> DataFrame:
-    """docs with the plan's columns and _copies; the plan is broadcast if it is small, so rows keep their place."""
-    mix = small_side(mix.withColumnsRenamed({c: f"_{c}" for c in mix.columns}))
-    extra = F.when(_key(F.col("doc_id"), seed) <= F.col("_cut_key"), 1).otherwise(0)
-    return docs.join(mix, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_copies", F.col("_whole") + extra)
+def _with_copies(docs: DataFrame, mix: DataFrame, seed: int) -> tuple[DataFrame, dict[str, str]]:
+    """docs with the plan's columns and `copies`, and the names these have; the plan is broadcast if it
+    is small, so rows keep their place."""
+    names = dict(zip((*mix.columns, "copies"), fresh(docs, *(f"_{c}" for c in (*mix.columns, "copies"))), strict=True))
+    mix = small_side(mix.withColumnsRenamed(names))
+    extra = F.when(_key(F.col("doc_id"), seed) <= F.col(names["cut_key"]), 1).otherwise(0)
+    return docs.join(mix, F.col("source").eqNullSafe(F.col(names["source"]))).withColumn(names["copies"], F.col(names["whole"]) + extra), names
 
 
 def copies(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, n_copies): how often the mix takes each row."""
     narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    out = _with_copies(narrow, plan(docs, max_epochs, seed), seed)
-    return out.select("doc_id", "source", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_copies").alias("n_copies"))
+    out, name = _with_copies(narrow, plan(docs, max_epochs, seed), seed)
+    return out.select("doc_id", "source", "size", *[F.col(name[c]).alias(c) for c in ("source_size", "target")], F.col(name["copies"]).alias("n_copies"))
 
 
 def mixed(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """docs with each row repeated as often as the mix takes it, all columns kept."""
-    out = _with_copies(docs, plan(docs, max_epochs, seed), seed).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    out, name = _with_copies(docs, plan(docs, max_epochs, seed), seed)
+    n = F.col(name["copies"])
+    return out.where(n > 0).withColumn(name["copies"], F.explode(F.sequence(F.lit(1), n))).select(*columns_of(docs))

@@ -54,6 +54,11 @@ class Header:
     size: int
     samples: int
 
+    @property
+    def kind(self) -> tuple:
+        """What frames of one stream have in common."""
+        return self.version, self.layer, self.protected, self.sample_rate, self.mono
+
     @property
     def side_info(self) -> int:
         """Bytes of Layer III side information."""
@@ -174,10 +179,12 @@ def decode(data: bytes) -> Stream:
     if end - at >= 128 and bytes(buf[end - 128 : end - 125]) == b"TAG":
         out.tags["id3v1_genre"] = str(buf[end - 1])
         end -= 128
-    first = True
+    first, like = True, None
     while at + 4 <= end:
         h = parse_header(bytes(buf[at : at + 4]))
-        if h is None or at + h.size > end or (at + h.size + 4 <= end and parse_header(bytes(buf[at + h.size : at + h.size + 4])) is None):
+        # right after a frame a header of its kind is believed; else another one, or the end, must follow
+        if h is None or at + h.size > end or h.kind != like and at + h.size + 4 <= end and parse_header(bytes(buf[at + h.size : at + h.size + 4])) is None:
+            like = None
             nxt = data.find(b"\xff", at + 1, end)  # not in sync here: on to the next candidate
             nxt = end if nxt < 0 else nxt
             out.skipped += nxt - at
@@ -201,7 +208,7 @@ def decode(data: bytes) -> Stream:
             out.sample_rate = h.sample_rate
             out.frame_kinds[h.kbps] = out.frame_kinds.get(h.kbps, 0) + 1
             out.payload += buf[mark : mark + capacity(h)]
-        first = False
+        first, like = False, h.kind
         at += h.size
     out.skipped += max(0, end - at)
     return out
