@@ -1,22 +1,27 @@
-"""Linking items that share hash buckets, without all pairs of a bucket, and distributed union-find.
+"""Linking items that share hash buckets, and distributed union-find.
 
-A bucket's members are compared with a few pivots of it, round by round, so that a hot bucket costs
-rows in proportion to its members. A bucket is done when all members that weren't pivots lie in one
-component: every pair of different components that shares a bucket has then been compared, so no
-link between components is lost, and pairs inside a component need no comparison.
+A bucket's members are first compared with its pivot alone, so that a hot bucket costs rows in
+proportion to its members; pairs inside a component need no further comparison. Where a bucket still
+holds several components, its members are cut into blocks of bounded size, and each two blocks meet
+in a task that compares their members exactly and hands on a spanning forest of the links: no pairs
+are emitted, and no link between items that share a bucket is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small_side
 
-#: Pivots of an unfinished bucket in the second round; eight times as many in each one after.
-FIRST_PIVOTS = 8
+#: Members of a bucket that a block holds on average.
+BLOCK = 256
+#: Distinct elements that one matrix product covers.
+_COLUMNS = 8192
 
 
 def _grow(edges: DataFrame) -> DataFrame:
@@ -42,49 +47,129 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("id"), F.col("v").alias("component")).union(stars.select("v", "v").distinct())
 
 
-def _label(members: DataFrame, comps: DataFrame) -> DataFrame:
-    c = small_side(comps)
-    return members.join(c, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set in a with every set in b (sorted distinct integers)."""
+    out = np.zeros((len(a), len(b)))
+    if len(a) * len(b) <= 64:
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                out[i, j] = len(np.intersect1d(x, y, assume_unique=True))
+        return out
+    ra, rb = (np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (a, b))
+    ha, hb = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(ha, hb)  # sorted; elements of one side alone add nothing
+    ca, cb = np.searchsorted(both, ha), np.searchsorted(both, hb)
+    oka, okb = (np.minimum(c, len(both) - 1) if len(both) else c * 0 for c in (ca, cb))
+    if not len(both):
+        return out
+    oka, okb = both[oka] == ha, both[okb] == hb
+    ra, ca, rb, cb = ra[oka], ca[oka], rb[okb], cb[okb]
+    for lo in range(0, len(both), _COLUMNS):
+        n = min(_COLUMNS, len(both) - lo)
+        m = []
+        for rows, cols, k in ((ra, ca, len(a)), (rb, cb, len(b))):
+            here = (cols >= lo) & (cols < lo + n)
+            x = np.zeros((k, n), np.float32)
+            x[rows[here], cols[here] - lo] = 1
+            m.append(x)
+        out += m[0] @ m[1].T
+    return out
 
 
-def link_buckets(members: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Components and links of items that share a bucket.
+def _forest(ids: np.ndarray, comps: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[int]:
+    """Numbers of those links left[i]-right[i] (row numbers) that join components not yet joined."""
+    parent: dict[int, int] = {}
 
-    members: (bucket long, id long), repeated rows allowed. linked: of candidate pairs (a, b),
-    a < b, returns those that belong together. Result: (id, component) for ids with a link, and
-    the verified links (a, b) that were needed to tell the components.
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    out = []
+    for i, (x, y) in enumerate(zip(left, right, strict=True)):
+        a, b = root(int(comps[x])), root(int(comps[y]))
+        if a != b:
+            parent[b] = a
+            out.append(i)
+    return out
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], threshold: float, weighted) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, lo, hi, block, id, component, items, weights) in order of (bucket, lo, hi), to links.
+    weighted: similarity of two (items, weights), for pairs whose weights aren't all one; or None."""
+    key, group = None, []
+
+    def links(group: list[tuple]) -> tuple[list[int], list[int]]:
+        lo = key[1]
+        a = [k for k, g in enumerate(group) if g[0] == lo]
+        b = a if key[1] == key[2] else [k for k, g in enumerate(group) if g[0] != lo]
+        ids, comps = np.array([g[1] for g in group]), np.array([g[2] for g in group])
+        if not a or not b:
+            return [], []
+        sets, n = [g[3] for g in group], np.array([len(g[3]) for g in group], float)
+        common = overlaps([sets[k] for k in a], [sets[k] for k in b])
+        at, bt = np.array(a), np.array(b)
+        apart = comps[at][:, None] != comps[bt][None, :]
+        union = n[at][:, None] + n[bt][None, :] - common
+        hit = apart & (common >= threshold * union) & (union > 0)
+        if weighted is not None:
+            uneven = np.array([bool(len(g[4]) and g[4].max() != 1.0) for g in group])
+            for i, j in np.argwhere(apart & ~hit & (common > 0) & (uneven[at][:, None] | uneven[bt][None, :])):
+                hit[i, j] = weighted((sets[a[i]], group[a[i]][4]), (sets[b[j]], group[b[j]][4])) >= threshold
+        i, j = np.nonzero(hit)
+        left, right = at[i], bt[j]
+        keep = _forest(ids, comps, left, right)
+        return ids[left[keep]].tolist(), ids[right[keep]].tolist()
+
+    def out(pairs: tuple[list[int], list[int]]) -> pa.RecordBatch:
+        lo, hi = np.minimum(*map(np.array, pairs)), np.maximum(*map(np.array, pairs))
+        return pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True))
+        block, ids, comps = (batch.column(k).to_numpy() for k in (3, 4, 5))
+        cut, values = batch.column(6).offsets.to_numpy(), batch.column(6).values.to_numpy()
+        weights = batch.column(7).values.to_numpy(zero_copy_only=False)
+        for r, k in enumerate(keys):
+            if k != key:
+                if len(group) > 1 and (got := links(group))[0]:
+                    yield out(got)
+                key, group = k, []
+            s = slice(cut[r], cut[r + 1])
+            group.append((block[r], ids[r], comps[r], values[s].copy(), weights[s].copy() if weighted is not None else None))
+    if len(group) > 1 and (got := links(group))[0]:
+        yield out(got)
+
+
+def link_buckets(members: DataFrame, linked: Callable[[DataFrame], DataFrame], items: Callable[[DataFrame], DataFrame], threshold: float, weighted=None) -> DataFrame:
+    """(id, component) of items with a link, among items that share a bucket.
+
+    members: (bucket long, id long), repeated rows allowed. linked: of candidate pairs (a, b), a < b,
+    returns those that belong together. items: of (id), returns (id, items array<long> sorted and
+    distinct, weights array<double>); weighted: see _block_links.
     """
     least = members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("_top")).where("pivot < _top").select("bucket", "pivot")
     pivots = materialize(least, "pivots")
     live = materialize(members.join(small_side(pivots), "bucket"), "bucket-members")
-    pairs = live.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    seen = pairs = materialize(pairs, "pairs")
+    pairs = materialize(live.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = materialize(linked(pairs), "links")
     comps = materialize(connected_components(links), "components")
     # pivots have met every member of their buckets
     rest = live.where("id <> pivot").select("bucket", "id").distinct()
-    width = FIRST_PIVOTS
-    while True:
-        tagged = _label(rest, comps)
-        mixed = tagged.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("bucket")
-        mixed = materialize(mixed, "mixed-buckets")
-        if not mixed.limit(1).count():
-            return comps, links
-        open_ = materialize(tagged.join(small_side(mixed), "bucket"), "open-members")
-        sizes = open_.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("_m"), (F.sum("n") - F.max("n")).alias("_others"))
-        main = materialize(main.select("bucket", F.col("_m.component").alias("_main"), "_others"), "main-components")
-        # about `width` pivots a bucket, by hash, from outside its largest component; all where they are few
-        chance = F.pmod(F.xxhash64("bucket", "id", F.lit(width)), F.lit(1 << 20)) * F.greatest("_others", F.lit(1))
-        aside = open_.join(small_side(main), "bucket").where("component <> _main")
-        picked = aside.where((F.col("_others") <= 2 * width) | (chance < width * (1 << 20)))
-        picked = materialize(picked.select("bucket", F.col("id").alias("pivot"), F.col("component").alias("_c")), "picked")
-        pairs = open_.join(small_side(picked), "bucket").where("component <> _c and id <> pivot")
-        pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        pairs = materialize(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        seen = seen.union(pairs)
-        links = links.union(materialize(linked(pairs), "links"))
-        comps = materialize(connected_components(links), "components")
-        done = picked.select("bucket", F.col("pivot").alias("id"))
-        rest = materialize(open_.select("bucket", "id").join(small_side(done), ["bucket", "id"], "left_anti"), "rest")
-        width *= 8
+    tagged = rest.join(small_side(comps), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = tagged.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_n")).where("_lo < _hi")
+    mixed = materialize(mixed.select("bucket", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")), "mixed-buckets")
+    if not mixed.limit(1).count():
+        return comps
+    open_ = materialize(tagged.join(small_side(mixed), "bucket"), "open-members")
+    own = materialize(items(open_.select("id").distinct()), "open-items")
+    block = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
+    met = open_.withColumn("block", block).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    met = met.select("bucket", F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "block", "id", "component")
+    met = met.join(own, "id").select("bucket", "lo", "hi", "block", "id", "component", "items", "weights")
+    # a fixed number: few bytes may be much work, so small partitions must not be merged
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "block")
+    more = met.mapInArrow(lambda it: _block_links(it, threshold, weighted), "a long, b long").distinct()
+    links = links.union(materialize(more, "block-links"))
+    return materialize(connected_components(links), "components")

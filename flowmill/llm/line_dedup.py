@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import materialize, small_side
+from .common import columns_of, fresh, materialize, small_side
 from .components import link_buckets
 from .near_dedup import band_keys
 
@@ -122,15 +122,23 @@ def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(tv.signed(key), pa.int64()), pa.array([raw[at[k] : at[k + 1]] for k in pick], pa.binary())], ["key", "norm"])
 
 
+def _sets(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, sorted shingles, their number a row) of normal forms, slice by slice."""
+    for i, j, data, off in tv.byte_slices(col.cast(pa.large_binary())):
+        h, line, _ = tv.unique_counts(*char_shingles(data, off))
+        order = np.lexsort((tv.signed(h), line))
+        yield i, j, tv.signed(h)[order], np.bincount(line, minlength=j - i)
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i, j, values, lens in _sets(b.column(1)):
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), tv.list_column(values, lens, pa.int64()), tv.list_column(np.zeros(0), lens * 0, pa.float64())], ["id", "items", "weights"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def sets(col: pa.Array) -> list[np.ndarray]:
-        out = []
-        for i, j, data, off in tv.byte_slices(col.cast(pa.large_binary())):
-            h, line = char_shingles(data, off)
-            h, line, _ = tv.unique_counts(h, line)
-            cut = np.searchsorted(line, np.arange(j - i + 1))
-            out += [h[cut[k] : cut[k + 1]] for k in range(j - i)]
-        return out
+        return [x for _, _, values, lens in _sets(col) for x in np.split(values, np.cumsum(lens)[:-1])]
 
     for b in batches:
         ok = []
@@ -145,14 +153,22 @@ def line_classes(docs: DataFrame) -> DataFrame:
     found = materialize(docs.select("doc_id", "text").mapInArrow(_lines, "doc_id long, line_no int, key long, bands array<long>"), "lines")
     members = found.select(F.explode("bands").alias("bucket"), F.col("key").alias("id"))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        ids = materialize(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "pair-lines")
+    def texts_of(keys: DataFrame) -> DataFrame:
+        """One normal form of each key."""
         texts = docs.select("text").mapInArrow(_line_texts, "key long, norm binary")
-        texts = materialize(texts.join(small_side(ids), "key", "left_semi").dropDuplicates(["key"]), "pair-texts")
+        return texts.join(small_side(keys), "key", "left_semi").dropDuplicates(["key"])
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        keys = materialize(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "pair-lines")
+        texts = materialize(texts_of(keys), "pair-texts")
         a, b = (texts.select(F.col("key").alias(x), F.col("norm").alias(f"norm_{x}")) for x in "ab")
         return pairs.join(a, "a").join(b, "b").select("a", "b", "norm_a", "norm_b").mapInArrow(_verify, "a long, b long")
 
-    comps, _ = link_buckets(members, linked)
+    def items(keys: DataFrame) -> DataFrame:
+        texts = texts_of(materialize(keys.withColumnRenamed("id", "key"), "open-lines"))
+        return texts.mapInArrow(_items, "id long, items array<long>, weights array<double>")
+
+    comps = link_buckets(members, linked, items, THRESHOLD)
     worded = found.where("key is not null").select("doc_id", "line_no", "key")
     lines = worded.join(small_side(comps), F.col("key") == F.col("id"), "left").select("doc_id", "line_no", F.coalesce("component", "key").alias("node"))
     lines = materialize(lines, "line-nodes")
@@ -170,9 +186,11 @@ def line_classes(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """docs with the removed lines taken out of their texts (all columns kept)."""
-    gone = (classes if classes is not None else line_classes(docs)).where("not keep and doc_id is not null").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(small_side(materialize(gone, "removed-lines")), "doc_id", "left")
+    lost = (classes if classes is not None else line_classes(docs)).where("not keep and doc_id is not null")
+    (gone,) = fresh(docs, "_gone")
+    per_doc = materialize(lost.groupBy("doc_id").agg(F.collect_set("line_no").alias(gone)), "removed-lines")
+    joined = docs.join(small_side(per_doc), "doc_id", "left")
     numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    rest = F.filter(numbered, lambda s: ~F.array_contains("_gone", s["i"]))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(rest, lambda s: s["x"]), "\n"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    rest = F.filter(numbered, lambda s: ~F.array_contains(gone, s["i"]))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(rest, lambda s: s["x"]), "\n"))
+    return joined.withColumn("text", text).select(*columns_of(docs))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import materialize, small_side
+from .common import columns_of, fresh, materialize, small_side
 from .components import link_buckets
 
 SHINGLE = 5
@@ -128,6 +128,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(ok)) for k in (0, 1)], ["a", "b"])
 
 
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, items, weights): sorted shingles of whole texts, as signed integers."""
+    for b in batches:
+        for i, j, data, off in tv.byte_slices(pc.utf8_lower(tv.text_array(b, "text"))):
+            h, row, w = weighted_shingles(data, off)
+            order = np.lexsort((tv.signed(h), row))
+            lens = np.bincount(row, minlength=j - i)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), tv.list_column(tv.signed(h)[order], lens, pa.int64()), tv.list_column(w[order], lens, pa.float64())], ["id", "items", "weights"])
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) of every row."""
     # md5 names a text; null and wordless texts never meet another in a bucket
@@ -138,14 +148,21 @@ def classes(docs: DataFrame) -> DataFrame:
     members = reps.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"))
     texts = docs.select("doc_id", "text")
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """One text of each id."""
+        return texts.join(small_side(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
     def linked(pairs: DataFrame) -> DataFrame:
         ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
-        own = texts.join(small_side(ids), "doc_id", "left_semi")
-        own = materialize(own.join(small_side(reps.select(F.col("rep").alias("doc_id")).join(small_side(ids), "doc_id", "left_semi")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "pair-texts")
+        own = materialize(texts_of(ids), "pair-texts")
         a, b = (own.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
-    comps, _ = link_buckets(members, linked)
+    def items(ids: DataFrame) -> DataFrame:
+        own = texts_of(materialize(ids.withColumnRenamed("id", "doc_id"), "open-ids"))
+        return own.mapInArrow(_items, "id long, items array<long>, weights array<double>")
+
+    comps = link_buckets(members, linked, items, THRESHOLD, similarity)
     named_reps = reps.select("fp", "rep").join(small_side(comps), F.col("rep") == F.col("id"), "left").select("fp", F.coalesce("component", "rep").alias("_class"))
     out = found.where("fp is not null").select("doc_id", "fp").join(named_reps, "fp", "left")
     out = out.unionByName(found.where("fp is null").select("doc_id", "fp", F.lit(None).cast("long").alias("_class")))
@@ -156,9 +173,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class (that with the smallest doc_id), with all its columns; rows with a
     null doc_id stay. Of rows with one doc_id one stays."""
     named = materialize(classes(docs), "classes")
-    per_id = named.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.when(F.col("class_id") != F.col("doc_id"), 1).otherwise(0)).alias("_gone"), F.count("*").alias("_n"))
-    odd = small_side(materialize(per_id.where("_gone = 1 or _n > 1"), "removed"))
+    gone, n = fresh(docs, "_gone", "_n")
+    other = F.when(F.col("class_id") != F.col("doc_id"), 1).otherwise(0)
+    per_id = named.where("doc_id is not null").groupBy("doc_id").agg(F.min(other).alias(gone), F.count("*").alias(n))
+    odd = small_side(materialize(per_id.where((F.col(gone) == 1) | (F.col(n) > 1)), "removed"))
     joined = docs.join(odd, "doc_id", "left")
-    single = joined.where("_gone is null").select(*docs.columns)
-    repeated = joined.where("_gone = 0").select(*docs.columns).dropDuplicates(["doc_id"])
+    single = joined.where(F.col(gone).isNull()).select(*columns_of(docs))
+    repeated = joined.where(F.col(gone) == 0).select(*columns_of(docs)).dropDuplicates(["doc_id"])
     return single.unionByName(repeated)
