@@ -44,9 +44,11 @@ def _(spark, d):
 @query("sample_cache")
 def _(spark, d):
     """A sized sample written under its size and read back; its row count must match."""
-    path = captures.scratch_path(spark, "sample-1k")
-    S.nested_sample(clean(spark, d), "label", "row_id", 1000, 5).write.parquet(path)
-    return bundles.require_rows(spark.read.parquet(path), 1000).groupBy("label").agg(F.count("*").alias("n"))
+    c = clean(spark, d)
+    size = c.count() // 2
+    path = captures.scratch_path(spark, f"sample-{size}")
+    S.nested_sample(c, "label", "row_id", size, 5).write.parquet(path)
+    return bundles.require_rows(spark.read.parquet(path), size).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("result_sinks")
