@@ -16,10 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side
+from . import textvec as tv
+from .common import BROADCAST_ROWS, materialize, small_side
 
 #: Members of a bucket that a block holds on average.
 BLOCK = 256
+#: Bits (as a power of two) of the bitmap of buckets with several members: 8 MB.
+FILTER_BITS = 26
 #: Distinct elements that one matrix product covers.
 _COLUMNS = 8192
 
@@ -48,7 +51,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of every set in a with every set in b (sorted distinct integers)."""
+    """Sizes of the intersections of every set in a with every set in b (distinct integers)."""
     out = np.zeros((len(a), len(b)))
     if len(a) * len(b) <= 64:
         for i, x in enumerate(a):
@@ -57,7 +60,7 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         return out
     ra, rb = (np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (a, b))
     ha, hb = np.concatenate(a), np.concatenate(b)
-    both = np.intersect1d(ha, hb)  # sorted; elements of one side alone add nothing
+    both = np.intersect1d(tv.distinct(ha), tv.distinct(hb), assume_unique=True)  # elements of one side alone add nothing
     ca, cb = np.searchsorted(both, ha), np.searchsorted(both, hb)
     oka, okb = (np.minimum(c, len(both) - 1) if len(both) else c * 0 for c in (ca, cb))
     if not len(both):
@@ -141,16 +144,36 @@ def _block_links(batches: Iterator[pa.RecordBatch], threshold: float, weighted)
         yield out(got)
 
 
+def _possible(pivots: DataFrame):
+    """A test whether a bucket may be among those of `pivots`: a bitmap of fixed size, folded by Spark to
+    at most 2**(FILTER_BITS - 6) words. It never misses one, and lets most others go before the shuffle."""
+    at = f"bucket & {(1 << FILTER_BITS) - 1}"
+    folded = pivots.selectExpr(f"shiftright({at}, 6) as w", "shiftleft(1L, cast(bucket & 63 as int)) as b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    bits[folded.column("w").to_numpy()] = folded.column("b").to_numpy().view(np.uint64)
+    shared = pivots.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def may(bucket: pa.Array) -> pa.Array:
+        x = bucket.to_numpy().view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+        return pa.array((shared.value[x >> np.uint64(6)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool))
+
+    return may("bucket")
+
+
 def link_buckets(members: DataFrame, linked: Callable[[DataFrame], DataFrame], items: Callable[[DataFrame], DataFrame], threshold: float, weighted=None) -> DataFrame:
     """(id, component) of items with a link, among items that share a bucket.
 
     members: (bucket long, id long), repeated rows allowed. linked: of candidate pairs (a, b), a < b,
-    returns those that belong together. items: of (id), returns (id, items array<long> sorted and
+    returns those that belong together. items: of (id), returns (id, items array<long>, all
     distinct, weights array<double>); weighted: see _block_links.
     """
     least = members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("_top")).where("pivot < _top").select("bucket", "pivot")
     pivots = materialize(least, "pivots")
-    live = materialize(members.join(small_side(pivots), "bucket"), "bucket-members")
+    few = pivots.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # most buckets have one member: beyond the broadcast's bound these go before the shuffle
+    known = members.join(F.broadcast(pivots), "bucket") if few else members.where(_possible(pivots)).join(pivots, "bucket")
+    live = materialize(known, "bucket-members")
     pairs = materialize(live.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = materialize(linked(pairs), "links")
     comps = materialize(connected_components(links), "components")

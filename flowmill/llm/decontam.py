@@ -178,7 +178,7 @@ def _prepared(docs: DataFrame, benchmark: DataFrame, limit: int) -> Iterator[Ite
                     g, at = grams(h, row)
                     k = np.minimum(np.searchsorted(known.value, g), len(total) - 1)
                     hit = known.value[k] == g
-                    total += np.bincount(np.unique(row[at[hit]] * len(total) + k[hit]) % len(total), minlength=len(total))
+                    total += np.bincount(tv.distinct(row[at[hit]] * len(total) + k[hit]) % len(total), minlength=len(total))
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(tv.signed(known.value[some])), pa.array(total[some])], ["g", "n"])
 

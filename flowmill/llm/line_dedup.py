@@ -34,7 +34,13 @@ THRESHOLD = 0.8
 BANDS, ROWS = 14, 5
 REGISTERS = BANDS * ROWS
 _SLICE = 1 << 18
+#: Line keys up to which they are broadcast to find their texts (a long each); beyond it the texts shuffle.
+PAIR_KEYS = 1_000_000
+#: Distinct keys that a task remembers.
+_SEEN = 1 << 20
 _EMPTY = np.uint32(0xFFFFFFFF)
+#: A random value for each character of the basic plane; others add their plane's.
+_CHAR = tv.mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(7))
 
 
 def line_table(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -48,37 +54,50 @@ def line_table(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     rows, begins = rows[order], begins[order]
     number = np.arange(len(rows)) - np.searchsorted(rows, rows, "left")
     bounds = np.append(begins, len(data))
-    s, e, line = tv.words(data, bounds, tv.ALNUM)
-    keep = tv.ALNUM[data]
-    inner = np.flatnonzero(line[1:] == line[:-1]) if len(line) else np.zeros(0, np.int64)
-    keep[e[inner]] = True  # one separator after each word but a line's last
-    flat = np.where(tv.ALNUM[data], data, 32)[keep].astype(np.uint8)
-    at = np.concatenate([[0], np.cumsum(keep)])[bounds]
-    return rows, number, flat, at, np.bincount(line, minlength=len(rows)) > 0
+    inside = tv.ALNUM[data]
+    s, e, line = tv.runs(inside, bounds)
+    n_words = np.bincount(line, minlength=len(rows))
+    sizes = np.bincount(line, weights=e - s, minlength=len(rows)).astype(np.int64) + np.maximum(n_words - 1, 0)
+    between = np.zeros(len(data), bool)
+    between[e[np.flatnonzero(line[1:] == line[:-1])] if len(line) else []] = True  # one separator after each word but a line's last
+    flat = np.where(between, np.uint8(32), data)[inside | between]
+    return rows, number, flat, np.concatenate([[0], np.cumsum(sizes)]), n_words > 0
 
 
 def char_shingles(flat: np.ndarray, at: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of k characters in a row of each line, and their lines."""
-    cp = np.frombuffer(flat.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    at = np.concatenate([[0], np.cumsum((flat & 0xC0) != 0x80)])[at]
-    pw, inv = tv._power_tables(len(cp) + 1)
+    if len(flat) and flat.max() >= 128:
+        cp = np.frombuffer(flat.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        at = np.concatenate([[0], np.cumsum((flat & 0xC0) != 0x80)])[at]
+        value = _CHAR[cp & 0xFFFF]
+        if len(cp) and cp.max() >> 16:
+            value = value + (cp >> 16).astype(np.uint64) * tv.salt(400)
+    else:
+        value = _CHAR[flat]
+    n = len(value)
+    pw, inv = tv._power_tables(n + 1)
     lens = np.diff(at)
-    line = np.repeat(np.arange(len(lens)), lens)
-    starts = np.arange(len(cp))
-    ends = np.minimum(starts + k, at[1:][line])
-    keep = (ends - starts == k) | (starts == at[:-1][line])
-    starts, ends, line = starts[keep], ends[keep], line[keep]
+    line = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
+    # whole shingles everywhere but at the last k - 1 characters of a line; a short line's first character stands for it
+    keep = np.ones(n, bool)
+    tail = at[1:, None] - np.arange(1, k)[None, :]
+    keep[tail[tail >= at[:-1, None]]] = False
+    keep[at[:-1][lens > 0]] = True
     with np.errstate(over="ignore"):
-        pre = np.zeros(len(cp) + 1, np.uint64)
-        np.cumsum(tv.mix(cp.astype(np.uint64) + np.uint64(7)) * pw[: len(cp)], out=pre[1:])
-        return tv.mix((pre[ends] - pre[starts]) * inv[starts]), line
+        pre = np.zeros(n + k, np.uint64)
+        np.cumsum(value * pw[:n], out=pre[1 : n + 1])
+        pre[n + 1 :] = pre[n]
+        h = (pre[k:] - pre[:n]) * inv[:n]
+        short = np.flatnonzero((lens > 0) & (lens < k))
+        h[at[:-1][short]] = (pre[at[1:][short]] - pre[at[:-1][short]]) * inv[at[:-1][short]]
+    return tv.scatter(h[keep]), line[keep]
 
 
 def signatures(h: np.ndarray, line: np.ndarray, n: int, m: int = REGISTERS) -> np.ndarray:
     """One-permutation MinHash; an empty register takes the next full one's value plus its distance."""
     sig = np.full(n * m, _EMPTY, np.uint32)
     register = ((h >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-    np.minimum.at(sig, line * m + register, np.minimum(h & np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFE)).astype(np.uint32))
+    np.minimum.at(sig, line * m + register, h.astype(np.uint32))  # the low half; a value like _EMPTY's is no loss
     sig = sig.reshape(n, m)
     twice = np.concatenate([sig, sig], 1)
     where = np.where(twice == _EMPTY, 4 * m, np.arange(2 * m))
@@ -89,45 +108,39 @@ def signatures(h: np.ndarray, line: np.ndarray, n: int, m: int = REGISTERS) -> n
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, line_no, key, bands): bands only where the partition meets a key for the first time."""
-    seen = np.zeros(0, np.uint64)
+    """(doc_id, line_no, key, bands, norm): the last two only where the partition meets a key for the first time."""
+    seen: set[int] = set()
     for b in batches:
         for i, j, data, off in tv.byte_slices(pc.utf8_lower(tv.text_array(b, "text")), _SLICE):
             rows, number, flat, at, full = line_table(data, off)
             key = np.zeros(len(rows), np.uint64)
             key[full] = tv.span_hashes(flat, at[:-1][full], at[1:][full])
-            _, first = np.unique(key, return_index=True)
             fresh = np.zeros(len(rows), bool)
-            fresh[first] = True
-            fresh &= full & ~np.isin(key, seen)
-            seen = np.concatenate([seen, key[fresh]]) if len(seen) < 1 << 20 else key[fresh]
-            h, line = char_shingles(flat, at)
-            use = fresh[line]
-            rank = np.cumsum(fresh) - 1
-            keys = band_keys(signatures(h[use], rank[line[use]], int(fresh.sum())), BANDS, ROWS)
+            for k, x in enumerate(key.tolist()):
+                if x not in seen and full[k]:
+                    seen.add(x)
+                    fresh[k] = True
+            if len(seen) > _SEEN:
+                seen.clear()  # a key may then come twice, which only costs rows
+            lens = np.where(fresh, np.diff(at), 0)
+            norm = flat[np.repeat(fresh, np.diff(at))]
+            begins = np.concatenate([[0], np.cumsum(lens)])
+            h, line = char_shingles(norm, np.append(begins[:-1][fresh], len(norm)))
+            keys = band_keys(signatures(h, line, int(fresh.sum())), BANDS, ROWS)
+            norms = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(begins), pa.py_buffer(norm)])
             ids = b.column(0).slice(i, j - i).take(pa.array(rows))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(number, pa.int32()), pa.array(tv.signed(key), pa.int64(), mask=~full), tv.list_column(tv.signed(keys.ravel()), np.where(fresh, BANDS, 0), pa.int64())],
-                ["doc_id", "line_no", "key", "bands"],
+                [ids, pa.array(number, pa.int32()), pa.array(tv.signed(key), pa.int64(), mask=~full), tv.list_column(tv.signed(keys.ravel()), np.where(fresh, BANDS, 0), pa.int64()), norms.cast(pa.binary())],
+                ["doc_id", "line_no", "key", "bands", "norm"],
             )
 
 
-def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for _, _, data, off in tv.byte_slices(pc.utf8_lower(tv.text_array(b, "text")), _SLICE):
-            _, _, flat, at, full = line_table(data, off)
-            key = tv.span_hashes(flat, at[:-1][full], at[1:][full])
-            key, first = np.unique(key, return_index=True)
-            raw, pick = flat.tobytes(), np.flatnonzero(full)[first]
-            yield pa.RecordBatch.from_arrays([pa.array(tv.signed(key), pa.int64()), pa.array([raw[at[k] : at[k + 1]] for k in pick], pa.binary())], ["key", "norm"])
-
-
 def _sets(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, sorted shingles, their number a row) of normal forms, slice by slice."""
+    """(first row, end row, distinct shingles, their number a row) of normal forms, slice by slice."""
     for i, j, data, off in tv.byte_slices(col.cast(pa.large_binary())):
-        h, line, _ = tv.unique_counts(*char_shingles(data, off))
-        order = np.lexsort((tv.signed(h), line))
-        yield i, j, tv.signed(h)[order], np.bincount(line, minlength=j - i)
+        h, line = char_shingles(data, off)
+        h, line, _ = tv.unique_counts(h, line)
+        yield i, j, tv.signed(h), np.bincount(line, minlength=j - i)
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,37 +149,46 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), tv.list_column(values, lens, pa.int64()), tv.list_column(np.zeros(0), lens * 0, pa.float64())], ["id", "items", "weights"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def sets(col: pa.Array) -> list[np.ndarray]:
-        return [x for _, _, values, lens in _sets(col) for x in np.split(values, np.cumsum(lens)[:-1])]
+def _pair_sets(col: pa.Array) -> np.ndarray:
+    """Distinct (row, shingle) keys of normal forms, sorted: 20 bits of row, 44 of the shingle's hash."""
+    out = [np.zeros(0, np.uint64)]
+    for i, _, data, off in tv.byte_slices(col.cast(pa.large_binary())):
+        h, line = char_shingles(data, off)
+        out.append(tv.distinct((line.astype(np.uint64) + np.uint64(i)) << np.uint64(44) | h >> np.uint64(20)))
+    return np.concatenate(out)
+
 
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, norm_a, norm_b) whose exact Jaccard similarity reaches the threshold."""
     for b in batches:
-        ok = []
-        for x, y in zip(sets(b.column(2)), sets(b.column(3)), strict=True):
-            common = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= THRESHOLD * max(len(x), len(y)) else 0
-            ok.append(common >= THRESHOLD * (len(x) + len(y) - common))
-        yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(ok, pa.bool_())) for k in (0, 1)], ["a", "b"])
+        for at in range(0, b.num_rows, 1 << 12):
+            part = b.slice(at, 1 << 12)
+            x, y = _pair_sets(part.column(2)), _pair_sets(part.column(3))
+            both = np.sort(np.concatenate([x, y]), kind="stable")
+            rows = lambda k: np.bincount((k >> np.uint64(44)).astype(np.int64), minlength=part.num_rows)  # noqa: B023, E731
+            common = rows(both[1:][both[1:] == both[:-1]])
+            ok = pa.array(common >= THRESHOLD * (rows(x) + rows(y) - common))
+            yield pa.RecordBatch.from_arrays([part.column(k).filter(ok) for k in (0, 1)], ["a", "b"])
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, class_doc_id, class_line_no, keep) of every line; the class is its first line."""
-    found = materialize(docs.select("doc_id", "text").mapInArrow(_lines, "doc_id long, line_no int, key long, bands array<long>"), "lines")
+    found = materialize(docs.select("doc_id", "text").mapInArrow(_lines, "doc_id long, line_no int, key long, bands array<long>, norm binary"), "lines")
     members = found.select(F.explode("bands").alias("bucket"), F.col("key").alias("id"))
 
-    def texts_of(keys: DataFrame) -> DataFrame:
-        """One normal form of each key."""
-        texts = docs.select("text").mapInArrow(_line_texts, "key long, norm binary")
-        return texts.join(small_side(keys), "key", "left_semi").dropDuplicates(["key"])
+    texts: list[DataFrame] = []
 
     def linked(pairs: DataFrame) -> DataFrame:
         keys = materialize(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "pair-lines")
-        texts = materialize(texts_of(keys), "pair-texts")
-        a, b = (texts.select(F.col("key").alias(x), F.col("norm").alias(f"norm_{x}")) for x in "ab")
+        own = found.where(F.size("bands") > 0).select("key", "norm").join(small_side(keys, PAIR_KEYS), "key", "left_semi").dropDuplicates(["key"])
+        texts.append(materialize(own, "pair-texts"))
+        a, b = (texts[0].select(F.col("key").alias(x), F.col("norm").alias(f"norm_{x}")) for x in "ab")
         return pairs.join(a, "a").join(b, "b").select("a", "b", "norm_a", "norm_b").mapInArrow(_verify, "a long, b long")
 
     def items(keys: DataFrame) -> DataFrame:
-        texts = texts_of(materialize(keys.withColumnRenamed("id", "key"), "open-lines"))
-        return texts.mapInArrow(_items, "id long, items array<long>, weights array<double>")
+        # open lines shared a bucket, so all of them were in a pair
+        own = texts[0].join(small_side(materialize(keys.withColumnRenamed("id", "key"), "open-lines")), "key", "left_semi")
+        return own.mapInArrow(_items, "id long, items array<long>, weights array<double>")
 
     comps = link_buckets(members, linked, items, THRESHOLD)
     worded = found.where("key is not null").select("doc_id", "line_no", "key")

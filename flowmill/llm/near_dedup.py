@@ -93,7 +93,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The larger of the exact probability Jaccard and the plain Jaccard of two weighted sets (sorted hashes, weights)."""
+    """The larger of the exact probability Jaccard and the plain Jaccard of two weighted sets (distinct hashes, weights)."""
     common, ia, ib = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     if not len(common):
         return 0.0
@@ -129,13 +129,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, items, weights): sorted shingles of whole texts, as signed integers."""
+    """(id, items, weights): distinct shingles of whole texts, as signed integers."""
     for b in batches:
         for i, j, data, off in tv.byte_slices(pc.utf8_lower(tv.text_array(b, "text"))):
             h, row, w = weighted_shingles(data, off)
-            order = np.lexsort((tv.signed(h), row))
             lens = np.bincount(row, minlength=j - i)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), tv.list_column(tv.signed(h)[order], lens, pa.int64()), tv.list_column(w[order], lens, pa.float64())], ["id", "items", "weights"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), tv.list_column(tv.signed(h), lens, pa.int64()), tv.list_column(w, lens, pa.float64())], ["id", "items", "weights"])
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -148,18 +147,17 @@ def classes(docs: DataFrame) -> DataFrame:
     members = reps.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"))
     texts = docs.select("doc_id", "text")
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        """One text of each id."""
-        return texts.join(small_side(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    pair_texts: list[DataFrame] = []
 
     def linked(pairs: DataFrame) -> DataFrame:
         ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
-        own = materialize(texts_of(ids), "pair-texts")
-        a, b = (own.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+        pair_texts.append(materialize(texts.join(small_side(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "pair-texts"))
+        a, b = (pair_texts[0].select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
     def items(ids: DataFrame) -> DataFrame:
-        own = texts_of(materialize(ids.withColumnRenamed("id", "doc_id"), "open-ids"))
+        # open documents shared a bucket, so all of them were in a pair
+        own = pair_texts[0].join(small_side(materialize(ids.withColumnRenamed("id", "doc_id"), "open-ids")), "doc_id", "left_semi")
         return own.mapInArrow(_items, "id long, items array<long>, weights array<double>")
 
     comps = link_buckets(members, linked, items, THRESHOLD, similarity)

@@ -116,6 +116,15 @@ def test_keep_one_keeps_columns_and_one_row_an_id(spark):
     assert sorted(i for i in ids if i is not None) == [0, 1, 2, 3, 4, 5, 6, 8, 9] and ids.count(None) == 2
 
 
+def test_bucket_filter_misses_nothing(spark, monkeypatch):
+    """Beyond the broadcast's bound the members are filtered by the bitmap and shuffled."""
+    docs = spark.createDataFrame(corpus(seed=6, groups=5), "doc_id long, text string")
+    want = sorted(map(tuple, near_dedup.classes(docs).collect()))
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(components, "FILTER_BITS", 10)
+    assert sorted(map(tuple, near_dedup.classes(docs).collect())) == want
+
+
 def test_connected_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + k) for k in range(1, 40)] + [(7, 7)]
     got = dict(components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
