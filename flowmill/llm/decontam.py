@@ -1,14 +1,14 @@
-"""Operator 10: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Operator 10: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
-Words are lower-case runs of letters and digits. A first pass counts in how many documents each
-three-word gram of the benchmark occurs. Seeds of an item are its grams that are rare by its own
-measure: at most RARE times its lower quartile, so that "of the the" is no seed, while an item
-that leaked into a third of the corpus keeps all its grams. A second pass finds the seeds in each
-whole text; the diagonals of one item's hits are joined into windows, and each window is aligned
-with the item. Alignments that reach THRESHOLD of the item's best possible score are matches.
+Words are lower-case runs of letters and digits. Every three-word gram of an item is a seed, however
+many documents hold it: the grams of an edited copy that leaked into much of the corpus are common,
+but the only ones its documents have. Seeds are found in each whole text; the diagonals of one item's
+hits are joined into windows, and each window is aligned with the item, unless so few of the item's
+words occur in it that no alignment can reach the threshold. Alignments that reach THRESHOLD of the
+item's best possible score are matches.
 
 The benchmark is the stated query set: it is broadcast in blocks of at most BLOCK_BYTES of text, one
-pass a block, so that its size has no bound. Both passes are narrow; only gram counts are shuffled.
+narrow pass a block, so that its size has no bound; only matches are shuffled.
 
 Defined results: items with fewer words than a gram match nothing; null or empty texts match
 nothing; the best alignment of each document and item is returned; repeated rows give one match;
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 
 GRAM = 3
-RARE = 10
 MATCH, MISMATCH, GAP = 3, -2, -2
 THRESHOLD = 0.45
 BLOCK_BYTES = 16 << 20
@@ -80,17 +79,6 @@ def load_items(ids: list, texts: list[str]) -> Items:
     return Items(ids, words, seed[order], whole(items), whole(at))
 
 
-def rare_seeds(items: Items, df: dict[int, int]) -> Items:
-    """The block with only the seeds that are rare by their own item's measure."""
-    n = np.array([df.get(int(x), 0) for x in tv.signed(items.seed)], np.float64)
-    keep = np.zeros(len(n), bool)
-    order = np.argsort(items.seed_item, kind="stable")
-    for own in np.split(order, np.flatnonzero(np.diff(items.seed_item[order])) + 1):
-        if len(own):
-            keep[own] = n[own] <= RARE * max(1.0, np.quantile(n[own], 0.25))
-    return Items(items.ids, items.words, items.seed[keep], items.seed_item[keep], items.seed_at[keep])
-
-
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     """Best local alignment score of two word sequences, and the window word at which it ends."""
     best, end = 0, 0
@@ -146,6 +134,9 @@ def matches(data: np.ndarray, off: np.ndarray, items: Items, threshold: float) -
         doc, words = h[begins[t] : ends[t]], items.words[k]
         best = (0, 0, 0)
         for a, b in windows(where[own] - begins[t], pos[own], len(words), len(doc)):
+            # each match takes a word of the item, so this bounds the score
+            if np.isin(words, doc[a:b]).sum() / len(words) < threshold:
+                continue
             s, end = align(words, doc[a:b])
             if s > best[0]:
                 best = (s, max(0, a + end - len(words)), a + end)
@@ -165,33 +156,11 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[Items]:
             yield load_items(block.column("item_id").to_pylist(), block.column("text").to_pylist())
 
 
-def _prepared(docs: DataFrame, benchmark: DataFrame, limit: int) -> Iterator[Items]:
-    """Each block with its rare seeds; the gram counts come from a pass over all documents."""
-    for items in _blocks(benchmark, limit):
-        known = docs.sparkSession.sparkContext.broadcast(np.unique(items.seed))
-
-        def count(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(known.value), np.int64)
-            for b in batches:
-                for _, _, data, off in tv.byte_slices(pc.utf8_lower(tv.text_array(b, "text"))):
-                    h, row = word_hashes(data, off)
-                    g, at = grams(h, row)
-                    k = np.minimum(np.searchsorted(known.value, g), len(total) - 1)
-                    hit = known.value[k] == g
-                    total += np.bincount(tv.distinct(row[at[hit]] * len(total) + k[hit]) % len(total), minlength=len(total))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(tv.signed(known.value[some])), pa.array(total[some])], ["g", "n"])
-
-        if len(items.seed):
-            counted = docs.select("text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-            yield rare_seeds(items, dict(counted.collect()))  # one row a gram of the block
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word) of every document that holds a copy of an item."""
     schema = "doc_id long, item_id long, score double, first_word int, end_word int"
     found = docs.sparkSession.createDataFrame([], schema)
-    for items in _prepared(docs, benchmark, block_bytes):
+    for items in _blocks(benchmark, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -225,6 +194,6 @@ def _without_matches(docs: DataFrame, items: Items, threshold: float) -> DataFra
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without a match, with all their columns; narrow passes only."""
     out = docs
-    for items in _prepared(docs, benchmark, block_bytes):
+    for items in _blocks(benchmark, block_bytes):
         out = _without_matches(out, items, threshold)
     return out

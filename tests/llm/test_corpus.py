@@ -133,6 +133,36 @@ def test_leaks_are_found_and_clean_rows_left(spark):
     assert sorted(r.doc_id for r in decontam.keep_clean(df, bench, block_bytes=1000).collect()) == sorted(d for d, *_ in docs if d not in dirty)
 
 
+def test_edited_copy_in_many_documents_is_found(spark):
+    """One edited copy in 30 documents beside a single exact one, against the alignment of every pair."""
+    rng = random.Random(8)
+    vocab = words(random.Random(9), 400)
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(28))) for k in range(4)]
+    docs = []
+    for d in range(60):
+        w = [rng.choice(vocab) for _ in range(rng.randint(30, 90))]
+        copy = items[1][1].split()
+        if d < 30:
+            copy = [x if i % 7 != 3 else "changed" for i, x in enumerate(copy)]
+            del copy[len(copy) // 2]
+            copy.insert(5, "more")
+        if d < 31:
+            w[7:7] = copy
+        docs.append((d, " ".join(w), "en", "s", 0))
+    number = {}
+    code = lambda text: np.array([number.setdefault(x, len(number)) for x in text.split()], np.uint64)
+    want = {}
+    for d, text, *_ in docs:
+        for i, item in items:
+            score = decontam.align(code(item), code(text))[0] / (decontam.MATCH * len(item.split()))
+            if score >= decontam.THRESHOLD:
+                want[d, i] = score
+    assert set(want) == {(d, 1) for d in range(31)}
+    df, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.score for r in decontam.leaks(df, bench).collect()} == want
+    assert {r.doc_id for r in decontam.keep_clean(df, bench).collect()} == set(range(31, 60))
+
+
 def test_leaks_of_awkward_rows(spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "a"), (4, "a b c d e f g"), (4, "a b c d e f g"), (None, "b c d e f g a")], "item_id long, text string").selectExpr("*", "'x' as g")
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(awkward(spark), bench).collect()}
