@@ -12,14 +12,43 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _stirling_error(n: int) -> float:
+    """log n! minus Stirling's formula."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi)
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / n**2) / n**2) / n**2) / n
+
+
+def _deviance(x: int, mean: float) -> float:
+    """x log(x / mean) + mean - x, without cancellation near the mean."""
+    if abs(x - mean) >= 0.1 * (x + mean):
+        return x * math.log(x / mean) + mean - x
+    v = (x - mean) / (x + mean)
+    total, term, j = (x - mean) * v, 2 * x * v, 1
+    while True:
+        term *= v * v
+        more = total + term / (2 * j + 1)
+        if more == total:
+            return total
+        total, j = more, j + 1
+
+
 def _two_sided(a: int, b: int) -> float:
-    """P of a split at least as uneven as a : b under a fair coin, in log space for large counts."""
+    """P of a split at least as uneven as a : b under a fair coin: the term at the split by Loader's
+    saddle point, the terms below it by their ratios until the rest is under 1e-17 of the sum."""
     n, k = a + b, min(a, b)
-    if not n:
-        return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(max(0, k - 2000), k + 1)]
-    top = max(logs)
-    return min(1.0, 2 * math.exp(top) * sum(math.exp(x - top) for x in logs))
+    if not k:
+        return min(1.0, 2 * 0.5**n)
+    log_p = _stirling_error(n) - _stirling_error(k) - _stirling_error(n - k) - _deviance(k, n / 2) - _deviance(n - k, n / 2) + 0.5 * math.log(n / (2 * math.pi * k * (n - k)))
+    total, last = 1.0, 1.0
+    for at in range(0, k, 1 << 16):
+        j = np.arange(at, min(k, at + (1 << 16)), dtype=np.float64)
+        ratio = (k - j) / (n - k + 1 + j)
+        terms = last * np.cumprod(ratio)
+        total, last = total + float(terms.sum()), float(terms[-1])
+        if last * ratio[-1] <= 1e-17 * total * (1 - ratio[-1]):
+            break
+    return min(1.0, 2 * math.exp(log_p) * total)
 
 
 @F.arrow_udf(T.DoubleType())

@@ -215,3 +215,16 @@ def test_manifests(spark):
     assert {tuple(r) for r in bundles.manifest_diff(actual, declared).collect()} == {("b", "size"), ("c", "undeclared"), ("d", "missing"), ("../e", "path escape")}
     with pytest.raises(ValueError):
         bundles.require_rows(actual, 5)
+
+
+def test_exact_p_of_small_and_large_splits():
+    for n in (0, 1, 2, 7, 40, 300):
+        for k in range(n // 2 + 1):
+            want = min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)
+            assert significance._two_sided(k, n - k) == pytest.approx(want, rel=1e-12)
+    for n in (10**6, 10**8, 10**10):
+        assert significance._two_sided(n // 2, n // 2) == 1.0
+        # two standard deviations off the middle: close to the normal tail with continuity correction
+        off = int(n**0.5)
+        z = (2 * off - 1) / n**0.5
+        assert significance._two_sided(n // 2 - off, n // 2 + off) == pytest.approx(math.erfc(z / 2**0.5), rel=1e-4)
