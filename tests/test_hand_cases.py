@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +190,36 @@ def test_synthetic_rows_lie_between_neighbours(spark):
     assert {r.row_id for r in imbalance.danger_points(pts, "y", 1, k=2).collect()} <= {0, 1, 2, 3, 4}
 
 
+def test_neighbours_match_brute_force_across_blocks(spark, monkeypatch):
+    """Unit vectors in 64 dimensions, whose neighbours are further off than 1, in many small blocks."""
+    monkeypatch.setattr(imbalance, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(240, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[200:220] = x[0]
+    y = np.arange(240) % 4
+    pts = spark.createDataFrame([(i, x[i].tolist(), int(y[i])) for i in range(240)], "row_id long, x array<double>, y int").cache()
+    dist = np.round(((x[:, None] - x[None]) ** 2).sum(2), 12)
+    np.fill_diagonal(dist, np.inf)
+
+    def nearest(i, k, among=np.arange(240)):
+        return sorted((j for j in among.tolist() if j != i), key=lambda j: (dist[i, j], j))[:k]
+
+    plain = [i for i in range(240) if i and not 200 <= i < 220]  # the others are equal
+    votes = {r.row_id: r.votes for r in imbalance.nearest_votes(pts, "y", 3).collect()}
+    assert len(votes) == 240 and all(len(v) == 3 for v in votes.values())
+    few = [i for i in plain if not {0, *range(200, 220)} & set(nearest(i, 4))]
+    assert len(few) > 100 and all(votes[i] == [y[j] for j in nearest(i, 3)] for i in few)
+    near = {r.row_id: r.neighbours for r in imbalance.nearest_minority(pts.where("y <> 1"), pts, "y", 1, 5).collect()}
+    ones = np.flatnonzero(y == 1)
+    few = [i for i in plain if y[i] != 1 and not {*range(200, 220)} & set(nearest(i, 6, ones))]
+    assert len(near) == 180 and len(few) > 50 and all(near[i] == nearest(i, 5, ones) for i in few)
+    foes = {i: sum(y[j] != 1 for j in nearest(i, 10)) for i in ones.tolist()}
+    danger = {r.row_id for r in imbalance.danger_points(pts, "y", 1).collect()}
+    few = [i for i in ones.tolist() if not {0, *range(200, 220)} & set(nearest(i, 11))]
+    assert few and all((i in danger) == (5 <= foes[i] < 10) for i in few)
+
+
 def test_shapley_values_add_up(spark):
     rows = spark.createDataFrame([(i, float(i), float(i * i), 1.0) for i in range(6)], "row_id long, a double, b double, c double")
     rule = lambda x: x["a"] * x["b"] + 3 * x["c"]
