@@ -30,14 +30,25 @@ def scratch_root(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_flowmill_scratch"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a new table of the shared folder and read it again (cuts the lineage)."""
+def materialize(df: DataFrame, name: str, done: list[str] | None = None) -> DataFrame:
+    """Write df to a new table of the shared folder and read it again (cuts the lineage). Its path is
+    added to `done`, for discard() once nothing reads the table any more."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/flowmill/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if done is not None:
+        done.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, done: list[str]) -> None:
+    """Delete tables of materialize()."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while done:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(done.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df, with a broadcast hint only if it has at most `limit` rows. df must be narrow and cheap
     to count (a materialised table); beyond the limit the join shuffles."""

@@ -1,10 +1,12 @@
 """Linking items that share hash buckets, and distributed union-find.
 
-A bucket's members are first compared with its pivot alone, so that a hot bucket costs rows in
-proportion to its members; pairs inside a component need no further comparison. Where a bucket still
-holds several components, its members are cut into blocks of bounded size, and each two blocks meet
-in a task that compares their members exactly and hands on a spanning forest of the links: no pairs
-are emitted, and no link between items that share a bucket is lost.
+Members of a bucket first meet a pivot: within the task that made them, and the tasks' pivots one
+another after a shuffle. So a hot bucket costs rows in proportion to its members and sends one row a
+task to its own. Pairs are verified once, however many buckets they share. Where a bucket still holds
+several components, its members are cut into blocks of bounded size, and each two blocks meet in a
+task that compares their members exactly and hands on a spanning forest of the links: no pairs are
+emitted, and no link between items that share a bucket is lost. A bucket of n members, of which the
+pivots linked only a part, costs n * n / block rows of text: proof that no two of them are alike.
 """
 
 from __future__ import annotations
@@ -17,12 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import BROADCAST_ROWS, materialize, small_side
+from .common import discard, materialize, small_side
 
 #: Members of a bucket that a block holds on average.
 BLOCK = 256
-#: Bits (as a power of two) of the bitmap of buckets with several members: 8 MB.
-FILTER_BITS = 26
 #: Distinct elements that one matrix product covers.
 _COLUMNS = 8192
 
@@ -38,44 +38,53 @@ def _grow(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every id in edges (a, b); component is its smallest id. Alternating large
-    and small stars halve the paths; each step is a written table, so a lost executor costs one step."""
-    stars = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    """(id, component) of every id in edges (a, b), as a written table; component is its smallest id.
+    Alternating large and small stars halve the paths; each step is written, so a lost executor costs one step."""
+    old, new = [], []
+    stars = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", old)
     state = None
     while True:
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             break
-        state, stars = now, materialize(_grow(stars), "stars")
-    return stars.select(F.col("u").alias("id"), F.col("v").alias("component")).union(stars.select("v", "v").distinct())
+        state, stars = now, materialize(_grow(stars), "stars", new)
+        discard(edges.sparkSession, old)
+        old, new = new, old
+    out = stars.select(F.col("u").alias("id"), F.col("v").alias("component")).union(stars.select("v", "v").distinct())
+    out = materialize(out, "components")
+    discard(edges.sparkSession, old)
+    return out
 
 
-def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of every set in a with every set in b (distinct integers)."""
-    out = np.zeros((len(a), len(b)))
-    if len(a) * len(b) <= 64:
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                out[i, j] = len(np.intersect1d(x, y, assume_unique=True))
-        return out
-    ra, rb = (np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (a, b))
-    ha, hb = np.concatenate(a), np.concatenate(b)
-    both = np.intersect1d(tv.distinct(ha), tv.distinct(hb), assume_unique=True)  # elements of one side alone add nothing
-    ca, cb = np.searchsorted(both, ha), np.searchsorted(both, hb)
-    oka, okb = (np.minimum(c, len(both) - 1) if len(both) else c * 0 for c in (ca, cb))
+def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the intersections of every set in a with every set in b (distinct integers); without
+    b, of every two sets in a (the diagonal has no meaning then)."""
+    ha, hb = np.concatenate(a), None if b is None else np.concatenate(b)
+    if b is None:
+        ordered = np.sort(ha)
+        both = tv.distinct(ordered[1:][ordered[1:] == ordered[:-1]])
+    else:
+        both = np.intersect1d(tv.distinct(ha), tv.distinct(hb), assume_unique=True)
+    out = np.zeros((len(a), len(a if b is None else b)), np.float32)
     if not len(both):
         return out
-    oka, okb = both[oka] == ha, both[okb] == hb
-    ra, ca, rb, cb = ra[oka], ca[oka], rb[okb], cb[okb]
+
+    def places(sets: list[np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        # elements of one set alone add nothing
+        row, at = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.searchsorted(both, h)
+        ok = both[np.minimum(at, len(both) - 1)] == h
+        return row[ok], at[ok], len(sets)
+
+    sides = [places(a, ha)] + ([] if b is None else [places(b, hb)])
     for lo in range(0, len(both), _COLUMNS):
         n = min(_COLUMNS, len(both) - lo)
         m = []
-        for rows, cols, k in ((ra, ca, len(a)), (rb, cb, len(b))):
+        for rows, cols, k in sides:
             here = (cols >= lo) & (cols < lo + n)
             x = np.zeros((k, n), np.float32)
             x[rows[here], cols[here] - lo] = 1
             m.append(x)
-        out += m[0] @ m[1].T
+        out += m[0] @ m[-1].T
     return out
 
 
@@ -97,28 +106,60 @@ def _forest(ids: np.ndarray, comps: np.ndarray, left: np.ndarray, right: np.ndar
     return out
 
 
-def _block_links(batches: Iterator[pa.RecordBatch], threshold: float, weighted) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, lo, hi, block, id, component, items, weights) in order of (bucket, lo, hi), to links.
+def bucket_rows(bucket: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """(bucket, id, pivot) of memberships: of these rows, a bucket's pivot is the one that a hash of
+    both chooses. Other members meet the bucket's further pivots through it, so that a task hands on
+    one row a hot bucket."""
+    pivot = ids.copy()
+    order = np.argsort(bucket)
+    same = bucket[order[1:]] == bucket[order[:-1]]
+    if same.any():
+        some = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        some = some[np.lexsort((tv.mix(bucket[some] ^ ids[some].view(np.uint64)), bucket[some]))]
+        head = np.concatenate([[True], bucket[some[1:]] != bucket[some[:-1]]])
+        pivot[some] = ids[some][head][np.cumsum(head) - 1]
+    return pa.RecordBatch.from_arrays([pa.array(tv.signed(bucket)), pa.array(ids), pa.array(pivot)], ["bucket", "id", "pivot"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, id, pivot) in order of the bucket, to those of buckets with several members: the
+    first pivot of a bucket becomes that of the others; rows that have a pivot pass."""
+    last, head = None, 0
+    for b in batches:
+        bucket, ids, pivot = (b.column(k).to_numpy() for k in range(3))
+        own = ids == pivot
+        x, y = bucket[own], ids[own]
+        out = [(bucket[~own], pivot[~own], ids[~own])]
+        if len(x):
+            new = np.concatenate([[x[0] != last], x[1:] != x[:-1]])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(x)), -1))
+            first = np.where(at >= 0, y[at], head)
+            met = ~new & (y != first)
+            out.append((x[met], first[met], y[met]))
+            last, head = x[-1], first[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["bucket", "pivot", "id"])
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], sets, threshold: float, weighted) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, lo, hi, block, id, component, text) in order of (bucket, lo, hi, block), to links.
     weighted: similarity of two (items, weights), for pairs whose weights aren't all one; or None."""
     key, group = None, []
 
     def links(group: list[tuple]) -> tuple[list[int], list[int]]:
-        lo = key[1]
-        a = [k for k, g in enumerate(group) if g[0] == lo]
-        b = a if key[1] == key[2] else [k for k, g in enumerate(group) if g[0] != lo]
+        at = np.flatnonzero(np.array([g[0] for g in group]) == key[1])
+        bt = at if key[1] == key[2] else np.arange(len(at), len(group))
         ids, comps = np.array([g[1] for g in group]), np.array([g[2] for g in group])
-        if not a or not b:
-            return [], []
-        sets, n = [g[3] for g in group], np.array([len(g[3]) for g in group], float)
-        common = overlaps([sets[k] for k in a], [sets[k] for k in b])
-        at, bt = np.array(a), np.array(b)
         apart = comps[at][:, None] != comps[bt][None, :]
+        if not apart.any():
+            return [], []
+        items, n = [g[3] for g in group], np.array([len(g[3]) for g in group], np.float32)
+        common = overlaps(items) if key[1] == key[2] else overlaps(items[: len(at)], items[len(at) :])
         union = n[at][:, None] + n[bt][None, :] - common
         hit = apart & (common >= threshold * union) & (union > 0)
         if weighted is not None:
             uneven = np.array([bool(len(g[4]) and g[4].max() != 1.0) for g in group])
             for i, j in np.argwhere(apart & ~hit & (common > 0) & (uneven[at][:, None] | uneven[bt][None, :])):
-                hit[i, j] = weighted((sets[a[i]], group[a[i]][4]), (sets[b[j]], group[b[j]][4])) >= threshold
+                hit[i, j] = weighted((items[at[i]], group[at[i]][4]), (items[bt[j]], group[bt[j]][4])) >= threshold
         i, j = np.nonzero(hit)
         left, right = at[i], bt[j]
         keep = _forest(ids, comps, left, right)
@@ -129,70 +170,57 @@ def _block_links(batches: Iterator[pa.RecordBatch], threshold: float, weighted)
         return pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["a", "b"])
 
     for batch in batches:
-        keys = list(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True))
-        block, ids, comps = (batch.column(k).to_numpy() for k in (3, 4, 5))
-        cut, values = batch.column(6).offsets.to_numpy(), batch.column(6).values.to_numpy()
-        weights = batch.column(7).values.to_numpy(zero_copy_only=False)
-        for r, k in enumerate(keys):
-            if k != key:
-                if len(group) > 1 and (got := links(group))[0]:
-                    yield out(got)
-                key, group = k, []
-            s = slice(cut[r], cut[r + 1])
-            group.append((block[r], ids[r], comps[r], values[s].copy(), weights[s].copy() if weighted is not None else None))
+        for i, j, values, lens, weights in sets(batch.column(6)):
+            part = batch.slice(i, j - i)
+            keys = list(zip(*(part.column(k).to_pylist() for k in (0, 1, 2)), strict=True))
+            block, ids, comps = (part.column(k).to_numpy() for k in (3, 4, 5))
+            cut = np.concatenate([[0], np.cumsum(lens)])
+            for r, k in enumerate(keys):
+                if k != key:
+                    if len(group) > 1 and (got := links(group))[0]:
+                        yield out(got)
+                    key, group = k, []
+                s = slice(cut[r], cut[r + 1])
+                group.append((block[r], ids[r], comps[r], values[s], weights[s] if weighted is not None else None))
     if len(group) > 1 and (got := links(group))[0]:
         yield out(got)
 
 
-def _possible(pivots: DataFrame):
-    """A test whether a bucket may be among those of `pivots`: a bitmap of fixed size, folded by Spark to
-    at most 2**(FILTER_BITS - 6) words. It never misses one, and lets most others go before the shuffle."""
-    at = f"bucket & {(1 << FILTER_BITS) - 1}"
-    folded = pivots.selectExpr(f"shiftright({at}, 6) as w", "shiftleft(1L, cast(bucket & 63 as int)) as b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    bits[folded.column("w").to_numpy()] = folded.column("b").to_numpy().view(np.uint64)
-    shared = pivots.sparkSession.sparkContext.broadcast(bits)
-
-    @F.arrow_udf("boolean")
-    def may(bucket: pa.Array) -> pa.Array:
-        x = bucket.to_numpy().view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
-        return pa.array((shared.value[x >> np.uint64(6)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool))
-
-    return may("bucket")
-
-
-def link_buckets(members: DataFrame, linked: Callable[[DataFrame], DataFrame], items: Callable[[DataFrame], DataFrame], threshold: float, weighted=None) -> DataFrame:
+def link_buckets(members: DataFrame, verify, texts: Callable[[DataFrame], DataFrame], sets, threshold: float, weighted=None, block: int = BLOCK) -> DataFrame:
     """(id, component) of items with a link, among items that share a bucket.
 
-    members: (bucket long, id long), repeated rows allowed. linked: of candidate pairs (a, b), a < b,
-    returns those that belong together. items: of (id), returns (id, items array<long>, all
-    distinct, weights array<double>); weighted: see _block_links.
+    members: (bucket, id, pivot) as bucket_rows() gives them. verify: batches of (a, b, text_a, text_b)
+    to those (a, b) that belong together. texts: of (id), returns (id, text). sets: a column of texts
+    to (first row, end row, distinct items, their number a row, weights); weighted: see _block_links.
     """
-    least = members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("_top")).where("pivot < _top").select("bucket", "pivot")
-    pivots = materialize(least, "pivots")
-    few = pivots.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    # most buckets have one member: beyond the broadcast's bound these go before the shuffle
-    known = members.join(F.broadcast(pivots), "bucket") if few else members.where(_possible(pivots)).join(pivots, "bucket")
-    live = materialize(known, "bucket-members")
-    pairs = materialize(live.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = materialize(linked(pairs), "links")
-    comps = materialize(connected_components(links), "components")
-    # pivots have met every member of their buckets
-    rest = live.where("id <> pivot").select("bucket", "id").distinct()
-    tagged = rest.join(small_side(comps), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = tagged.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_n")).where("_lo < _hi")
-    mixed = materialize(mixed.select("bucket", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")), "mixed-buckets")
-    if not mixed.limit(1).count():
-        return comps
-    open_ = materialize(tagged.join(small_side(mixed), "bucket"), "open-members")
-    own = materialize(items(open_.select("id").distinct()), "open-items")
-    block = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
-    met = open_.withColumn("block", block).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    met = met.select("bucket", F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "block", "id", "component")
-    met = met.join(own, "id").select("bucket", "lo", "hi", "block", "id", "component", "items", "weights")
-    # a fixed number: few bytes may be much work, so small partitions must not be merged
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = met.repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "block")
-    more = met.mapInArrow(lambda it: _block_links(it, threshold, weighted), "a long, b long").distinct()
-    links = links.union(materialize(more, "block-links"))
-    return materialize(connected_components(links), "components")
+    done: list[str] = []
+    scratch = lambda df, name: materialize(df, name, done)
+    # pivots go to their bucket; rows that have met one are spread
+    place = F.when(F.col("id") == F.col("pivot"), F.col("bucket")).otherwise(F.col("id"))
+    met = members.repartition(place).sortWithinPartitions("bucket", F.xxhash64("bucket", "id"))
+    live = scratch(met.mapInArrow(_meet, "bucket long, pivot long, id long"), "bucket-members")
+    pairs = scratch(live.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct(), "pairs")
+    own = scratch(texts(scratch(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "pair-ids")), "pair-texts")
+    a, b = (own.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    links = scratch(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), "links")
+    comps = connected_components(links)
+    # a bucket all of whose rows were linked is one component
+    known = small_side(comps)
+    tag = lambda df, col: df.join(known.select(F.col("id").alias(col), F.col("component").alias(f"{col}_of")), col, "left").withColumn(f"{col}_of", F.coalesce(f"{col}_of", col))
+    bad = scratch(tag(tag(live, "id"), "pivot").where("id_of <> pivot_of").select("bucket").distinct(), "mixed-buckets")
+    mixed = live.join(small_side(bad), "bucket", "left_semi")
+    mixed = scratch(mixed.select("bucket", "id").union(mixed.select("bucket", "pivot")).distinct(), "mixed-members")
+    sizes = mixed.groupBy("bucket").count().where("count > 2")  # two members have met
+    sizes = scratch(sizes.select("bucket", F.ceil(F.col("count") / block).cast("int").alias("_blocks")), "block-numbers")
+    if sizes.limit(1).count():
+        open_ = tag(mixed.join(small_side(sizes), "bucket"), "id").withColumnRenamed("id_of", "component")
+        open_ = open_.withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        open_ = open_.select("bucket", F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "block", "id", "component")
+        rows = open_.join(own, "id").select("bucket", "lo", "hi", "block", "id", "component", "text")
+        # a fixed number: few bytes may be much work, so small partitions must not be merged
+        parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "block")
+        more = rows.mapInArrow(lambda it: _block_links(it, sets, threshold, weighted), "a long, b long").distinct()
+        comps = connected_components(links.union(scratch(more, "block-links")))
+    discard(members.sparkSession, done)
+    return comps

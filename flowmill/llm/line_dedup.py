@@ -1,17 +1,18 @@
 """Operator 1: fuzzy line deduplication.
 
 Lines (split at line feeds) are normalised (lower case, runs of anything but letters and digits
-become one space); their shingles are seven characters in a row, long enough that unrelated lines
-of one language share almost none. One-permutation MinHash signatures with rotation densification are banded
-(14 bands of 5 registers: 0.997 recall at similarity 0.8), bucket members are compared with pivots
+become one space); their shingles are five characters in a row, so that one changed character leaves
+lines of 49 characters and more alike. One-permutation MinHash signatures with rotation densification
+are banded (16 bands of 7 registers: 0.977 recall at similarity 0.8 in theory, seven registers so that
+unrelated lines of one language seldom share a bucket), bucket members are compared with pivots
 and verified by exact Jaccard (components.py), and distributed union-find leaves one line of each
 component: the first by (doc_id, line number).
 
 A line is known by a 64-bit hash of its normal form; equal forms are one node. Defined results: a
 line without letter or digit is kept and has no class; a shorter line than a shingle is one
 shingle; null and empty texts have one empty line; rows with a null doc_id come last in the order;
-of repeated rows, equal lines are copies, and lines of rows with the same doc_id and line number
-share one decision; extra columns are ignored.
+of repeated rows, and of rows without doc_id, one line of a class is kept like of any others, in an
+order of rows that is fixed within a run; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +27,18 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .common import columns_of, fresh, materialize, small_side
-from .components import link_buckets
+from .components import bucket_rows, link_buckets
 from .near_dedup import band_keys
 
-SHINGLE = 7
+SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 14, 5
+BANDS, ROWS = 16, 7
 REGISTERS = BANDS * ROWS
 _SLICE = 1 << 18
+#: Members of a hot bucket that a block of the exact comparison holds.
+BLOCK = 1024
+#: Bytes of line pairs that are verified at once.
+_PAIR_BYTES = 1 << 21
 #: Line keys up to which they are broadcast to find their texts (a long each); beyond it the texts shuffle.
 PAIR_KEYS = 1_000_000
 #: Distinct keys that a task remembers.
@@ -108,7 +113,7 @@ def signatures(h: np.ndarray, line: np.ndarray, n: int, m: int = REGISTERS) -> n
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, line_no, key, bands, norm): the last two only where the partition meets a key for the first time."""
+    """(uid, doc_id, line_no, key, norm): the last only where the task meets a key for the first time."""
     seen: set[int] = set()
     for b in batches:
         for i, j, data, off in tv.byte_slices(pc.utf8_lower(tv.text_array(b, "text")), _SLICE):
@@ -122,31 +127,30 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     fresh[k] = True
             if len(seen) > _SEEN:
                 seen.clear()  # a key may then come twice, which only costs rows
-            lens = np.where(fresh, np.diff(at), 0)
             norm = flat[np.repeat(fresh, np.diff(at))]
-            begins = np.concatenate([[0], np.cumsum(lens)])
-            h, line = char_shingles(norm, np.append(begins[:-1][fresh], len(norm)))
-            keys = band_keys(signatures(h, line, int(fresh.sum())), BANDS, ROWS)
+            begins = np.concatenate([[0], np.cumsum(np.where(fresh, np.diff(at), 0))])
             norms = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(begins), pa.py_buffer(norm)])
-            ids = b.column(0).slice(i, j - i).take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(number, pa.int32()), pa.array(tv.signed(key), pa.int64(), mask=~full), tv.list_column(tv.signed(keys.ravel()), np.where(fresh, BANDS, 0), pa.int64()), norms.cast(pa.binary())],
-                ["doc_id", "line_no", "key", "bands", "norm"],
-            )
+            norms = pc.if_else(pa.array(fresh), norms, None).cast(pa.binary())
+            uid, ids = (b.column(k).slice(i, j - i).take(pa.array(rows)) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([uid, ids, pa.array(number, pa.int32()), pa.array(tv.signed(key), pa.int64(), mask=~full), norms], ["uid", "doc_id", "line_no", "key", "norm"])
 
 
-def _sets(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, distinct shingles, their number a row) of normal forms, slice by slice."""
-    for i, j, data, off in tv.byte_slices(col.cast(pa.large_binary())):
-        h, line = char_shingles(data, off)
-        h, line, _ = tv.unique_counts(h, line)
-        yield i, j, tv.signed(h), np.bincount(line, minlength=j - i)
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, id, pivot) of the bands of lines (key, norm)."""
+    for b in batches:
+        keys = []
+        for i, j, data, off in tv.byte_slices(b.column(1).cast(pa.large_binary()), _SLICE):
+            h, line = char_shingles(data, off)
+            keys.append(band_keys(signatures(h, line, j - i), BANDS, ROWS))
+        if keys:
+            yield bucket_rows(np.concatenate(keys).ravel(), np.repeat(b.column(0).to_numpy(), BANDS))
 
 
-def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i, j, values, lens in _sets(b.column(1)):
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), tv.list_column(values, lens, pa.int64()), tv.list_column(np.zeros(0), lens * 0, pa.float64())], ["id", "items", "weights"])
+def _sets(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, None]]:
+    """(first row, end row, distinct shingles, their number a row, no weights) of normal forms, slice by slice."""
+    for i, j, data, off in tv.byte_slices(col.cast(pa.large_binary())):
+        h, line, _ = tv.unique_counts(*char_shingles(data, off))
+        yield i, j, h, np.bincount(line, minlength=j - i), None
 
 
 def _pair_sets(col: pa.Array) -> np.ndarray:
@@ -161,8 +165,11 @@ def _pair_sets(col: pa.Array) -> np.ndarray:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, norm_a, norm_b) whose exact Jaccard similarity reaches the threshold."""
     for b in batches:
-        for at in range(0, b.num_rows, 1 << 12):
-            part = b.slice(at, 1 << 12)
+        size = np.cumsum(pc.add(pc.binary_length(b.column(2)), pc.binary_length(b.column(3))).to_numpy().astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _PAIR_BYTES, "right")))
+            part, at = b.slice(at, end - at), end
             x, y = _pair_sets(part.column(2)), _pair_sets(part.column(3))
             both = np.sort(np.concatenate([x, y]), kind="stable")
             rows = lambda k: np.bincount((k >> np.uint64(44)).astype(np.int64), minlength=part.num_rows)  # noqa: B023, E731
@@ -171,48 +178,44 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(k).filter(ok) for k in (0, 1)], ["a", "b"])
 
 
-def line_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, class_doc_id, class_line_no, keep) of every line; the class is its first line."""
-    found = materialize(docs.select("doc_id", "text").mapInArrow(_lines, "doc_id long, line_no int, key long, bands array<long>, norm binary"), "lines")
-    members = found.select(F.explode("bands").alias("bucket"), F.col("key").alias("id"))
-
-    texts: list[DataFrame] = []
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        keys = materialize(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "pair-lines")
-        own = found.where(F.size("bands") > 0).select("key", "norm").join(small_side(keys, PAIR_KEYS), "key", "left_semi").dropDuplicates(["key"])
-        texts.append(materialize(own, "pair-texts"))
-        a, b = (texts[0].select(F.col("key").alias(x), F.col("norm").alias(f"norm_{x}")) for x in "ab")
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "norm_a", "norm_b").mapInArrow(_verify, "a long, b long")
-
-    def items(keys: DataFrame) -> DataFrame:
-        # open lines shared a bucket, so all of them were in a pair
-        own = texts[0].join(small_side(materialize(keys.withColumnRenamed("id", "key"), "open-lines")), "key", "left_semi")
-        return own.mapInArrow(_items, "id long, items array<long>, weights array<double>")
-
-    comps = link_buckets(members, linked, items, THRESHOLD)
-    worded = found.where("key is not null").select("doc_id", "line_no", "key")
-    lines = worded.join(small_side(comps), F.col("key") == F.col("id"), "left").select("doc_id", "line_no", F.coalesce("component", "key").alias("node"))
+def _classes(docs: DataFrame) -> DataFrame:
+    """(uid, doc_id, line_no, class_doc_id, class_line_no, keep) of every line of rows (uid, doc_id, text)."""
+    found = materialize(docs.mapInArrow(_lines, "uid long, doc_id long, line_no int, key long, norm binary"), "lines")
+    forms = found.where("norm is not null").select("key", "norm")
+
+    def texts(ids: DataFrame) -> DataFrame:
+        own = forms.join(small_side(ids.withColumnRenamed("id", "key"), PAIR_KEYS), "key", "left_semi")
+        return own.dropDuplicates(["key"]).select(F.col("key").alias("id"), F.col("norm").alias("text"))
+
+    comps = link_buckets(forms.mapInArrow(_buckets, "bucket long, id long, pivot long"), _verify, texts, _sets, THRESHOLD, block=BLOCK)
+    worded = found.where("key is not null").select("uid", "doc_id", "line_no", "key")
+    lines = worded.join(small_side(comps), F.col("key") == F.col("id"), "left").select("uid", "doc_id", "line_no", F.coalesce("component", "key").alias("node"))
     lines = materialize(lines, "line-nodes")
-    order = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
+    order = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.col("uid").alias("u"))
     firsts = lines.groupBy("node").agg(F.min(order).alias("f"), F.count("*").alias("n")).where("n > 1")
-    firsts = materialize(firsts.select("node", F.col("f.d").alias("_d"), F.col("f.l").alias("_l"), F.lit(True).alias("_many")), "line-classes")
+    firsts = materialize(firsts.select("node", F.col("f.d").alias("_d"), F.col("f.l").alias("_l"), F.col("f.u").alias("_u")), "line-classes")
     out = lines.join(small_side(firsts), "node", "left")
-    own = lambda group, row: F.when(F.col("_many"), F.col(group)).otherwise(F.col(row))
-    out = out.select("doc_id", "line_no", own("_d", "doc_id").alias("class_doc_id"), own("_l", "line_no").alias("class_line_no"))
-    first = F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("line_no") == F.col("class_line_no"))
-    out = out.withColumn("keep", first)
-    blank = found.where("key is null").select("doc_id", "line_no", F.lit(None).cast("long").alias("class_doc_id"), F.lit(None).cast("int").alias("class_line_no"), F.lit(True).alias("keep"))
+    own = lambda group, row: F.when(F.col("_u").isNotNull(), F.col(group)).otherwise(F.col(row))
+    keep = F.col("_u").isNull() | ((F.col("uid") == F.col("_u")) & (F.col("line_no") == F.col("_l")))
+    out = out.select("uid", "doc_id", "line_no", own("_d", "doc_id").alias("class_doc_id"), own("_l", "line_no").alias("class_line_no"), keep.alias("keep"))
+    blank = found.where("key is null").select("uid", "doc_id", "line_no", F.lit(None).cast("long").alias("class_doc_id"), F.lit(None).cast("int").alias("class_line_no"), F.lit(True).alias("keep"))
     return out.unionByName(blank)
 
 
-def dedup_lines(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
-    """docs with the removed lines taken out of their texts (all columns kept)."""
-    lost = (classes if classes is not None else line_classes(docs)).where("not keep and doc_id is not null")
-    (gone,) = fresh(docs, "_gone")
-    per_doc = materialize(lost.groupBy("doc_id").agg(F.collect_set("line_no").alias(gone)), "removed-lines")
-    joined = docs.join(small_side(per_doc), "doc_id", "left")
-    numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    rest = F.filter(numbered, lambda s: ~F.array_contains(gone, s["i"]))
+def line_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, class_doc_id, class_line_no, keep) of every line; the class is its first line."""
+    return _classes(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")).drop("uid")
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """docs with the removed lines taken out of their texts (all columns kept); of repeated rows each
+    has its own decisions, so the rows are numbered and written first."""
+    uid, gone = fresh(docs, "_uid", "_gone")
+    numbered = materialize(docs.withColumn(uid, F.monotonically_increasing_id()), "numbered")
+    lost = _classes(numbered.select(F.col(uid).alias("uid"), "doc_id", "text")).where("not keep")
+    per_row = materialize(lost.groupBy(F.col("uid").alias(uid)).agg(F.collect_set("line_no").alias(gone)), "removed-lines")
+    joined = numbered.join(small_side(per_row), uid, "left")
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    rest = F.filter(lines, lambda s: ~F.array_contains(gone, s["i"]))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(rest, lambda s: s["x"]), "\n"))
     return joined.withColumn("text", text).select(*columns_of(docs))

@@ -11,8 +11,10 @@ at least THRESHOLD.
 
 Defined results: equal texts are one class before anything else; a text with fewer than five words
 has one shingle of them all; texts without a word, and null texts, are alone in their class unless
-(not null, not empty) equal; rows with a null doc_id have a null class; repeated rows share one
-class; extra columns are ignored. A class is named by its smallest doc_id.
+(not null, not empty) equal; rows with a null doc_id have a null class and link nothing; repeated rows
+share one class; rows with one doc_id and different texts have the classes of their texts; extra
+columns are ignored. A class is named by its smallest doc_id. A text is known by 64 bits of its md5:
+at n distinct ones the chance of any collision is about n^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .common import columns_of, fresh, materialize, small_side
-from .components import link_buckets
+from .components import bucket_rows, link_buckets
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -89,7 +91,14 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = band_keys(prob_minhash(h, row, w, j - i))[has]
             lens = np.where(has, BANDS, 0)
             part = b.slice(i, j - i)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), tv.list_column(tv.signed(keys.ravel()), lens, pa.int64())], ["doc_id", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), tv.list_column(tv.signed(keys.ravel()), lens, pa.int64())], ["doc_id", "node", "bands"])
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, id, pivot) of rows (node, bands)."""
+    for b in batches:
+        bands = b.column(1)
+        yield bucket_rows(bands.flatten().to_numpy().view(np.uint64), np.repeat(b.column(0).to_numpy(), bands.value_lengths().to_numpy()))
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -128,54 +137,61 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(ok)) for k in (0, 1)], ["a", "b"])
 
 
-def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, items, weights): distinct shingles of whole texts, as signed integers."""
-    for b in batches:
-        for i, j, data, off in tv.byte_slices(pc.utf8_lower(tv.text_array(b, "text"))):
-            h, row, w = weighted_shingles(data, off)
-            lens = np.bincount(row, minlength=j - i)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), tv.list_column(tv.signed(h), lens, pa.int64()), tv.list_column(w, lens, pa.float64())], ["id", "items", "weights"])
+def _sets(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, distinct shingles, their number a row, weights) of whole texts, slice by slice."""
+    for i, j, data, off in tv.byte_slices(pc.utf8_lower(tv.as_text(col))):
+        h, row, w = weighted_shingles(data, off)
+        yield i, j, h, np.bincount(row, minlength=j - i), w
+
+
+def _nodes(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, component) of every row. node names the text, null for null and empty ones, which
+    never meet another in a bucket; component names the texts linked to it (null without doc_id)."""
+    named = docs.select("doc_id", node_of(F.col("text")).alias("node"), "text")
+    found = materialize(named.mapInArrow(_bands, "doc_id long, node long, bands array<long>"), "signatures")
+    # one row a text; all bands of a text are equal
+    reps = found.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("bands").alias("bands"))
+    members = reps.where(F.size("bands") > 0).select("node", "bands").mapInArrow(_buckets, "bucket long, id long, pivot long")
+
+    def texts(ids: DataFrame) -> DataFrame:
+        whole = docs.select(node_of(F.col("text")).alias("id"), "text")
+        return whole.join(small_side(ids), "id", "left_semi").dropDuplicates(["id"])
+
+    comps = link_buckets(members, _verify, texts, _sets, THRESHOLD, similarity)
+    out = found.select("doc_id", "node").join(small_side(comps.withColumnRenamed("id", "node")), "node", "left")
+    return out.select("doc_id", "node", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("component"))
+
+
+def node_of(text: Column) -> Column:
+    """64 bits of a text's md5 as a long; null for null and empty texts."""
+    return F.when(text != "", F.expr("cast(conv(left(md5(text), 15), 16, 10) as long)"))
+
+
+def _winners(rows: DataFrame) -> DataFrame:
+    """(component, class_id, first_node): the smallest doc_id of each component with several rows, and the smallest text of that id."""
+    least = rows.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("w"), F.count("*").alias("n"))
+    return least.where("n > 1").select("component", F.col("w.doc_id").alias("class_id"), F.col("w.node").alias("first_node"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) of every row."""
-    # md5 names a text; null and wordless texts never meet another in a bucket
-    named = docs.select("doc_id", F.when(F.col("text") != "", F.md5("text")).alias("fp"), "text")
-    found = materialize(named.mapInArrow(_bands, "doc_id long, fp string, bands array<long>"), "signatures")
-    reps = found.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "bands")).alias("r"))
-    reps = materialize(reps.select("fp", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands")), "representatives")
-    members = reps.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"))
-    texts = docs.select("doc_id", "text")
-
-    pair_texts: list[DataFrame] = []
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
-        pair_texts.append(materialize(texts.join(small_side(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "pair-texts"))
-        a, b = (pair_texts[0].select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
-
-    def items(ids: DataFrame) -> DataFrame:
-        # open documents shared a bucket, so all of them were in a pair
-        own = pair_texts[0].join(small_side(materialize(ids.withColumnRenamed("id", "doc_id"), "open-ids")), "doc_id", "left_semi")
-        return own.mapInArrow(_items, "id long, items array<long>, weights array<double>")
-
-    comps = link_buckets(members, linked, items, THRESHOLD, similarity)
-    named_reps = reps.select("fp", "rep").join(small_side(comps), F.col("rep") == F.col("id"), "left").select("fp", F.coalesce("component", "rep").alias("_class"))
-    out = found.where("fp is not null").select("doc_id", "fp").join(named_reps, "fp", "left")
-    out = out.unionByName(found.where("fp is null").select("doc_id", "fp", F.lit(None).cast("long").alias("_class")))
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("_class", "doc_id")).alias("class_id"))
+    rows = materialize(_nodes(docs), "text-classes")
+    named = rows.join(small_side(materialize(_winners(rows), "class-names")), "component", "left")
+    return named.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class (that with the smallest doc_id), with all its columns; rows with a
-    null doc_id stay. Of rows with one doc_id one stays."""
-    named = materialize(classes(docs), "classes")
-    gone, n = fresh(docs, "_gone", "_n")
-    other = F.when(F.col("class_id") != F.col("doc_id"), 1).otherwise(0)
-    per_id = named.where("doc_id is not null").groupBy("doc_id").agg(F.min(other).alias(gone), F.count("*").alias(n))
-    odd = small_side(materialize(per_id.where((F.col(gone) == 1) | (F.col(n) > 1)), "removed"))
-    joined = docs.join(odd, "doc_id", "left")
-    single = joined.where(F.col(gone).isNull()).select(*columns_of(docs))
-    repeated = joined.where(F.col(gone) == 0).select(*columns_of(docs)).dropDuplicates(["doc_id"])
+    """One document of each class (that with the smallest doc_id, of its texts that with the smallest
+    fingerprint), with all its columns. Rows with a null doc_id stay; so do null and empty texts, of
+    which one row a doc_id stays."""
+    rows = materialize(_nodes(docs), "text-classes")
+    named = rows.where("doc_id is not null").join(small_side(materialize(_winners(rows), "class-names")), "component", "left")
+    first = F.coalesce((F.col("doc_id") == F.col("class_id")) & (F.col("node") == F.col("first_node")), F.lit(True))
+    doc, node, stays, n = fresh(docs, "_doc", "_node", "_stays", "_n")
+    known = named.withColumn(stays, first).groupBy(F.col("doc_id").alias(doc), F.col("node").alias(node)).agg(F.min(stays).alias(stays), F.count("*").alias(n))
+    odd = small_side(materialize(known.where(~F.col(stays) | (F.col(n) > 1)).withColumn(node, F.coalesce(node, F.lit(-1))), "removed"))
+    own = F.coalesce(node_of(F.col("text")), F.lit(-1))
+    joined = docs.join(odd, (docs["doc_id"] == odd[doc]) & (own == odd[node]), "left")
+    single = joined.where(F.col(stays).isNull()).select(*columns_of(docs))
+    repeated = joined.where(F.col(stays)).dropDuplicates([doc, node]).select(*columns_of(docs))
     return single.unionByName(repeated)

@@ -116,13 +116,35 @@ def test_keep_one_keeps_columns_and_one_row_an_id(spark):
     assert sorted(i for i in ids if i is not None) == [0, 1, 2, 3, 4, 5, 6, 8, 9] and ids.count(None) == 2
 
 
-def test_bucket_filter_misses_nothing(spark, monkeypatch):
-    """Beyond the broadcast's bound the members are filtered by the bitmap and shuffled."""
-    docs = spark.createDataFrame(corpus(seed=6, groups=5), "doc_id long, text string")
-    want = sorted(map(tuple, near_dedup.classes(docs).collect()))
-    monkeypatch.setattr(components, "BROADCAST_ROWS", 3)
-    monkeypatch.setattr(components, "FILTER_BITS", 10)
-    assert sorted(map(tuple, near_dedup.classes(docs).collect())) == want
+def test_hot_buckets_are_compared_in_blocks(spark, monkeypatch):
+    """Groups whose pivots link only a part: several blocks a bucket, each pair of blocks in a task."""
+    docs = corpus(seed=6, groups=5, size=16)
+    sets = {i: shingle_set(t) for i, t in docs}
+    want = union([(a, b) for a, b in itertools.combinations(sets, 2) if jaccard(sets[a], sets[b]) >= 0.8], sets)
+    monkeypatch.setattr(near_dedup.link_buckets, "__defaults__", (None, 4))
+    got = near_dedup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == want
+
+
+def test_one_id_with_two_texts_loses_no_link(spark):
+    rng = random.Random(12)
+    a, b = words(rng, 80), words(rng, 80)
+    docs = [(1, a), (1, b), (2, [*a, "more"]), (3, [*b, "more"]), (4, words(rng, 80))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    assert sorted(map(tuple, near_dedup.classes(df).collect())) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+    kept = [r.text for r in near_dedup.keep_one(df).collect()]
+    assert sorted(kept) == sorted(" ".join(w) for w in (a, b, docs[4][1]))
+
+
+def test_recall_of_document_links(spark, sf_dir):
+    """Every pair of documents with a Jaccard similarity of 0.8 or more shares a class."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    word = lambda t: [w for w in "".join(c if c.isalnum() or ord(c) > 127 else " " for c in (t or "").lower()).split()]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in docs if (w := word(t))}
+    alike = [(a, b) for a, b in itertools.combinations(sets, 2) if jaccard(sets[a], sets[b]) >= 0.8]
+    found = sum(got[a] == got[b] for a, b in alike)
+    assert alike and found >= 0.98 * len(alike)
 
 
 def test_connected_components_of_paths_and_stars(spark):
@@ -136,7 +158,7 @@ def line_sets(text: str) -> list:
     out = []
     for line in text.split("\n"):
         norm = " ".join("".join(c if c.isalnum() or ord(c) > 127 else " " for c in line.lower()).split())
-        out.append({norm[i : i + 7] for i in range(max(1, len(norm) - 6))} if norm else None)
+        out.append({norm[i : i + 5] for i in range(max(1, len(norm) - 4))} if norm else None)
     return out
 
 
@@ -172,6 +194,32 @@ def test_dedup_lines_rebuilds_texts(spark):
     assert got == {1: "one two three four five\n\nsix seven eight nine", 2: "new line of words here\n", 3: None}
 
 
+def edited_lines(seed: int = 4) -> list[tuple[str, str]]:
+    """English-like lines of 50 to 75 characters with one character or word changed."""
+    rng, out = random.Random(seed), []
+    for _ in range(400):
+        line = " ".join(words(rng, 30, "etaoinshrdlu"))[: rng.randint(50, 75)]
+        at = rng.randrange(len(line))
+        out.append((line, line[:at] + "z" + line[at + 1 :]))
+    return out
+
+
+def test_recall_of_short_edited_lines(spark):
+    pairs = edited_lines()
+    docs = [(2 * k + e, line) for k, pair in enumerate(pairs) for e, line in enumerate(pair)]
+    got = {r.doc_id: r.class_doc_id for r in line_dedup.line_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    alike = [k for k, (a, b) in enumerate(pairs) if jaccard(line_sets(a)[0], line_sets(b)[0]) >= 0.8]
+    assert len(alike) > 300 and sum(got[2 * k] == got[2 * k + 1] for k in alike) >= 0.95 * len(alike)
+
+
+def test_one_line_of_repeated_rows_and_rows_without_id_is_kept(spark):
+    line = "one line of words that is repeated here"
+    docs = spark.createDataFrame([(1, line), (1, line), (None, line + "!"), (2, "another line altogether"), (None, "lone words"), (None, "lone words")], "doc_id long, text string")
+    rows = line_dedup.line_classes(docs).collect()
+    assert sorted((r.doc_id or 0, r.keep) for r in rows) == [(0, False), (0, False), (0, True), (1, False), (1, True), (2, True)]
+    assert sorted(r.text for r in line_dedup.dedup_lines(docs).collect()) == ["", "", "", "another line altogether", "lone words", line]
+
+
 def test_lines_of_awkward_rows(spark):
     rows = line_dedup.line_classes(awkward(spark)).collect()
     by = {(r.doc_id, r.line_no): r for r in rows}
