@@ -195,9 +195,9 @@ def link_buckets(members: DataFrame, verify, texts: Callable[[DataFrame], DataFr
     """
     done: list[str] = []
     scratch = lambda df, name: materialize(df, name, done)
-    # pivots go to their bucket; rows that have met one are spread
+    # pivots go to their bucket; rows that have met one are spread. One sort key: a radix sort
     place = F.when(F.col("id") == F.col("pivot"), F.col("bucket")).otherwise(F.col("id"))
-    met = members.repartition(place).sortWithinPartitions("bucket", F.xxhash64("bucket", "id"))
+    met = members.repartition(place).sortWithinPartitions("bucket")
     live = scratch(met.mapInArrow(_meet, "bucket long, pivot long, id long"), "bucket-members")
     pairs = scratch(live.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct(), "pairs")
     own = scratch(texts(scratch(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "pair-ids")), "pair-texts")

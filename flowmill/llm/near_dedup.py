@@ -75,11 +75,12 @@ def prob_minhash(h: np.ndarray, row: np.ndarray, weight: np.ndarray, n_rows: int
 
 
 def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """A 64-bit bucket for each band of each signature."""
+    """A 64-bit bucket for each band of each signature. A band's registers lie far apart: registers
+    that a sparse signature filled from one neighbour don't make up a band."""
     out = np.zeros((len(sig), bands), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(rows):
-            out += sig[:, k::rows][:, :bands] * tv.salt(200 + k)
+            out += sig[:, k * bands : (k + 1) * bands] * tv.salt(200 + k)
         return tv.mix(out + np.arange(1, bands + 1, dtype=np.uint64) * tv.salt(300))
 
 
