@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import combined_family, finite_or_null, to_number
 
+# Column names of the public capture files.
 RATE_ALIASES = {"Fwd Pkts/s": "Fwd Packets/s", "Bwd Pkts/s": "Bwd Packets/s"}
 DUPLICATE_COLUMNS = ("Fwd Header Length.1",)
-LEAKY_COLUMNS = ("Flow ID", "Source IP", "Source Port", "Destination IP", "Destination Port", "Timestamp", "Src IP", "Src Port", "Dst IP", "Dst Port")
+LEAKY_COLUMNS = ("Flow ID", "Source IP", "Src IP", "Destination IP", "Dst IP", "Source Port", "Src Port", "Timestamp")
 SCHEMA_ONLY_COLUMNS = ("Protocol",)
 HEADER_TOKEN = "Label"
 

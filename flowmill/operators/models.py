@@ -4,32 +4,41 @@ from __future__ import annotations
 
 import random
 
-from pyspark.ml import Pipeline
+from py4j.protocol import Py4JJavaError
+from pyspark.errors.exceptions.captured import CapturedException
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Imputer, MinMaxScaler, RobustScaler, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import metrics as M
-from .prepare import balanced_weights
+from .prepare import balanced_weights, random_oversample, target_quota
+from .sampling import hash_rank
 
+#: Candidates that a model's search draws from. C is the inverse regularisation of a row.
 SPACES = {
-    "random_forest": {"numTrees": [10, 20], "maxDepth": [4, 6, 8], "minInstancesPerNode": [1, 2, 4]},
-    "logistic_regression": {"regParam": [1e-4, 1e-3, 1e-2], "tol": [1e-6, 1e-4]},
+    "random_forest": {"numTrees": [100, 200, 300], "maxDepth": [8, 12, 15], "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["sqrt", "log2", "0.3"]},
+    "boosted_trees": {"maxIter": [50, 100, 200], "maxDepth": [4, 6, 8], "stepSize": [0.03, 0.05, 0.1, 0.2], "subsamplingRate": [0.6, 0.8, 1.0]},
+    "mlp": {"hidden": [(128, 64), (256, 128), (128,), (256, 128, 64)], "stepSize": [5e-4, 1e-3, 3e-3], "blockSize": [256, 512, 1024]},
+    "logistic_regression": {"C": [0.01, 0.1, 1.0, 10.0, 100.0], "tol": [1e-4, 1e-3]},
 }
 
 
-def estimator(name: str, n_classes: int, n_features: int, n_rows: int = 1, **params):
+def estimator(name: str, n_classes: int, n_features: int, n_rows: int, **params):
+    """An unfitted classifier. A penalty of 1 / C on the sum of the rows' losses is 1 / (C * rows) on their mean."""
     common = {"featuresCol": "features", "labelCol": "label"}
     if name == "random_forest":
-        return RandomForestClassifier(**common | {"weightCol": "weight", "numTrees": 20, "maxDepth": 6, "seed": 42} | params)
+        return RandomForestClassifier(**common | {"weightCol": "weight", "numTrees": 100, "maxDepth": 8, "seed": 42} | params)
     if name == "boosted_trees":
-        return OneVsRest(classifier=GBTClassifier(maxIter=5, maxDepth=3, seed=42, **params), parallelism=4, **common)
+        return OneVsRest(classifier=GBTClassifier(**{"maxIter": 10, "maxDepth": 4, "seed": 42} | params), parallelism=4, **common)
     if name == "mlp":
-        return MultilayerPerceptronClassifier(**common | {"layers": [n_features, 16, n_classes], "maxIter": 40, "seed": 42} | params)
+        hidden = params.pop("hidden", (16,))
+        return MultilayerPerceptronClassifier(**common | {"layers": [n_features, *hidden, n_classes], "maxIter": 40, "seed": 42} | params)
     if name == "logistic_regression":
-        return LogisticRegression(**common | {"weightCol": "weight", "family": "multinomial", "regParam": 1.0 / (n_classes * max(1, n_rows)), "maxIter": 50} | params)
+        c = params.pop("C", 1.0)
+        return LogisticRegression(**common | {"weightCol": "weight", "family": "multinomial", "regParam": 1.0 / (c * max(1, n_rows)), "maxIter": 100, "tol": 1e-3} | params)
     raise ValueError(f"unknown model {name!r}")
 
 
@@ -40,8 +49,46 @@ def assemble(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 
 def fit(name: str, train: DataFrame, n_classes: int, **params):
-    head = train.select("features").first()
-    return Pipeline(stages=[estimator(name, n_classes, len(head[0]), **params)]).fit(train)
+    """The fitted classifier in a pipeline of its own; train has features, label and weight."""
+    n_features = len(train.select("features").first()[0])
+    n_rows = train.count() if name == "logistic_regression" else 0
+    return Pipeline(stages=[estimator(name, n_classes, n_features, n_rows, **params)]).fit(train)
+
+
+def oversampled(train: DataFrame, label: str, row_id: str, target, ratio: float, seed: int = 42) -> DataFrame:
+    """train with the target class repeated up to `ratio` of the largest class."""
+    grown = random_oversample(hash_rank(train, label, row_id, seed), target_quota(train, label, target, ratio), label)
+    return grown.select(*train.columns)
+
+
+def fit_pipeline(name: str, train: DataFrame, features: list[str], label: str, row_id: str, *, imbalance: str = "weights", target: str | None = None, ratio: float = 0.3, scaler: str = "standard", **params) -> tuple[PipelineModel, list[str]]:
+    """Medians for gaps and a scaler fitted on training rows, then a classifier fitted on these rows
+    balanced, and the classes in the order of their numbers. imbalance: `weights` (balanced row
+    weights), `oversample` (the target class repeated, without weights) or `none`; it touches neither
+    medians nor scales. Gaps are nulls or NaN."""
+    if imbalance not in ("weights", "oversample", "none"):
+        raise ValueError(f"unknown imbalance handling {imbalance!r}")
+    indexer = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc").fit(train)
+    numbered = indexer.transform(train.withColumns({f: F.col(f).cast("double") for f in features}))
+    numbered = numbered.select(F.col(row_id).alias("row_id"), F.col("label_index").alias("label"), *features)
+    filled = [f"_{f}" for f in features]
+    scalers = {"standard": StandardScaler(inputCol="_raw", outputCol="features", withMean=True), "minmax": MinMaxScaler(inputCol="_raw", outputCol="features"), "robust": RobustScaler(inputCol="_raw", outputCol="features", withCentering=True)}
+    gaps = Imputer(strategy="median", inputCols=features, outputCols=filled, relativeError=1e-4)
+    prepared = Pipeline(stages=[gaps, VectorAssembler(inputCols=filled, outputCol="_raw"), scalers[scaler]]).fit(numbered)
+    ready = prepared.transform(numbered).select("row_id", "label", "features")
+    if imbalance == "oversample":
+        ready = oversampled(ready, "label", "row_id", float(indexer.labels.index(target)), ratio)
+    ready = balanced_weights(ready, "label") if imbalance == "weights" else ready.withColumn("weight", F.lit(1.0))
+    classifier = fit(name, ready, len(indexer.labels), **params)
+    return PipelineModel(stages=[*prepared.stages, *classifier.stages]), indexer.labels
+
+
+def predict(model: PipelineModel, classes: list[str], df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
+    """keep, y_pred (a class by name), confidence and p_<class> of every row; the rows need no label."""
+    out = model.transform(df.withColumns({f: F.col(f).cast("double") for f in features}))
+    p = vector_to_array("probability")
+    name = F.array(*[F.lit(c) for c in classes])[F.col("prediction").cast("int")]
+    return out.select(*keep, name.alias("y_pred"), F.array_max(p).alias("confidence"), *[p[i].alias(f"p_{c}") for i, c in enumerate(classes)])
 
 
 def score(model, df: DataFrame) -> DataFrame:
@@ -88,20 +135,29 @@ def stack(train: DataFrame, test: DataFrame, bases: list[str], n_classes: int, f
 
 def search(name: str, train: DataFrame, n_classes: int, labels: list[int], folds: int, n_iter: int, seed: int = 42) -> DataFrame:
     """(candidate, params, f1_mean, f1_std) of a seeded subset of the model's grid, scored by macro-F1
-    over `fold`; rows with a null fold always train. A candidate that can't be fitted has null scores."""
+    over `fold`; rows with a null fold always train. A candidate that can't be fitted on every fold has null scores."""
     grid = [{}]
     for k, values in SPACES[name].items():
         grid = [g | {k: v} for g in grid for v in values]
     chosen = random.Random(seed).sample(grid, min(n_iter, len(grid)))
-    runs = None
+    train = train.coalesce(1 + train.count() // 50_000).cache()  # a fit is many short passes: few small tasks each
+    runs, rows = None, []
     for i, params in enumerate(chosen):
+        rows.append((i, str(sorted(params.items()))))
         for k in range(folds):
             side = F.coalesce(F.col("fold") != k, F.lit(True))
-            s = score(fit(name, train.where(side), n_classes, **params), train.where(~side))
-            s = s.select(F.struct(F.lit(i).alias("candidate"), F.lit(str(sorted(params.items()))).alias("params"), F.lit(k).alias("fold")).alias("model"), "label", "y_pred")
+            try:
+                s = score(fit(name, train.where(side), n_classes, **params), train.where(~side))
+            except (CapturedException, Py4JJavaError, ValueError, TypeError):
+                continue  # this candidate can't be fitted on this fold
+            s = s.select(F.struct(F.lit(i).alias("candidate"), F.lit(k).alias("fold")).alias("model"), "label", "y_pred")
             runs = s if runs is None else runs.unionByName(s)
-    per = macro_f1(runs, labels).select("model.*", "f1_macro")
-    return per.groupBy("candidate", "params").agg(F.avg("f1_macro").alias("f1_mean"), F.stddev_pop("f1_macro").alias("f1_std"))
+    every = train.sparkSession.createDataFrame(rows, "candidate int, params string")
+    if runs is None:
+        return every.select("*", F.lit(None).cast("double").alias("f1_mean"), F.lit(None).cast("double").alias("f1_std"))
+    per = macro_f1(runs, labels).select("model.*", "f1_macro").groupBy("candidate").agg(F.avg("f1_macro").alias("f1_mean"), F.stddev_pop("f1_macro").alias("f1_std"), F.count("*").alias("_n"))
+    whole = per.where(F.col("_n") == folds).drop("_n")  # a mean over fewer folds can't be compared
+    return every.join(F.broadcast(whole), "candidate", "left")
 
 
 def forest_importance(train: DataFrame, features: list[str], n_classes: int, top_k: int | None = None) -> DataFrame:

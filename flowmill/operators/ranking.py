@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 #: objective's own direction, then by model; compat_ties lets a minimised objective prefer the larger.
 POLICY = {
     "overall": {"maximize": "f1_macro", "tie": "f1_weighted", "constraints": []},
-    "security": {"maximize": "recall_macro", "tie": "binary_recall", "constraints": [("binary_fpr", "<=", 0.2), ("min_per_class_recall", ">", 0.0)]},
-    "deployment": {"minimize": "p95_ms", "tie": "size_mb", "constraints": [("f1_macro", ">=", "-0.1")]},
+    "security": {"maximize": "recall_macro", "tie": "binary_recall", "constraints": [("binary_fpr", "<=", 0.01), ("min_per_class_recall", ">", 0.0)]},
+    "deployment": {"minimize": "p95_ms", "tie": "size_mb", "constraints": [("f1_macro", ">=", "-0.02")]},
 }
 _COMPARE = {"<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, ">": lambda a, b: a > b}
 
@@ -104,9 +104,9 @@ def operational_impact(cm: DataFrame, m: DataFrame, benign: int) -> DataFrame:
 
 
 def trust_verdict(models: DataFrame, classes: int) -> DataFrame:
-    """Warning flags from f1_macro, accuracy, baseline and cv_std."""
+    """Warning flags from f1_macro, accuracy, baseline and cv_std; without folds the stability is null."""
     s = F.col("cv_std")
-    bands = F.when(s <= 0.02, "stable").when(s <= 0.05, "moderate").when(s <= 0.10, "variable").otherwise("unstable")
+    bands = F.when(s < 0.02, "stable").when(s < 0.05, "moderate").when(s < 0.10, "variable").when(s >= 0.10, "unstable")
     return models.select("model", (F.col("f1_macro") >= 0.99).alias("near_perfect"), (F.col("accuracy") - F.col("baseline")).alias("lift"), bands.alias("stability"), F.lit(1.0 / classes).alias("chance"))
 
 

@@ -8,6 +8,8 @@ number of rows a stratum) and only the rows of one bucket are sorted together.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,28 +143,28 @@ def shuffle_labels(df: DataFrame, label: str, row_id: str, seed: int = 42) -> Da
     return one.join(two, "rn").drop("rn")
 
 
-def chronological_split(df: DataFrame, groups: list[str], order: list[str], test_size: float = 0.3) -> DataFrame:
+def chronological_split(df: DataFrame, groups: list[str], order: str, tie: str, test_size: float = 0.3, buckets: int = 200) -> DataFrame:
     """df with `side`: the first max(1, min(n-1, floor(n * (1 - test_size)))) rows of each group
-    train, the rest test; a single row trains. Groups are ranked by plain windows; use
-    chronological_split_skewed where one group holds much of the data."""
-    w = Window.partitionBy(*groups)
-    n = F.count("*").over(w)
-    cut = F.greatest(F.lit(1), F.least(n - 1, F.floor(n * F.lit(1.0 - test_size))))
-    side = F.when((n == 1) | (F.row_number().over(w.orderBy(*order)) <= cut), "train").otherwise("test")
-    return df.withColumn("side", side)
-
-
-def chronological_split_skewed(df: DataFrame, groups: list[str], order: str, tie: str, test_size: float = 0.3, buckets: int = 200) -> DataFrame:
-    """The same split where a group may be huge: `order` (numeric or timestamp) is cut into
-    approximate quantile ranges, ranges' totals are prefix-summed, rows are ranked within a range."""
-    value = F.col(order).cast("double")
-    edges = df.groupBy(*groups).agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)], 1000).alias("_e"))
-    ranged = df.join(edges, groups).withColumn("_r", F.size(F.filter("_e", lambda e: e < value))).drop("_e")
-    counts = ranged.groupBy(*groups, "_r").agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*groups)
-    counts = counts.withColumns({"_ahead": F.coalesce(F.sum("_c").over(w.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_c").over(w)}).drop("_c")
+    train, the rest test; a single row trains. A group may hold most rows: `order` (a number, date or
+    timestamp) is cut into approximate quantile ranges, the ranges' totals are prefix-summed and rows
+    are ranked within a range. Null groups are groups; null orders come first."""
+    keys = [f"_g{i}" for i in range(len(groups))]
+    when = dict(df.dtypes)[order] in ("date", "timestamp", "timestamp_ntz")
+    value = F.col(order).cast("timestamp").cast("double") if when else F.col(order).cast("double")
+
+    def beside(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+        same = [F.col(g).eqNullSafe(F.col(k)) for g, k in zip(groups, keys, strict=True)] + [F.col(m) == F.col(f"{m}k") for m in more]
+        return left.join(right, reduce(lambda a, b: a & b, same)).drop(*keys, *[f"{m}k" for m in more])
+
+    named = [F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)]
+    edges = df.groupBy(*named).agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)], 1000).alias("_e"))
+    at = F.when(value.isNull(), 0).otherwise(F.size(F.filter("_e", lambda e: e < value)))
+    ranged = beside(df, edges).withColumn("_r", at).drop("_e")
+    counts = ranged.groupBy(*named, F.col("_r").alias("_rk")).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys)
+    counts = counts.withColumns({"_ahead": F.coalesce(F.sum("_c").over(w.orderBy("_rk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_c").over(w)}).drop("_c")
     inside = F.row_number().over(Window.partitionBy(*groups, "_r").orderBy(order, tie))
-    placed = ranged.withColumn("_in", inside).join(counts, [*groups, "_r"])
+    placed = beside(ranged.withColumn("_in", inside), counts, "_r")
     cut = F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(1.0 - test_size))))
     side = F.when((F.col("_n") == 1) | (F.col("_ahead") + F.col("_in") <= cut), "train").otherwise("test")
     return placed.withColumn("side", side).drop("_r", "_in", "_ahead", "_n")

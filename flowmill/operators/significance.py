@@ -66,15 +66,18 @@ def separable(p: Column, ci_low: Column, ci_high: Column, alpha: float = 0.05) -
     return F.when(p.isNull() | ci_low.isNull() | ci_high.isNull(), None).otherwise((p < alpha) & ((ci_low > 0) | (ci_high < 0)))
 
 
-def macro_f1(truth: np.ndarray, pred: np.ndarray, weight: np.ndarray, labels: np.ndarray) -> float:
+def macro_f1(truth: np.ndarray, pred: np.ndarray, weight: np.ndarray) -> float:
+    """Macro-F1 over the classes that the weighted rows hold as truth or prediction."""
+    some = weight > 0
+    labels = np.union1d(truth[some], pred[some])
     t = np.array([weight[truth == x].sum() for x in labels], float)
     p = np.array([weight[pred == x].sum() for x in labels], float)
     c = np.array([weight[(truth == x) & (pred == x)].sum() for x in labels], float)
-    return float(np.mean(np.divide(2 * c, t + p, out=np.zeros(len(labels)), where=t + p > 0)))
+    return float(np.mean(2 * c / (t + p))) if len(labels) else 0.0
 
 
-def bootstrap_f1(paired: DataFrame, models: list[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """(model, f1, ci_low, ci_high) of macro-F1 over resamples that all models share.
+def bootstrap_scores(paired: DataFrame, models: list[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """(rep, one column a model) of macro-F1 over resamples that all models share; rep 0 is the rows as they are.
 
     Rows are compressed to distinct (truth, predictions) patterns with counts: at most classes to the
     power models + 1, whatever the number of rows. Each replicate draws multinomial counts of the
@@ -88,14 +91,28 @@ def bootstrap_f1(paired: DataFrame, models: list[str], replicates: int = 1000, s
         for pdf in batches:
             out = []
             for rep, rows in zip(pdf["id"], pdf["p"], strict=True):
-                t = np.array([[r[k] for k in ("y_true", *models)] for r in rows])
-                n = np.array([r["n"] for r in rows])
-                w = n if rep == 0 else np.random.default_rng([seed, int(rep)]).multinomial(n.sum(), n / n.sum())
-                labels = np.unique(t)
-                out += [(int(rep), m, macro_f1(t[:, 0], t[:, 1 + i], w, labels)) for i, m in enumerate(models)]
-            yield pd.DataFrame(out, columns=["rep", "model", "f1"])
-
-    scores = runs.join(F.broadcast(packed)).mapInPandas(draw, "rep long, model string, f1 double")
-    point = F.max(F.when(F.col("rep") == 0, F.col("f1"))).alias("f1")
-    resampled = F.when(F.col("rep") > 0, F.col("f1"))
-    return scores.groupBy("model").agg(point, F.percentile(resampled, F.lit(0.025)).alias("ci_low"), F.percentile(resampled, F.lit(0.975)).alias("ci_high"))
+                t = np.array([[r[k] for k in ("y_true", *models)] for r in rows]).reshape(len(rows), 1 + len(models))
+                n = np.array([r["n"] for r in rows], np.int64)
+                w = n if rep == 0 or not len(n) else np.random.default_rng([seed, int(rep)]).multinomial(n.sum(), n / n.sum())
+                out.append([int(rep), *(macro_f1(t[:, 0], t[:, 1 + i], w) for i in range(len(models)))])
+            yield pd.DataFrame(out, columns=["rep", *models])
+
+    return runs.join(F.broadcast(packed)).mapInPandas(draw, ", ".join(["rep long", *(f"`{m}` double" for m in models)]))
+
+
+def _interval(value: Column) -> list[Column]:
+    resampled = F.when(F.col("rep") > 0, value)  # as many rows as replicates
+    return [F.max(F.when(F.col("rep") == 0, value)).alias("f1"), F.percentile(resampled, F.lit(0.025)).alias("ci_low"), F.percentile(resampled, F.lit(0.975)).alias("ci_high")]
+
+
+def bootstrap_f1(paired: DataFrame, models: list[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """(model, f1, ci_low, ci_high) of macro-F1 over shared resamples."""
+    scores = bootstrap_scores(paired, models, replicates, seed).unpivot(["rep"], models, "model", "score")
+    return scores.groupBy("model").agg(*_interval(F.col("score")))
+
+
+def bootstrap_differences(paired: DataFrame, leader: str, rivals: list[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """(rival, d_f1, ci_low, ci_high): how far each rival's macro-F1 is behind the leader's on the same resamples."""
+    scores = bootstrap_scores(paired, [leader, *rivals], replicates, seed)
+    gaps = scores.select("rep", *[(F.col(leader) - F.col(r)).alias(r) for r in rivals]).unpivot(["rep"], rivals, "rival", "gap")
+    return gaps.groupBy("rival").agg(*_interval(F.col("gap"))).withColumnRenamed("f1", "d_f1")

@@ -35,9 +35,15 @@ def _(spark, d):
     return C.strip_columns(t)
 
 
-@query("schema_report", "select * from (values ('f_missing','missing'), ('ts','extra'), ('capture_day','extra')) t(\"column\", status)")
-def _(spark, d):
-    return C.schema_report(spark, flows(spark, d).columns, EXPECTED)
+@query("schema_report", f"with {FLOWS} select 'f_missing' as \"column\", 'missing' as status, 0::bigint as n_filled union all select 'ts', 'extra', count(ts) from flows union all select 'capture_day', 'extra', count(capture_day) from flows")
+def _(spark, d):
+    """Missing and extra columns of a stored capture, with the filled cells of each extra one."""
+    path = captures.scratch_path(spark, "capture")
+    flows(spark, d).write.parquet(path)
+    stored = spark.read.parquet(path)
+    extra = [c for c in stored.columns if c not in EXPECTED]
+    filled = stored.agg(*[F.count(c).alias(c) for c in extra]).unpivot([], extra, "column", "n_filled")  # a row a column
+    return C.schema_report(spark, stored.columns, EXPECTED).join(F.broadcast(filled), "column", "left").na.fill(0, ["n_filled"])
 
 
 @query("labels_outside_domain", f"with {LABELED} select distinct label from labeled where label not in ('BENIGN','DoS','DDoS','PortScan','Bot','Web Attack','Brute Force','Infiltration','Heartbleed')")

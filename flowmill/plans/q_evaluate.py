@@ -139,16 +139,28 @@ def _(spark, d):
     return M.mcnemar_counts(paired(spark, d), "p0", ["p1", "p2", "p3"])
 
 
-@query("mcnemar_exact")
+_COUNTS = " union all ".join(f"select 'p{k}' as rival, count(*) filter (where p0 = y_true and p{k} <> y_true) as only_leader, count(*) filter (where p0 <> y_true and p{k} = y_true) as only_rival from w" for k in (1, 2, 3))
+
+
+@query("mcnemar_exact", f"with {_WIDE}, c as ({_COUNTS}), t as (select *, only_leader + only_rival as n, least(only_leader, only_rival) as k from c) select rival, only_leader, only_rival, round(least(1.0, 2 * list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))), 9) as p from t")
 def _(spark, d):
     """Two-sided binomial p of each rival's discordant counts."""
-    return G.binomial_p(M.mcnemar_counts(paired(spark, d), "p0", ["p1", "p2", "p3"]))
+    return G.binomial_p(M.mcnemar_counts(paired(spark, d), "p0", ["p1", "p2", "p3"])).withColumn("p", F.round("p", 9))
 
 
 @query("bootstrap_ci")
 def _(spark, d):
     """Macro-F1 of each model: point estimate and percentile interval over shared resamples."""
-    return G.bootstrap_f1(paired(spark, d), ["p0", "p1", "p2", "p3"], replicates=200)
+    return G.bootstrap_f1(paired(spark, d), ["p0", "p1", "p2", "p3"])
+
+
+@query("leader_separability")
+def _(spark, d):
+    """Each rival against the leader: exact p, interval of the difference of macro-F1, whether both tell them apart."""
+    wide, rivals = paired(spark, d), ["p1", "p2", "p3"]
+    p = G.binomial_p(M.mcnemar_counts(wide, "p0", rivals)).select("rival", "p")
+    j = G.bootstrap_differences(wide, "p0", rivals).join(F.broadcast(p), "rival")  # a row a rival
+    return j.withColumn("separable", G.separable(F.col("p"), F.col("ci_low"), F.col("ci_high")))
 
 
 @query("cv_summary", f"with {PREDS}, f as (select model, row_id % 5 as fold, y_true, y_pred from preds), l as (select distinct model, fold, y from (select distinct model, fold from f) cross join (values (0),(1),(2),(3),(4)) t(y)), g as (select l.model, l.fold, l.y, (select count(*) from f where f.model=l.model and f.fold=l.fold and f.y_true=l.y and f.y_pred=l.y) as tp, (select count(*) from f where f.model=l.model and f.fold=l.fold and f.y_true=l.y) as s, (select count(*) from f where f.model=l.model and f.fold=l.fold and f.y_pred=l.y) as p from l), h as (select model, fold, avg(coalesce(2 * tp / nullif(s + p, 0)::double, 0)) as f1 from g group by all) select model, round(avg(f1), 8) as f1_mean, round(stddev_pop(f1), 8) as f1_std from h group by model")
@@ -202,6 +214,13 @@ def _(spark, d):
     return rounded(R.upsert(f, fresh, "model"), "f1_macro")
 
 
+#: The query's own limits, so that the rule-made models split into passing and failing ones.
+_POLICY = R.POLICY | {
+    "security": R.POLICY["security"] | {"constraints": [("binary_fpr", "<=", 0.2), ("min_per_class_recall", ">", 0.0)]},
+    "deployment": R.POLICY["deployment"] | {"constraints": [("f1_macro", ">=", "-0.1")]},
+}
+
+
 @query("policy_rankings", f"""with {FIELD}, b as (select max(f1_macro) as best from field),
 o as (select 'overall' as ranking, model, true as ok, f1_macro as key1, f1_weighted as key2 from field
  union all select 'security', model, coalesce(binary_fpr <= 0.2, false) and coalesce(min_per_class_recall > 0, false), recall_macro, binary_recall from field
@@ -210,12 +229,12 @@ oo as (select *, bool_or(ok) over (partition by ranking) as any_ok from o),
 r as (select *, row_number() over (partition by ranking order by key1 desc, key2 desc, model) as rk from oo where ok or not any_ok)
 select ranking, model, case when any_ok then 'policy_pass' else 'conditional_no_model_meets_constraints' end as status from r where rk = 1""")
 def _(spark, d):
-    return R.policy_rankings(field(spark, d), R.POLICY).select("ranking", "model", "status")
+    return R.policy_rankings(field(spark, d), _POLICY).select("ranking", "model", "status")
 
 
 @query("policy_exclusions", f"with {FIELD}, b as (select max(f1_macro) as best from field) select 'security' as ranking, model, case when coalesce(binary_fpr <= 0.2, false) then 'min_per_class_recall' else 'binary_fpr' end as failed from field where not (coalesce(binary_fpr <= 0.2, false) and coalesce(min_per_class_recall > 0, false)) union all select 'deployment', model, 'f1_macro' from field, b where f1_macro < best - 0.1")
 def _(spark, d):
-    return R.policy_exclusions(field(spark, d), R.POLICY)
+    return R.policy_exclusions(field(spark, d), _POLICY)
 
 
 @query("champion", f"with {FIELD}, t as (select *, coalesce(binary_fpr <= 0.2, false) as ok, bool_or(coalesce(binary_fpr <= 0.2, false)) over () as any_ok from field where binary_fpr is not null) select model, case when any_ok then 'policy_pass' else 'conditional_no_model_meets_fpr' end as status, round(binary_fpr, 8) as fpr, round(f1_macro, 8) as f1_macro from t where ok or not any_ok order by case when any_ok then -f1_macro else binary_fpr end, f1_macro desc, model limit 1")
@@ -229,7 +248,7 @@ def _(spark, d):
     return R.operational_impact(c, M.marginals(c), BENIGN).select("model", F.round("alerts_per_10k", 6).alias("alerts_per_10k"), "missed", "worst_class", F.round("worst_recall", 8).alias("worst_recall"))
 
 
-@query("trust_verdict", f"with {METRICS}, bl as (select max(n) / sum(n)::double as b from (select y_true, count(*) as n from preds where model = 0 group by 1)) select model, f1_macro >= 0.99 as near_perfect, round(accuracy - b, 8) as lift, case when 0.01 * (model + 1) <= 0.02 then 'stable' when 0.01 * (model + 1) <= 0.05 then 'moderate' when 0.01 * (model + 1) <= 0.1 then 'variable' else 'unstable' end as stability, 0.2::double as chance from mm, bl")
+@query("trust_verdict", f"with {METRICS}, bl as (select max(n) / sum(n)::double as b from (select y_true, count(*) as n from preds where model = 0 group by 1)) select model, f1_macro >= 0.99 as near_perfect, round(accuracy - b, 8) as lift, case when 0.01 * (model + 1) < 0.02 then 'stable' when 0.01 * (model + 1) < 0.05 then 'moderate' when 0.01 * (model + 1) < 0.1 then 'variable' else 'unstable' end as stability, 0.2::double as chance from mm, bl")
 def _(spark, d):
     p = preds(spark, d)
     base = p.where("model = 0").groupBy("y_true").agg(F.count("*").alias("n")).agg((F.max("n") / F.sum("n")).alias("baseline"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.labels import combined_family, finite_or_null
 from ..operators import explain as X
 from ..operators import imbalance as I
 from ..operators import models as ML
 from ..operators import sampling as S
+from ..sources import batch, captures
 from .catalog import query
-from .views import table
+from .views import flows, table
 
 LABELS = list(range(10))
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
@@ -59,10 +61,41 @@ def _(spark, d):
     return s.select("row_id", "label", "y_pred", "confidence", *[F.round(F.col("probability")[k], 6).alias(f"p_{k}") for k in LABELS])
 
 
+_FLOW_FEATURES = ["f_rate", "f_value", "f_user", "f_k"]
+
+
+def _flow_sides(spark, d):
+    """Usable flows, gaps left in, with a seeded side."""
+    f = flows(spark, d).withColumn("label", combined_family(F.col("label_raw"))).where("label <> 'Other'")
+    f = f.select("row_id", "label", *[finite_or_null(F.col(c)).alias(c) for c in _FLOW_FEATURES])
+    return S.split_random(f, "label", "row_id", min_test=3)
+
+
+@query("model_pipeline")
+def _(spark, d):
+    """Gaps, scaling and oversampling learnt from training rows, then test rows scored with class names."""
+    sides = _flow_sides(spark, d)
+    model, classes = ML.fit_pipeline("logistic_regression", sides.where("side = 'train'").drop("side"), _FLOW_FEATURES, "label", "row_id", imbalance="oversample", target="Infiltration")
+    scored = ML.predict(model, classes, sides.where("side = 'test'"), _FLOW_FEATURES, ["row_id", "label"])
+    return scored.withColumns({c: F.round(c, 6) for c in scored.columns if c.startswith("p_") or c == "confidence"})
+
+
+@query("score_csv")
+def _(spark, d):
+    """Uploaded CSVs scored into CSVs: names stripped, features read as numbers, classes by name; read back."""
+    sides = _flow_sides(spark, d)
+    model, classes = ML.fit_pipeline("random_forest", sides.where("side = 'train'").drop("side"), _FLOW_FEATURES, "label", "row_id", numTrees=20)
+    path = captures.scratch_path(spark, "upload")
+    test = sides.where("side = 'test'").select("row_id", F.col("label").alias("Label"), *_FLOW_FEATURES)
+    test.toDF(*[f" {c}" for c in test.columns]).repartition(3, " row_id").write.option("header", True).csv(f"{path}/in")
+    batch.score_csv(spark, f"{path}/in", f"{path}/out", model, classes, _FLOW_FEATURES, keep=["row_id", "Label"])
+    return batch.read_predictions(spark, f"{path}/out").select("row_id", "Label", "y_pred", F.round("confidence", 6).alias("confidence"))
+
+
 @query("model_search")
 def _(spark, d):
     train, _test = _ready(spark, d)
-    return ML.search("logistic_regression", train.cache(), 10, LABELS, 3, 2)
+    return ML.search("logistic_regression", train, 10, LABELS, 3, 10)
 
 
 @query("label_shuffle_sanity")
@@ -73,7 +106,7 @@ def _(spark, d):
 
     from ..operators.prepare import balanced_weights
 
-    mixed = S.split_random(S.shuffle_labels(S.balanced_cap(e, "y", "row_id", 5000), "y", "row_id"), "y", "row_id", min_test=3)
+    mixed = S.split_random(S.shuffle_labels(S.balanced_cap(e, "y", "row_id", 100_000), "y", "row_id"), "y", "row_id", min_test=3)
     v = balanced_weights(mixed.select("row_id", "side", array_to_vector("x").alias("features"), F.col("y").cast("double").alias("label")), "label")
     s = ML.score(ML.fit("logistic_regression", v.where("side = 'train'").cache(), 10), v.where("side = 'test'"))
     return ML.macro_f1(s, LABELS).select("f1_macro", F.lit(0.1).alias("chance"))

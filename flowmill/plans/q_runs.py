@@ -11,7 +11,8 @@ from ..streaming import score_stream as ST
 from .catalog import query
 from .q_clean import clean
 from .q_evaluate import METRICS, cm
-from .views import flows
+from .q_split import nested_sql
+from .views import CLEAN, LABELED, flows
 
 
 @query("normalize_runs", f"with {METRICS} select 'a' as bundle, model, round(accuracy, 8) as accuracy, round(f1_macro, 8) as f1_macro, null::double as f1_weighted, case when model = 1 then null else 10.0::double + model end as p95_ms from mm union all select 'b', model, null, round(f1_macro, 8), round(f1_weighted, 8), null from mm")
@@ -33,7 +34,7 @@ def _(spark, d):
     return bundles.file_fingerprints(spark, path).groupBy("folder").agg(F.count("*").alias("files"), F.max((F.col("size") > 0).cast("int")).alias("nonempty"))
 
 
-@query("manifest_diff")
+@query("manifest_diff", "select * from (values ('hash', 1::bigint), ('missing', 1), ('path escape', 1)) t(problem, n)")
 def _(spark, d):
     """Files against their declared sizes and SHA-256: one is declared wrong, one doesn't exist."""
     path = captures.scratch_path(spark, "artifacts")
@@ -41,7 +42,7 @@ def _(spark, d):
     return bundles.manifest_diff_demo(spark, path)
 
 
-@query("sample_cache")
+@query("sample_cache", f"with {CLEAN}, " + nested_sql("clean", "label", "row_id", "(select count(*) // 2 from clean)", 5, "42", "label, count(*) as n", " group by label"))
 def _(spark, d):
     """A sized sample written under its size and read back; its row count must match."""
     c = clean(spark, d)
@@ -51,7 +52,7 @@ def _(spark, d):
     return bundles.require_rows(spark.read.parquet(path), size).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("result_sinks")
+@query("result_sinks", "select 0::bigint as differing")
 def _(spark, d):
     """Matrices and metrics to partitioned Parquet and JSON, read back: differing cells (none)."""
     path = captures.scratch_path(spark, "results")
@@ -60,7 +61,7 @@ def _(spark, d):
     return M.confusion_diff(c, spark.read.parquet(f"{path}/confusion").drop("run_id")).agg(F.count("*").alias("differing"))
 
 
-@query("score_stream")
+@query("score_stream", f"with {LABELED} select label, case when isfinite(f_rate) and f_rate > 50 then 'Attack' else 'Normal' end as decision, count(*) as n from labeled group by all")
 def _(spark, d):
     """Flows written as files, scored by a file stream into Parquet, counted by class and decision."""
     path = captures.scratch_path(spark, "stream")

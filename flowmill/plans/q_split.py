@@ -21,7 +21,7 @@ def _ordered(label: str, seed: int, source: str = "clean", row: str = "row_id")
 
 
 def split(spark, d):
-    return S.chronological_split(clean(spark, d), ["source_file", "label"], ["row_index", "row_id"])
+    return S.chronological_split(clean(spark, d), ["source_file", "label"], "row_index", "row_id")
 
 
 @query("temporal_split", f"with {SPLIT} select row_id, source_file, label, side from split")
@@ -31,8 +31,8 @@ def _(spark, d):
 
 @query("temporal_split_skewed", f"with {SPLIT} select row_id, source_file, label, side from split")
 def _(spark, d):
-    """The same split by the form that never sorts a whole group in one task."""
-    return S.chronological_split_skewed(clean(spark, d), ["source_file", "label"], "row_index", "row_id").select("row_id", "source_file", "label", "side")
+    """The same split with few ranges a group."""
+    return S.chronological_split(clean(spark, d), ["source_file", "label"], "row_index", "row_id", buckets=16).select("row_id", "source_file", "label", "side")
 
 
 _BY_DAY = f"""{CLEAN}, g as (select *, row_number() over (partition by capture_day, label order by ts, row_id) as rn, count(*) over (partition by capture_day, label) as n from clean),
@@ -40,7 +40,7 @@ split as (select *, case when n = 1 or rn <= {_CUT} then 'train' else 'test' end
 
 
 def by_day(spark, d):
-    return S.chronological_split(clean(spark, d), ["capture_day", "label"], ["ts", "row_id"])
+    return S.chronological_split(clean(spark, d), ["capture_day", "label"], "ts", "row_id")
 
 
 @query("temporal_split_by_day", f"with {_BY_DAY} select row_id, label, side from split")
@@ -108,21 +108,21 @@ def _(spark, d):
     return S.split_random(clean(spark, d), "label", "row_id", min_test=50).select("row_id", "label", "side")
 
 
-def _nested_sql(table_: str, label: str, row: str, size: str, least: int, seed: str) -> str:
+def nested_sql(table_: str, label: str, row: str, size: str, least: int, seed: str, out: str = "", after: str = "") -> str:
     return f"""c as (select {label} as label, count(*) as n from {table_} group by 1),
 q0 as (select label, n, greatest(least({least}, n), least(floor({size} * n / sum(n) over ())::bigint, n)) as q, row_number() over (order by n desc, label) = 1 as big from c),
 q as (select label, case when big then {size} - (sum(q) over () - q) else q end as quota from q0),
 r as (select t.*, row_number() over (partition by {label} order by md5(concat_ws(':', '{seed}', {label}, {row}::varchar)), {row}) as rn from {table_} t)
-select {row}, {label} from r join q on r.{label} = q.label where rn <= quota"""
+select {out.replace("label", f"r.{label}", 1) or f"{row}, {label}"} from r join q on r.{label} = q.label where rn <= quota{after.replace("label", f"r.{label}")}"""
 
 
-@query("nested_sample", "with k as (select count(*) // 4 as k from orders), " + _nested_sql("orders", "o_orderpriority", "o_orderkey", "(select k from k)", 50, "42"))
+@query("nested_sample", "with k as (select count(*) // 4 as k from orders), " + nested_sql("orders", "o_orderpriority", "o_orderkey", "(select k from k)", 50, "42"))
 def _(spark, d):
     o = table(spark, d, "orders")
     return S.nested_sample(o, "o_orderpriority", "o_orderkey", o.count() // 4, 50).select("o_orderkey", "o_orderpriority")
 
 
-@query("independent_sample", "with " + _nested_sql("orders", "o_orderpriority", "o_orderkey", "1000", 10, str(42 * 1_000_003 + 1000)))
+@query("independent_sample", "with " + nested_sql("orders", "o_orderpriority", "o_orderkey", "1000", 10, str(42 * 1_000_003 + 1000)))
 def _(spark, d):
     return S.independent_sample(table(spark, d, "orders"), "o_orderpriority", "o_orderkey", 1000, 10).select("o_orderkey", "o_orderpriority")
 

@@ -34,7 +34,7 @@ def test_label_functions(spark):
 def test_clean_chain_drops_columns_and_rows(spark):
     df = spark.createDataFrame([("1", "80", "BENIGN", "2"), ("x", "80", "DDoS", "3"), ("Infinity", "80", "DDoS", "4"), ("4", "80", "DDoS", "5"), ("Label", "80", "Label", "1")], "` Fwd Pkts/s` string, ` Destination Port` string, ` Label` string, `Protocol` string")
     out = clean.clean_flows(df, "Label", ["Fwd Packets/s"])
-    assert out.columns == ["Fwd Packets/s", "label"] and sorted(map(tuple, out.collect())) == [(1.0, "BENIGN"), (4.0, "DDoS")]
+    assert out.columns == ["Fwd Packets/s", "Destination Port", "label"] and sorted(map(tuple, out.collect())) == [(1.0, "80", "BENIGN"), (4.0, "80", "DDoS")]
 
 
 def test_validation(spark):
@@ -69,7 +69,7 @@ def frame(spark, counts):
 
 def test_chronological_split(spark):
     df = frame(spark, {"A": 90, "B": 2, "C": 1, "D": 11}).withColumn("source", F.lit("s"))
-    for s in (S.chronological_split(df, ["source", "label"], ["ord", "row_id"]), S.chronological_split_skewed(df, ["source", "label"], "ord", "row_id", buckets=7)):
+    for s in (S.chronological_split(df, ["source", "label"], "ord", "row_id"), S.chronological_split(df.withColumn("source", F.lit(None).cast("string")), ["source", "label"], "ord", "row_id", buckets=7)):
         assert {r.label: (r.n_train, r.n_test) for r in S.split_manifest(s, "label").collect()} == {"A": (62, 28), "B": (1, 1), "C": (1, 0), "D": (7, 4)}
         assert s.where("label = 'A' and side = 'train'").agg(F.max("ord")).first()[0] == 61
     assert [tuple(r) for r in S.require_test_rows(s, "label", 3).collect()] == [("B", 1)]
@@ -133,7 +133,7 @@ def test_threshold_calibration(spark):
 def test_rankings(spark):
     rows = [("rf", 0.88, 0.95, 0.9, 0.99, 0.005, 0.4, 80.0, 100.0), ("xgb", 0.87, 0.96, 0.85, 0.99, 0.004, 0.2, 40.0, 15.0), ("mlp", 0.6, 0.9, 0.95, 0.9, 0.2, 0.1, 5.0, 1.0), ("lr", 0.5, 0.8, 0.6, 0.7, None, 0.0, 1.0, 0.1)]
     df = spark.createDataFrame(rows, "model string, f1_macro double, f1_weighted double, recall_macro double, binary_recall double, binary_fpr double, min_per_class_recall double, p95_ms double, size_mb double")
-    policy = {**ranking.POLICY, "security": {**ranking.POLICY["security"], "constraints": [("binary_fpr", "<=", 0.01), ("min_per_class_recall", ">", 0.0)]}, "deployment": {**ranking.POLICY["deployment"], "constraints": [("f1_macro", ">=", "-0.02")]}}
+    policy = ranking.POLICY
     got = {r.ranking: (r.model, r.status) for r in ranking.policy_rankings(df, policy).collect()}
     assert got == {"overall": ("rf", "policy_pass"), "security": ("rf", "policy_pass"), "deployment": ("xgb", "policy_pass")}
     strict = {"s": {"maximize": "recall_macro", "tie": "binary_recall", "constraints": [("binary_fpr", "<=", 0.0)]}}
@@ -162,6 +162,54 @@ def test_significance(spark):
         assert r.ci_low <= r.f1 <= r.ci_high and r.ci_high - r.ci_low < 0.2
 
 
+def test_bootstrap_of_a_rare_class_and_of_differences(spark):
+    """A resample that holds no row of the rare class averages over the classes it has, as the point estimate does."""
+    rows = [(i, 0, 0, 0) for i in range(199)] + [(199, 1, 1, 0)]
+    paired = spark.createDataFrame(rows, "row_id long, y_true int, p0 int, p1 int")
+    got = {r.model: r for r in significance.bootstrap_f1(paired, ["p0", "p1"], 200).collect()}
+    assert (got["p0"].f1, got["p0"].ci_low, got["p0"].ci_high) == (1.0, 1.0, 1.0) and got["p1"].ci_high == 1.0
+    d = significance.bootstrap_differences(paired, "p0", ["p1"], 200).first()
+    assert d.d_f1 == pytest.approx(1 - 199 * 2 / 399 / 2) and d.ci_low == 0.0 and 0.4 < d.ci_high < 0.6
+    assert significance.macro_f1(np.array([0, 0, 1]), np.array([0, 2, 1]), np.array([1, 1, 1])) == pytest.approx((2 / 3 + 1 + 0) / 3)
+
+
+def test_trust_bands(spark):
+    rows = [("a", 0.0199), ("b", 0.02), ("c", 0.05), ("d", 0.1), ("e", None)]
+    df = spark.createDataFrame(rows, "model string, cv_std double").selectExpr("*", "0.5 as f1_macro", "0.5 as accuracy", "0.4 as baseline")
+    assert {r.model: r.stability for r in ranking.trust_verdict(df, 5).collect()} == {"a": "stable", "b": "moderate", "c": "variable", "d": "unstable", "e": None}
+
+
+def test_regularisation_of_logistic_regression(spark):
+    df = spark.range(400).selectExpr("id as row_id", "cast(id % 7 as double) as a", "cast(id % 7 > 3 as int) as y")
+    ready = models.assemble(df, ["a"], "y")
+    assert models.fit("logistic_regression", ready, 2).stages[-1].getRegParam() == pytest.approx(1 / 400)
+    assert models.fit("logistic_regression", ready, 2, C=10.0).stages[-1].getRegParam() == pytest.approx(1 / 4000)
+
+
+def test_pipeline_learns_from_training_rows_only(spark):
+    rows = [(i, float(i % 7), None if i % 9 == 0 else float(i % 5), "odd" if i % 10 == 0 else "plain") for i in range(300)]
+    train = spark.createDataFrame(rows, "row_id long, a double, b double, Label string")
+    test = spark.createDataFrame([(1000, 1e9, None), (1001, 3.0, 2.0)], "row_id long, a double, b double")
+    for how in ("weights", "oversample", "none"):
+        model, classes = models.fit_pipeline("logistic_regression", train, ["a", "b"], "Label", "row_id", imbalance=how, target="odd", ratio=0.5)
+        assert classes == ["odd", "plain"] and model.stages[0].surrogateDF.first().b == 2.0
+        got = models.predict(model, classes, test, ["a", "b"], ["row_id"]).collect()
+        assert [set(r.asDict()) for r in got] == [{"row_id", "y_pred", "confidence", "p_odd", "p_plain"}] * 2
+        assert all(r.y_pred in classes and r.p_odd + r.p_plain == pytest.approx(1) for r in got)
+    grown = models.oversampled(train, "Label", "row_id", "odd", 0.5)
+    assert {r.Label: r["count"] for r in grown.groupBy("Label").count().collect()} == {"odd": 135, "plain": 270}
+    with pytest.raises(ValueError, match="imbalance"):
+        models.fit_pipeline("logistic_regression", train, ["a"], "Label", "row_id", imbalance="other")
+
+
+def test_search_gives_null_for_a_failing_candidate(spark, monkeypatch):
+    df = spark.range(120).selectExpr("id as row_id", "cast(id % 7 as double) as a", "cast(id % 7 > 3 as int) as y", "cast(id % 2 as int) as fold")
+    ready = models.assemble(df, ["a"], "y").join(df.select("row_id", "fold"), "row_id").cache()
+    monkeypatch.setitem(models.SPACES, "logistic_regression", {"C": [1.0], "tol": [1e-3, -1.0]})
+    got = {r.params: r.f1_mean for r in models.search("logistic_regression", ready, 2, [0, 1], 2, 5).collect()}
+    assert got["[('C', 1.0), ('tol', -1.0)]"] is None and got["[('C', 1.0), ('tol', 0.001)]"] > 0.9
+
+
 def test_preparation(spark):
     df = spark.createDataFrame([(1.0, 5.0, None), (2.0, 5.0, None), (4.0, None, None)], "a double, b double, c double")
     assert prepare.impute_median(df, df, ["a", "b", "c"]).agg(F.sum("b"), F.sum("c")).first()[:] == (15.0, 0.0)
