@@ -93,25 +93,93 @@ def tokens(text):
 
 
 def score_rows(spark, docs, trained):
-    model, vocab = brown_lm.train(trained)
-    return brown_lm.score(docs, model, vocab).collect(), model
+    model, rest = brown_lm.train(trained)
+    return brown_lm.score(docs, model, rest).collect(), (model, {r.h: (r.n, r.cls) for r in rest.collect()})
 
 
 def test_counts_and_base_score_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(brown_lm, "HEAD", 40)
-    monkeypatch.setattr(brown_lm, "CLUSTERED", 20)
+    monkeypatch.setattr(brown_lm, "SEEDS", 20)
     rng, vocab = random.Random(2), words(random.Random(1), 120)
     docs = [(i, " ".join(rng.choice(vocab[: 20 + i]).upper() if rng.random() < 0.1 else rng.choice(vocab[: 20 + i]) for _ in range(rng.randint(0, 60))), "", "", 0) for i in range(60)]
     df = spark.createDataFrame(docs, DOCS)
-    out, model = score_rows(spark, df, df.where("doc_id % 3 <> 0"))
+    out, (model, rest) = score_rows(spark, df, df.where("doc_id % 3 <> 0"))
     c = collections.Counter(t for i, x, *_ in docs if i % 3 for t in tokens(x))
     n, v = sum(c.values()), len(c)
-    assert len(model.head) <= 41
+    assert len(model.head) <= 41 and len(model.head) + len(rest) == v
+    # class of each word, then every count of the model by brute force
+    head = {int(k): (int(m), int(x)) for k, m, x in zip(model.head, model.head_n, model.head_class)}
+
+    def key(word):
+        if word is None:
+            return brown_lm.END_KEY
+        data = np.frombuffer(word.encode(), np.uint8)
+        h, shape, _ = brown_lm.token_stream(data, np.array([0, len(data)]))
+        return int(brown_lm.keyed(h[:1], shape[:1])[0])
+
+    signed = lambda k: k - (1 << 64) if k >= 1 << 63 else k
+    context = lambda k: head[k][1] if k in head else brown_lm.CLASSES + 1 + (k & 3)
+    trans = np.zeros((brown_lm.TOTAL, brown_lm.TOTAL))
+    for i, x, *_ in docs:
+        before = brown_lm.CLASSES
+        for t in tokens(x) if i % 3 else []:
+            k = key(t)
+            if k in head:
+                trans[before, head[k][1]] += 1
+                assert head[k][0] == c[t]
+            else:
+                m, cls = rest[signed(k)]
+                assert m == c[t] and 0 <= cls < brown_lm.CLASSES
+                trans[before, cls] += 1 - brown_lm.DISCOUNT / m
+                trans[before, brown_lm.CLASSES + 1 + (k & 3)] += brown_lm.DISCOUNT / m
+            before = context(k)
+    into = trans.sum(0)
+    p_class = (trans + brown_lm.PRIOR * (into + 1) / (into.sum() + brown_lm.TOTAL)) / (trans.sum(1, keepdims=True) + brown_lm.PRIOR)
+    assert np.allclose(model.transition, p_class) and np.allclose(model.class_n, into)
+    unseen = collections.Counter(k & 3 for k in rest)
+
+    def brute(text):
+        total, before = 0.0, brown_lm.CLASSES
+        for t in tokens(text):
+            k = key(t)
+            if k in head:
+                p = p_class[before, head[k][1]] * head[k][0] / into[head[k][1]]
+            elif signed(k) in rest:
+                m, cls = rest[signed(k)]
+                p = p_class[before, cls] * (m - brown_lm.DISCOUNT) / into[cls]
+            else:
+                p = p_class[before, brown_lm.CLASSES + 1 + (k & 3)] / (unseen[k & 3] + 1)
+            total += math.log10(brown_lm.MIXTURE * p + (1 - brown_lm.MIXTURE) * (c[t] + 1) / (n + v + 1))
+            before = context(k)
+        return total
     for r in out:
         t = tokens(docs[r.doc_id][1])
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[x] > 0 for x in t), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t))
-        assert r.score < 0
+        assert r.score == pytest.approx(brute(docs[r.doc_id][1]))
+
+
+def test_exchange_raises_the_exact_likelihood():
+    rng = np.random.default_rng(5)
+    words_, size = 60, 60 + 1 + brown_lm.SHAPES
+    a, b = rng.integers(0, size, 3000), rng.integers(0, size, 3000)
+    b = np.where((a > 0) & (a <= words_), (a + 30 * rng.integers(0, 2, 3000)) % size, b)
+    n = rng.integers(1, 9, 3000)
+    seen = []
+
+    def value(cls):
+        t = brown_lm.TOTAL
+        return brown_lm.likelihood(np.bincount(cls[a] * t + cls[b], n.astype(float), t * t).reshape(t, t))
+
+    start = np.concatenate([[brown_lm.CLASSES], np.arange(words_) % brown_lm.CLASSES, brown_lm.CLASSES + 1 + np.arange(brown_lm.SHAPES)])
+    seen.append(value(start))
+    final = brown_lm.exchange(a, b, n, words_, moved=lambda cls: seen.append(value(cls)))
+    assert len(seen) > 20 and all(y > x for x, y in zip(seen, seen[1:])) and value(final) == seen[-1]
+    for w in range(1, words_ + 1):  # no single move is better: a local optimum
+        for g in range(brown_lm.CLASSES):
+            other = final.copy()
+            other[w] = g
+            assert value(other) <= seen[-1] + 1e-6
 
 
 def test_classes_beat_the_base_on_structured_text(spark):
