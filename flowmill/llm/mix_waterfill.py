@@ -48,7 +48,8 @@ def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
 def _key(doc_id: Column, seed: int) -> Column:
     """The seeded order of documents within a source; hexadecimal, so that a prefix names a bucket."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+    own = F.concat(F.lit("null:"), F.coalesce(F.md5("text"), F.lit("")))  # rows without an id go by their texts
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), own)))
 
 
 def plan(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
@@ -89,7 +90,7 @@ def _with_copies(docs: DataFrame, mix: DataFrame, seed: int) -> tuple[DataFrame,
 
 def copies(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, n_copies): how often the mix takes each row."""
-    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    narrow = docs.select("doc_id", "source", "text", word_count(F.col("text")).alias("size"))
     out, name = _with_copies(narrow, plan(docs, max_epochs, seed), seed)
     return out.select("doc_id", "source", "size", *[F.col(name[c]).alias(c) for c in ("source_size", "target")], F.col(name["copies"]).alias("n_copies"))
 

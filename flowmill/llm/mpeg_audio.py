@@ -5,9 +5,11 @@ ID3v2 tag and a frame with the variable-bitrate table come frames whose side inf
 (they decode to silence) and whose ancillary area carries as many whole 64-byte units as it has room
 for, so the last frames have lower bitrates. Every frame has its CRC-16; an ID3v1 tag ends the stream.
 
-The reader handles any MPEG audio: it parses the tags and the table, follows frame headers,
-resynchronises where one is damaged (a candidate counts if another header, or the end, follows its
-frame), verifies the checksums and yields exact durations and the byte offset of every frame.
+The reader follows MPEG-1, -2 and -2.5 streams of all three layers with stated bitrates (no free
+format): it parses ID3 tags and a Xing or Info table (no VBRI), follows frame headers, resynchronises
+where one is damaged (a candidate counts if another header, or the end, follows its frame), verifies
+the checksums of Layer III frames (those of Layers I and II cover other bits and are passed over) and
+yields the exact duration, frame by frame at each one's sample rate, and the byte offset of every frame.
 
 Defined results: null and empty texts are one unit of zeros; equal texts have equal media; a stream
 without a frame has duration 0; extra columns and repeated rows change nothing.
@@ -20,6 +22,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -149,6 +152,7 @@ class Stream:
     offsets: list[int] = field(default_factory=list)
     samples: int = 0
     sample_rate: int = 0
+    seconds: Fraction = Fraction(0)
     bad_crc: int = 0
     skipped: int = 0
     payload: bytearray = field(default_factory=bytearray)
@@ -179,7 +183,7 @@ def decode(data: bytes) -> Stream:
     if end - at >= 128 and bytes(buf[end - 128 : end - 125]) == b"TAG":
         out.tags["id3v1_genre"] = str(buf[end - 1])
         end -= 128
-    first, like = True, None
+    first, like, at_rate = True, None, {}
     while at + 4 <= end:
         h = parse_header(bytes(buf[at : at + 4]))
         # right after a frame a header of its kind is believed; else another one, or the end, must follow
@@ -206,11 +210,13 @@ def decode(data: bytes) -> Stream:
             out.offsets.append(at)
             out.samples += h.samples
             out.sample_rate = h.sample_rate
+            at_rate[h.sample_rate] = at_rate.get(h.sample_rate, 0) + h.samples
             out.frame_kinds[h.kbps] = out.frame_kinds.get(h.kbps, 0) + 1
             out.payload += buf[mark : mark + capacity(h)]
         first, like = False, h.kind
         at += h.size
     out.skipped += max(0, end - at)
+    out.seconds = sum((Fraction(n, hz) for hz, n in at_rate.items()), Fraction(0))
     return out
 
 
@@ -241,7 +247,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kinds = ",".join(f"{k}:{n}" for k, n in sorted(s.frame_kinds.items()))
                 seek_ok = s.table is not None and s.table[0] == len(s.offsets)
                 feature = f"frames={len(s.offsets)};kbps={kinds};samples={s.samples};hz={s.sample_rate};bad_crc={s.bad_crc};skipped={s.skipped};table={int(seek_ok)};seek={zlib.crc32(offsets.tobytes()):08x}"
-                out.append((int(s.tags.get("payload_bytes", 0) or 0), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), s.samples / s.sample_rate if s.sample_rate else 0.0, s.offsets, feature))
+                out.append((int(s.tags.get("payload_bytes", 0) or 0), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), float(s.seconds), s.offsets, feature))
             kinds_ = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.list_(pa.int64()), pa.string()]
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds_, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "duration_s", "seek_offsets", "feature"])
 

@@ -40,12 +40,11 @@ def op3_langid_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc_chunks.read_records(warc_chunks.write_records(table(spark, sf_dir, "pages")))
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mpeg_audio.probe(mpeg_audio.store(table(spark, sf_dir, "documents")))
-    return found.drop("seek_offsets")
+    return mpeg_audio.probe(mpeg_audio.store(table(spark, sf_dir, "documents")))
 
 
 def op6_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +87,7 @@ e as (select page_id, n, x, list_aggregate(list_transform(range(32), lambda i:
       min(page_id) over (partition by x, n) as first_id from d)
 select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest,
        case when page_id = first_id then 'response' else 'revisit' end as record_type,
-       case when page_id <> first_id then first_id end as refers_to
+       case when page_id <> first_id then first_id end as refers_to, true as intact
 from e""",
     "op9_mix_waterfill": f"""
 with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size,

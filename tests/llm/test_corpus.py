@@ -81,6 +81,27 @@ def test_mix_comes_near_its_targets(spark, sf_dir):
     assert sum({source[r.doc_id]: r.target for r in rows}.values()) == pytest.approx(sum(r.size for r in rows))
 
 
+def test_rows_without_ids_are_taken_one_by_one(spark):
+    rows = [(None, " ".join(["w"] * (1 + k % 5)) + f" t{k}", None, ["a", "b"][k % 4 == 0], 0) for k in range(200)]
+    got = mix_waterfill.copies(spark.createDataFrame(rows, DOCS)).collect()
+    for s in "ab":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.size * r.n_copies for r in own) - own[0].target) <= max(r.size for r in own)
+
+
+def test_pipeline_stages_on_awkward_rows(spark, sf_dir):
+    """Nulls, repeats, long texts and clashing columns through every stage."""
+    docs = awkward(spark)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == columns and (name == "mixing" or docs.count() <= before)
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert out.count() == docs.count()
+
+
 def test_mixing_repeats_rows(spark):
     df = awkward(spark)
     n = {(r.doc_id, r.source, r.size): r.n_copies for r in mix_waterfill.copies(df).collect()}

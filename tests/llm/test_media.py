@@ -27,7 +27,7 @@ def test_warc_round_trip_in_small_chunks(spark):
     rows = [(5, "http://a", "é" * 1000), (3, "http://b\r\nx", "é" * 1000), (9, None, None), (4, "u", ""), (7, "u", "abc"), (None, "n", "abc"), (8, "v", "abc"), (7, "u", "abc")]
     pages = spark.createDataFrame(rows, PAGES).selectExpr("*", "'x' as digest", "1 as record_no", "true as last")
     chunks = W.write_records(pages, chunk=64)
-    assert chunks.agg(F.max(F.length("data"))).first()[0] < 600
+    assert chunks.agg(F.max(F.length("data"))).first()[0] < 700
     got = W.read_records(chunks).collect()
     assert len(got) == len(rows) and all(r.intact for r in got)
     first = {}
@@ -36,18 +36,45 @@ def test_warc_round_trip_in_small_chunks(spark):
             first[h or ""] = min(p, first.get(h or "", p))
     want = sorted(((p, len((h or "").encode()), sha1(h), "response" if p is None or p == first[h or ""] else "revisit", None if p is None or p == first[h or ""] else first[h or ""]) for p, _, h in rows), key=str)
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == want
-    stored = chunks.where("chunk_no > 0").groupBy("record_no").agg(F.sum(F.length("data")).alias("n")).agg(F.sum("n")).first()[0]
+    stored = chunks.where("chunk_no > 0 and not last").groupBy("record_no").agg(F.sum(F.length("data")).alias("n")).agg(F.sum("n")).first()[0]
     assert stored == 2000 + 3 * 3  # one copy of each payload; rows of page 7 and without an id are responses
     assert W.read_records(W.write_records(spark.createDataFrame([], PAGES))).count() == 0
 
 
+def warc(data: bytes) -> list[tuple[dict, bytes]]:
+    """An independent reader: records of concatenated WARC bytes as (fields, block)."""
+    out = []
+    while data:
+        head, _, rest = data.partition(b"\r\n\r\n")
+        version, *lines = head.decode().split("\r\n")
+        fields = dict(line.split(": ", 1) for line in lines)
+        n = int(fields["Content-Length"])
+        assert version == "WARC/1.1" and rest[n : n + 4] == b"\r\n\r\n"
+        out.append((fields, rest[:n]))
+        data = rest[n + 4 :]
+    return out
+
+
 def test_warc_blocks_are_records(spark):
     chunks = W.write_records(spark.createDataFrame([(1, "http://a/", "x" * 10)], PAGES), chunk=4).orderBy("chunk_no").collect()
-    whole = b"".join(bytes(r["data"]) for r in chunks)
-    head, _, block = whole.partition(b"\r\n\r\n")
-    assert head.startswith(b"WARC/1.1\r\nWARC-Type: response") and f"Content-Length: {len(block)}".encode() in head
-    assert block.endswith(b"\r\n\r\nxxxxxxxxxx") and [r["last"] for r in chunks] == [False, False, False, True]
-    assert [r["crc"] for r in chunks[1:]] == [zlib.crc32(b"x" * n) for n in (4, 8, 10)]
+    assert [r["last"] for r in chunks] == [False, False, False, False, True]
+    assert [r["crc"] for r in chunks[1:4]] == [zlib.crc32(b"x" * n) for n in (4, 8, 10)]
+    ((fields, block),) = warc(b"".join(bytes(r["data"]) for r in chunks))
+    assert fields["WARC-Type"] == "response" and block.endswith(b"\r\n\r\nxxxxxxxxxx")
+
+
+def test_archive_bytes_are_valid_warc(spark):
+    rows = [(5, "http://a", "é" * 300), (3, "http://b", "é" * 300), (9, None, None), (7, "u", "abc\r\n\r\nWARC/1.1"), (None, "n", "abc"), (None, "n", "abc"), (7, "u", "abc\r\n\r\nWARC/1.1")]
+    chunks = W.write_records(spark.createDataFrame(rows, PAGES), chunk=50).orderBy("record_no", "chunk_no").collect()
+    records = warc(b"".join(bytes(r["data"]) for r in chunks))
+    assert len(records) == len(rows) and len({f["WARC-Record-ID"] for f, _ in records}) == len(rows)
+    assert all({"WARC-Type", "WARC-Date", "WARC-Record-ID", "WARC-Payload-Digest"} <= f.keys() for f, _ in records)
+    for fields, block in records:
+        payload = block.partition(b"\r\n\r\n")[2]
+        if fields["WARC-Type"] == "response":
+            assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        else:
+            assert payload == b"" and (fields["Page-ID"], fields["Refers-To-Page"]) == ("5", "3")
 
 
 def test_warc_damage_is_noticed(spark):
@@ -115,4 +142,5 @@ def test_registered_media_queries(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = queries.op5_mpeg_audio(spark, sf_dir).collect()
     assert len(rows) == len(docs)
+    assert all(len(r.seek_offsets) == round(r.duration_s * 48000 / 1152) and r.seek_offsets == sorted(r.seek_offsets) for r in rows)
     assert all(r.payload_sha256 == hashlib.sha256(payload(docs[r.doc_id])).hexdigest() for r in rows)

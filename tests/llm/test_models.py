@@ -78,6 +78,43 @@ def test_language_counts_match_brute_force(spark):
     assert np.allclose(langid_nb.ALPHA / smallest - langid_nb.ALPHA * (1 << langid_nb.BITS), [21, 15], atol=0.5)
 
 
+def test_language_predictions_match_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(words(rng, rng.randint(1, 20), "abcéx " if i % 3 else "xyz汉b")), ["p", "q", "r"][i % 3]) for i in range(60)]
+    rows += [(100, "½ ² ①", "p"), (101, "12 ++", None), (102, "x", None), (103, "", "q"), (104, "é", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, prior, matrix = model = langid_nb.train(df.where("doc_id % 2 = 0"))
+    got = {r.doc_id: r for r in langid_nb.predict(df, model).collect()}
+
+    def grams(text):
+        cp = [ord(c) if ord(c) > 127 or c.isalpha() else 32 for c in text.lower()]
+        for n in langid_nb.ORDERS:
+            for i in range(len(cp) - n + 1):
+                with np.errstate(over="ignore"):
+                    g = np.array([n], np.uint64)
+                    for k in range(n):
+                        g = g + np.uint64(cp[i + k]) * textvec.salt(10 * n + k)
+                yield int(textvec.mix(g)[0] >> np.uint64(64 - langid_nb.BITS))
+
+    counts, docs_of = collections.defaultdict(collections.Counter), collections.Counter()
+    for i, text, lang in rows:
+        if i % 2 == 0 and lang and any(c.isalpha() for c in text):
+            counts[lang].update(grams(text))
+            docs_of[lang] += 1
+    assert langs == sorted(docs_of)
+    for i, text, _ in rows:
+        if not any(c.isalpha() for c in text):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        logit = []
+        for lang in langs:
+            total = sum(counts[lang].values()) + langid_nb.ALPHA * (1 << langid_nb.BITS)
+            logit.append(math.log(docs_of[lang] / sum(docs_of.values())) + sum(math.log((counts[lang][g] + langid_nb.ALPHA) / total) for g in grams(text)))
+        best = max(range(len(langs)), key=lambda k: logit[k])
+        assert got[i].lang_pred == langs[best]
+        assert got[i].score == pytest.approx(1 / sum(math.exp(x - logit[best]) for x in logit), rel=1e-3)
+
+
 def test_language_of_awkward_rows(spark):
     model = langid_nb.train(awkward(spark))
     by = {r.doc_id: r for r in langid_nb.predict(awkward(spark), model).collect()}
