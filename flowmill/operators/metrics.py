@@ -110,6 +110,13 @@ def calibrate_threshold(preds: DataFrame, target: int, max_fpr: float) -> DataFr
     return best.select("model", "b.*")
 
 
+def require_thresholds(best: DataFrame, models: DataFrame, max_fpr: float) -> DataFrame:
+    """best (of calibrate_threshold), or an error that names the models for which no threshold satisfies the cap."""
+    if missing := [r[0] for r in models.select("model").distinct().join(best.select("model"), "model", "left_anti").orderBy("model").collect()]:  # a row a model
+        raise ValueError(f"no threshold satisfies max FPR {max_fpr} for {missing}")
+    return best
+
+
 def threshold_decision(probabilities: Column, target: int, threshold: float) -> Column:
     """The target where its probability reaches the threshold, else the likeliest other class."""
     others = F.transform(probabilities, lambda p, i: F.when(i != target, p).otherwise(float("-inf")))

@@ -75,3 +75,21 @@ def evasion_report(df: DataFrame, columns: list[str], position: str, predict: Ca
     j = f1.join(drop, "model").join(F.broadcast(base)).where("model > 0")
     ok = (F.col("f1_macro") >= 0.9 * F.col("_f0")) & (F.col("worst_drop") <= 0.15)
     return j.select(F.col("model").alias("epsilon"), "f1_macro", "worst_drop", ok.alias("passed"))
+
+
+def robustness_report(train: DataFrame, test: DataFrame, features: list[str], label: str, profile: DataFrame, evasion: DataFrame, *, max_shift: float = 0.1, max_ood: float = 0.1) -> DataFrame:
+    """(check_name, value, passed) of all checks: conflicting labels in the training rows, shift of the
+    labels, share of test rows outside the profile, each epsilon of an evasion report. A feature or
+    label that either side lacks, or an empty side, is an error."""
+    for name, df in (("train", train), ("test", test)):
+        if missing := [c for c in [*features, label] if c not in df.columns]:
+            raise ValueError(f"{name} lacks {missing}")
+        if df.isEmpty():
+            raise ValueError(f"{name} has no rows")
+    n = label_conflicts(train, features, label).agg(F.count("*").alias("n"))
+    rows = n.select(F.lit("conflict_groups").alias("check_name"), F.col("n").cast("double").alias("value"), (F.col("n") == 0).alias("passed"))
+    shift = label_shift_tv(train, test, label).select(F.lit("label_shift"), F.round("tv", 9), F.round("tv", 9) <= max_shift)
+    share = ood_flags(test, profile, features).agg(F.avg(F.col("ood").cast("int")).alias("share"))
+    ood = share.select(F.lit("ood_share"), F.round("share", 9), F.round("share", 9) <= max_ood)
+    ev = evasion.select(F.concat(F.lit("evasion_"), F.col("epsilon").cast("string")), "f1_macro", "passed")
+    return rows.union(shift).union(ood).union(ev)

@@ -170,6 +170,16 @@ def chronological_split(df: DataFrame, groups: list[str], order: str, tie: str,
     return placed.withColumn("side", side).drop("_r", "_in", "_ahead", "_n")
 
 
+def dataset_fingerprint(df: DataFrame, label: str) -> DataFrame:
+    """(fingerprint, n_rows, n_columns): SHA-256 of the shape, the columns in order and the class counts."""
+    c = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))  # a row a class
+    entry = F.struct("label", F.concat_ws("=", "label", F.col("n").cast("string")).alias("e"))
+    labels = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]), ";")
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    text = F.concat(total.cast("string"), F.lit(f"x{len(df.columns)};{','.join(df.columns)};"), labels)
+    return c.agg(F.sha2(text, 256).alias("fingerprint"), total.alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"))
+
+
 def split_manifest(split: DataFrame, label: str) -> DataFrame:
     """(label, n_train, n_test) of every class."""
     return split.groupBy(F.col(label).alias("label")).agg(F.count_if(F.col("side") == "train").alias("n_train"), F.count_if(F.col("side") == "test").alias("n_test"))

@@ -147,12 +147,12 @@ def _(spark, d):
     return flows(spark, d).select("row_id", finite_or_null(F.col("f_rate")).alias("f_rate"))
 
 
-@query("dataset_fingerprint", f"with {CLEAN}, c as (select label, count(*) as n from clean group by label) select sha256(string_agg(label || '=' || n::varchar, ';' order by label)) as fingerprint, sum(n)::bigint as n_rows from c")
+_SHAPE = "row_id,row_index,ts,capture_day,source_file,label,f_rate,f_value,f_user,f_k,f_const"
+
+
+@query("dataset_fingerprint", f"with {CLEAN}, c as (select label, count(*) as n from clean group by label), s as (select coalesce(string_agg(label || '=' || n::varchar, ';' order by label), '') as labels, coalesce(sum(n), 0)::bigint as n_rows from c) select sha256(n_rows::varchar || 'x11;{_SHAPE};' || labels) as fingerprint, n_rows, 11 as n_columns from s")
 def _(spark, d):
-    c = clean(spark, d).groupBy("label").agg(F.count("*").alias("n"))
-    entry = F.struct("label", F.concat_ws("=", "label", F.col("n").cast("string")).alias("e"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]), ";")
-    return c.agg(F.sha2(joined, 256).alias("fingerprint"), F.sum("n").alias("n_rows"))
+    return S.dataset_fingerprint(clean(spark, d), "label")
 
 
 @query("clean_switchable", f"with {FLOWS}, f as (select label_raw, case when isfinite(f_rate) then f_rate end as f_rate, f_k from flows) select distinct * from f where f_rate is not null and f_k is not null and label_raw is not null")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import robust as B
+from ..sources import captures
 from .catalog import query
 from .q_clean import clean
 from .views import CLEAN, FLOWS, flows, preds, table
@@ -101,3 +102,27 @@ def _(spark, d):
     shift = _tv(spark, d).select(F.lit("label_shift"), "tv", F.col("tv") <= 0.1)
     ev = _evasion(spark, d).select(F.concat(F.lit("evasion_"), F.col("epsilon").cast("string")), "f1_macro", "passed")
     return rows.union(shift).union(ev)
+
+
+_SPLIT = "l_shipdate < timestamp '1996-01-01'"
+
+
+@query(
+    "robustness_summary",
+    f"""with {_EVASION}, {_IQR}, o as (select ({_OUT}) / 3.0::double > 0.1 as ood from lineitem where not ({_SPLIT})),
+cf as (select count(*) as n from (select 1 from lineitem where {_SPLIT} group by {", ".join(_COLS)} having count(distinct l_returnflag) > 1)),
+x as (select l_returnflag as label, count(*) as n from lineitem where {_SPLIT} group by 1), y as (select l_returnflag as label, count(*) as n from lineitem where not ({_SPLIT}) group by 1),
+s as (select round(sum(abs(coalesce(x.n, 0) / (select sum(n) from x)::double - coalesce(y.n, 0) / (select sum(n) from y)::double)) / 2, 9) as tv from x full join y using (label))
+select 'conflict_groups' as check_name, n::double as value, n = 0 as passed from cf
+union all select 'label_shift', tv, tv <= 0.1 from s
+union all select 'ood_share', round(avg(ood::int), 9), round(avg(ood::int), 9) <= 0.1 from o
+union all select 'evasion_' || epsilon::varchar, f1_macro, passed from ev""",
+)
+def _(spark, d):
+    """The whole report on early against late lines, written as JSON and read back."""
+    t = table(spark, d, "lineitem").select(*_COLS, "l_returnflag", "l_shipdate")
+    early = F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp")
+    report = B.robustness_report(t.where(early), t.where(~early), _COLS, "l_returnflag", _profile(spark, d), _evasion(spark, d))
+    path = captures.scratch_path(spark, "robustness")
+    report.coalesce(1).write.json(path)  # a row a check
+    return spark.read.schema(report.schema).json(path)

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.labels import combined_family
 from ..operators import metrics as M
 from ..operators import sampling as S
-from ..sources import bundles, captures
+from ..sources import bundles, caches, captures
 from ..streaming import score_stream as ST
 from .catalog import query
 from .q_clean import clean
 from .q_evaluate import METRICS, cm
 from .q_split import nested_sql
-from .views import CLEAN, LABELED, flows
+from .views import CLEAN, FLOWS, LABELED, flows
 
 
 @query("normalize_runs", f"with {METRICS} select 'a' as bundle, model, round(accuracy, 8) as accuracy, round(f1_macro, 8) as f1_macro, null::double as f1_weighted, case when model = 1 then null else 10.0::double + model end as p95_ms from mm union all select 'b', model, null, round(f1_macro, 8), round(f1_weighted, 8), null from mm")
@@ -34,6 +35,21 @@ def _(spark, d):
     return bundles.file_fingerprints(spark, path).groupBy("folder").agg(F.count("*").alias("files"), F.max((F.col("size") > 0).cast("int")).alias("nonempty"))
 
 
+@query("cached_index", f"with {FLOWS} select 'first' as step, true as built, count(*) filter (where row_id % 2 = 0) as n_rows from flows union all select 'again', false, count(*) filter (where row_id % 2 = 0) from flows union all select 'more files', true, count(*) from flows")
+def _(spark, d):
+    """A label index built, loaded while its inputs stay, and rebuilt when files were added."""
+    path, inputs = captures.scratch_path(spark, "cached-index"), captures.scratch_path(spark, "index-inputs")
+    f = flows(spark, d).select("row_id", "source_file", "row_index", "label_raw")
+    index = lambda df: df.select("source_file", "row_index", combined_family(F.col("label_raw")).alias("label"))
+    rows = []
+    for step, part in (("first", f.where("row_id % 2 = 0")), ("again", None), ("more files", f.where("row_id % 2 <> 0"))):
+        if part is not None:
+            part.write.mode("append").parquet(inputs)
+        df, built = caches.load_or_build(spark, path, inputs, index)
+        rows.append((step, built, df.count()))
+    return spark.createDataFrame(rows, "step string, built boolean, n_rows long")
+
+
 @query("manifest_diff", "select * from (values ('hash', 1::bigint), ('missing', 1), ('path escape', 1)) t(problem, n)")
 def _(spark, d):
     """Files against their declared sizes and SHA-256: one is declared wrong, one doesn't exist."""
@@ -71,3 +87,17 @@ def _(spark, d):
     rule = lambda df: F.when(F.coalesce(F.col("f_rate"), F.lit(0.0)) > 50, "Attack").otherwise("Normal")
     ST.score_to_parquet(ST.score_rows(stream, ["f_rate", "f_value"], rule), f"{path}/out", f"{path}/state").awaitTermination()
     return spark.read.parquet(f"{path}/out").groupBy("label", "decision").agg(F.count("*").alias("n"))
+
+
+@query("runs_with_sides", f"with {METRICS} select 'a' as bundle, model, round(f1_macro, 8) as f1_macro, case when model < 3 then round(f1_weighted, 8) end as f1_weighted, case when model <> 1 then round(f1_macro, 8) - 0.01 end as ci_low from mm")
+def _(spark, d):
+    """A discovered bundle whose metrics are joined with its side files, each of which lacks a model."""
+    m = M.model_metrics(M.marginals(cm(spark, d))).select("model", *[F.round(c, 8).alias(c) for c in ("f1_macro", "f1_weighted")])
+    root = captures.scratch_path(spark, "discovered")
+    m.select("model", "f1_macro").write.option("header", True).csv(f"{root}/a/metrics")
+    m.where("model < 3").select("model", "f1_weighted").write.option("header", True).csv(f"{root}/a/extended")
+    m.where("model <> 1").select("model", (F.col("f1_macro") - 0.01).alias("ci_low")).write.option("header", True).csv(f"{root}/a/ci")
+    found = {r["folder"] for r in bundles.discover(spark, root).collect()}  # a row a folder
+    runs = bundles.join_sides(spark.read.option("header", True).csv(f"{root}/a/metrics"), [spark.read.option("header", True).csv(f"{root}/a/{s}") for s in ("extended", "ci") if s in found], "model")
+    number = [F.col(c).cast("double").alias(c) for c in ("f1_macro", "f1_weighted", "ci_low")]
+    return runs.select(F.lit("a").alias("bundle"), F.col("model").cast("int").alias("model"), *number)

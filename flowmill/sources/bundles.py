@@ -33,6 +33,20 @@ def read_csv_bundle(spark: SparkSession, path: str, bundle: str) -> DataFrame:
     return _to_run_schema(spark.read.option("header", True).csv(path).withColumn("bundle", F.lit(bundle)))
 
 
+def discover(spark: SparkSession, root: str) -> DataFrame:
+    """(folder, files, bytes) of the result folders below root; contents aren't read."""
+    files = file_fingerprints(spark, root).where("name not like '\\\\_%'")
+    return files.groupBy("folder").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+def join_sides(metrics: DataFrame, sides: list[DataFrame], key: str) -> DataFrame:
+    """metrics (a row a model) with the columns of side tables that it lacks; a model without a side row has nulls."""
+    for side in sides:
+        new = [c for c in side.columns if c == key or c not in metrics.columns]
+        metrics = metrics.join(F.broadcast(side.select(*new)), key, "left")
+    return metrics
+
+
 def normalize_runs(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

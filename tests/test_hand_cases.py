@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flowmill.functions import labels as L
 from flowmill.operators import clean, explain, imbalance, metrics, models, prepare, profile, ranking, robust, significance
 from flowmill.operators import sampling as S
-from flowmill.sources import bundles, captures
+from flowmill.sources import bundles, caches, captures
 
 NAN, INF = float("nan"), float("inf")
 
@@ -130,6 +130,33 @@ def test_threshold_calibration(spark):
     assert [r[0] for r in probs.select(metrics.threshold_decision(F.col("p"), 2, 0.3)).collect()] == [2, 2, 0]
 
 
+def test_thresholds_are_required(spark):
+    df = spark.createDataFrame([(0, t, s) for t, s in zip([1, 1, 0, 0, 0, 0], [0.8, 0.7, 0.99, 0.98, 0.2, 0.1])], "model int, y_true int, score double")
+    with pytest.raises(ValueError, match="satisfies max FPR"):
+        metrics.require_thresholds(metrics.calibrate_threshold(df, 1, 0.0), df, 0.0)
+    assert metrics.require_thresholds(metrics.calibrate_threshold(df, 1, 0.5), df, 0.5).count() == 1
+
+
+def test_caches_notice_changed_inputs(spark, tmp_path):
+    inputs, path = str(tmp_path / "in"), str(tmp_path / "cache")
+    half = lambda df: df.where("id % 2 = 0")
+    assert caches.is_stale(spark, path, inputs) if spark.range(10).write.parquet(inputs) is None else False
+    assert [caches.load_or_build(spark, path, inputs, half)[1] for _ in range(2)] == [True, False]
+    spark.range(4).write.mode("append").parquet(inputs)
+    df, built = caches.load_or_build(spark, path, inputs, half, n_rows=7)
+    assert built and df.count() == 7
+    with pytest.raises(ValueError, match="expected 9"):
+        caches.load_or_build(spark, path, inputs, half, n_rows=9)
+
+
+def test_robustness_report_checks_its_inputs(spark):
+    df = spark.createDataFrame([(1.0, "a")], "x double, y string")
+    with pytest.raises(ValueError, match="test lacks"):
+        robust.robustness_report(df, df.drop("x"), ["x"], "y", None, None)
+    with pytest.raises(ValueError, match="no rows"):
+        robust.robustness_report(df, df.limit(0), ["x"], "y", None, None)
+
+
 def test_rankings(spark):
     rows = [("rf", 0.88, 0.95, 0.9, 0.99, 0.005, 0.4, 80.0, 100.0), ("xgb", 0.87, 0.96, 0.85, 0.99, 0.004, 0.2, 40.0, 15.0), ("mlp", 0.6, 0.9, 0.95, 0.9, 0.2, 0.1, 5.0, 1.0), ("lr", 0.5, 0.8, 0.6, 0.7, None, 0.0, 1.0, 0.1)]
     df = spark.createDataFrame(rows, "model string, f1_macro double, f1_weighted double, recall_macro double, binary_recall double, binary_fpr double, min_per_class_recall double, p95_ms double, size_mb double")
