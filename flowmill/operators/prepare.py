@@ -7,21 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import finite_or_null
 from .profile import stats_by_column
+from .ranks import one_row, quantiles
 
 SCALERS = {
     "standard": (lambda c: F.avg(c), lambda c: F.stddev_pop(c)),
     "minmax": (lambda c: F.min(c), lambda c: F.max(c) - F.min(c)),
-    "robust": (lambda c: F.percentile(c, F.lit(0.5)), lambda c: F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))),
 }
 
 
-def fit_row(df: DataFrame, columns: list[str], stat) -> DataFrame:
-    """One row with one statistic a column."""
-    return df.agg(*[stat(F.col(c)).alias(c) for c in columns])
-
-
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    return stats_by_column(df, columns, {"median": F.median})
+    return quantiles(df, columns, [0.5]).select("column", F.col("q")[0].alias("median"))
 
 
 def constant_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -31,14 +26,19 @@ def constant_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def impute_median(fit: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
     """Gaps become fit's medians, 0 where fit has no value."""
-    row = fit_row(fit, columns, lambda c: F.coalesce(F.median(c), F.lit(0.0))).toDF(*[f"_m_{c}" for c in columns])
-    return df.join(F.broadcast(row)).withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in columns}).drop(*row.columns)
+    row = one_row(quantiles(fit, columns, [0.5]), columns, {"_m_": F.col("q")[0]})
+    return df.join(F.broadcast(row)).withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}"), F.lit(0.0)) for c in columns}).drop(*row.columns)
 
 
 def scale(fit: DataFrame, df: DataFrame, columns: list[str], kind: str) -> DataFrame:
-    """(x - center) / spread with fit's values; a zero or missing spread counts as 1."""
-    center, spread = SCALERS[kind]
-    row = fit.agg(*[center(F.col(c)).alias(f"_c_{c}") for c in columns], *[spread(F.col(c)).alias(f"_s_{c}") for c in columns])
+    """(x - center) / spread with fit's values; a zero or missing spread counts as 1. Kinds: those of
+    SCALERS, and robust (median and quartile distance)."""
+    if kind == "robust":
+        q = F.col("q")
+        row = one_row(quantiles(fit, columns, [0.25, 0.5, 0.75]), columns, {"_c_": q[1], "_s_": q[2] - q[0]})
+    else:
+        center, spread = SCALERS[kind]
+        row = fit.agg(*[center(F.col(c)).alias(f"_c_{c}") for c in columns], *[spread(F.col(c)).alias(f"_s_{c}") for c in columns])
     by = lambda c: F.when(F.coalesce(F.col(f"_s_{c}"), F.lit(0.0)) == 0, 1.0).otherwise(F.col(f"_s_{c}"))
     return df.join(F.broadcast(row)).withColumns({c: (F.col(c) - F.col(f"_c_{c}")) / by(c) for c in columns}).drop(*row.columns)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import finite_or_null
+from .ranks import quantiles, same_groups
 
 
 def stats_by_column(df: DataFrame, columns: list[str], stats: dict, by: list[str] | None = None) -> DataFrame:
@@ -71,6 +72,14 @@ def discriminative_features(df: DataFrame, features: list[str], label: str, k: i
     return top_k(spread, "score", k, "column")
 
 
+def class_profile(df: DataFrame, label: str, column: str) -> DataFrame:
+    """(label, mean, std, lo, hi, p05, p95) of a column in every class."""
+    x = F.col(column)
+    g = df.groupBy(label).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    q = quantiles(df, [column], [0.05, 0.95], [label]).select(F.col(label).alias("_l"), F.col("q")[0].alias("p05"), F.col("q")[1].alias("p95"))
+    return g.join(q, same_groups([label], ["_l"])).drop("_l")
+
+
 def majority_baseline(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("n")).agg((F.max("n") / F.sum("n")).alias("baseline"))
 

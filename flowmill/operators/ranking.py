@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 #: A ranking maximises or minimises an objective under constraints (metric, operator, limit); a limit
 #: in text is an offset from the best value of that metric. Ties go by the tie-breaker in the
 #: objective's own direction, then by model; compat_ties lets a minimised objective prefer the larger.
@@ -86,7 +88,8 @@ def leader_gap(models: DataFrame, metric: str) -> DataFrame:
 
 def latency_summary(durations: DataFrame) -> DataFrame:
     """(model, p50_ms, p95_ms, rows_per_s) from (model, ms, n_rows)."""
-    q = durations.groupBy("model").agg(F.percentile("ms", F.array(F.lit(0.5), F.lit(0.95))).alias("q"), F.max("n_rows").alias("n"))
+    n = durations.groupBy("model").agg(F.max("n_rows").alias("n"))
+    q = quantiles(durations, ["ms"], [0.5, 0.95], ["model"]).join(n, "model")
     return q.select("model", F.col("q")[0].alias("p50_ms"), F.col("q")[1].alias("p95_ms"), (1000 * F.col("n") / F.col("q")[0]).alias("rows_per_s"))
 
 

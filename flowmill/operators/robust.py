@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics as M
-from .profile import stats_by_column
+from .ranks import quantiles
 
 
 def label_conflicts(df: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -26,8 +26,8 @@ def label_shift_tv(a: DataFrame, b: DataFrame, label: str) -> DataFrame:
 
 
 def iqr_profile(df: DataFrame, columns: list[str], whisker: float = 3.0) -> DataFrame:
-    """(column, lower, upper): quartiles widened by whisker times their distance; one pass."""
-    q = stats_by_column(df, columns, {"q": lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))})
+    """(column, lower, upper): quartiles widened by whisker times their distance."""
+    q = quantiles(df, columns, [0.25, 0.75])
     lo, hi = F.col("q")[0], F.col("q")[1]
     return q.select("column", (lo - whisker * (hi - lo)).alias("lower"), (hi + whisker * (hi - lo)).alias("upper"))
 

@@ -13,8 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Leading hexadecimal digits that name a bucket: 256 buckets a stratum.
-BUCKET_DIGITS = 2
+from .ranks import quantiles, same_groups
+
+#: Leading hexadecimal digits that name a bucket: 4,096 buckets a stratum.
+BUCKET_DIGITS = 3
 
 
 def sample_key(seed: int, stratum: Column, row_id: Column) -> Column:
@@ -143,11 +145,11 @@ def shuffle_labels(df: DataFrame, label: str, row_id: str, seed: int = 42) -> Da
     return one.join(two, "rn").drop("rn")
 
 
-def chronological_split(df: DataFrame, groups: list[str], order: str, tie: str, test_size: float = 0.3, buckets: int = 200) -> DataFrame:
-    """df with `side`: the first max(1, min(n-1, floor(n * (1 - test_size)))) rows of each group
-    train, the rest test; a single row trains. A group may hold most rows: `order` (a number, date or
-    timestamp) is cut into approximate quantile ranges, the ranges' totals are prefix-summed and rows
-    are ranked within a range. Null groups are groups; null orders come first."""
+def chronological_rank(df: DataFrame, groups: list[str], order: str, tie: str, buckets: int = 200) -> DataFrame:
+    """df with the 1-based `rank` of each row in its group by order and tie, and the group's size
+    `n`. A group may hold most rows: `order` (a number, date or timestamp) is cut into approximate
+    quantile ranges, the ranges' totals are prefix-summed and rows are ranked within a range. Null
+    groups are groups; null orders come first."""
     keys = [f"_g{i}" for i in range(len(groups))]
     when = dict(df.dtypes)[order] in ("date", "timestamp", "timestamp_ntz")
     value = F.col(order).cast("timestamp").cast("double") if when else F.col(order).cast("double")
@@ -165,9 +167,15 @@ def chronological_split(df: DataFrame, groups: list[str], order: str, tie: str,
     counts = counts.withColumns({"_ahead": F.coalesce(F.sum("_c").over(w.orderBy("_rk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_c").over(w)}).drop("_c")
     inside = F.row_number().over(Window.partitionBy(*groups, "_r").orderBy(order, tie))
     placed = beside(ranged.withColumn("_in", inside), counts, "_r")
-    cut = F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(1.0 - test_size))))
-    side = F.when((F.col("_n") == 1) | (F.col("_ahead") + F.col("_in") <= cut), "train").otherwise("test")
-    return placed.withColumn("side", side).drop("_r", "_in", "_ahead", "_n")
+    return placed.withColumns({"rank": F.col("_ahead") + F.col("_in"), "n": F.col("_n")}).drop("_r", "_in", "_ahead", "_n")
+
+
+def chronological_split(df: DataFrame, groups: list[str], order: str, tie: str, test_size: float = 0.3, buckets: int = 200) -> DataFrame:
+    """df with `side`: the first max(1, min(n-1, floor(n * (1 - test_size)))) rows of each group by
+    chronological_rank() train, the rest test; a single row trains."""
+    cut = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(1.0 - test_size))))
+    side = F.when((F.col("n") == 1) | (F.col("rank") <= cut), "train").otherwise("test")
+    return chronological_rank(df, groups, order, tie, buckets).withColumn("side", side).drop("rank", "n")
 
 
 def dataset_fingerprint(df: DataFrame, label: str) -> DataFrame:
@@ -201,8 +209,9 @@ def manifest_mismatches(actual: DataFrame, declared: DataFrame) -> DataFrame:
 def label_positions(df: DataFrame, source: str, label: str, order: str) -> DataFrame:
     """Where each label sits in its source, as fractions of the source's length (largest order)."""
     ends = df.groupBy(source).agg(F.greatest(F.max(order), F.lit(1)).alias("_d"))
-    stats = df.groupBy(source, label).agg(F.count("*").alias("n"), F.min(order).alias("_lo"), F.percentile(order, F.lit(0.5)).alias("_mid"), F.max(order).alias("_hi"))
-    j = stats.join(ends, source)
+    stats = df.groupBy(source, label).agg(F.count("*").alias("n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    mid = quantiles(df, [order], [0.5], [source, label]).select(F.col(source).alias("_s"), F.col(label).alias("_l"), F.col("q")[0].alias("_mid"))
+    j = stats.join(ends, source).join(mid, same_groups([source, label], ["_s", "_l"]))
     return j.select(source, label, "n", *[(F.col(a) / F.col("_d")).alias(b) for a, b in (("_lo", "min_pos"), ("_mid", "median_pos"), ("_hi", "max_pos"))])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import FAMILIES, combined_family
 from ..operators import profile as P
 from ..operators import sampling as S
+from ..operators.ranks import quantiles
 from .catalog import query
 from .q_clean import clean
 from .views import CLEAN, FLOWS, LABELED, PREDS, flows, preds, table
@@ -83,14 +84,13 @@ def _(spark, d):
 
 @query("class_quartiles", f"with {CLEAN} select label, round(quantile_cont(f_value::double, 0.25), 6) as q1, round(quantile_cont(f_value::double, 0.5), 6) as q2, round(quantile_cont(f_value::double, 0.75), 6) as q3 from clean group by label")
 def _(spark, d):
-    q = clean(spark, d).groupBy("label").agg(F.percentile(F.col("f_value").cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantiles(clean(spark, d), ["f_value"], [0.25, 0.5, 0.75], ["label"])
     return q.select("label", *[F.round(F.col("q")[i], 6).alias(f"q{i + 1}") for i in range(3)])
 
 
 @query("class_profile", "select l_returnflag, round(avg(l_extendedprice), 6) as mean, round(stddev_samp(l_extendedprice), 6) as std, min(l_extendedprice) as lo, max(l_extendedprice) as hi, round(quantile_cont(l_extendedprice, 0.05), 6) as p05, round(quantile_cont(l_extendedprice, 0.95), 6) as p95 from lineitem group by l_returnflag")
 def _(spark, d):
-    x = F.col("l_extendedprice")
-    g = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.percentile(x, F.lit(0.05)).alias("p05"), F.percentile(x, F.lit(0.95)).alias("p95"))
+    g = P.class_profile(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice")
     return _rounded(g, "mean", "std", "p05", "p95")
 
 
@@ -135,7 +135,7 @@ def _(spark, d):
 def _(spark, d):
     """Chronological rank inside (source, class)."""
     f = flows(spark, d).select("row_id", "row_index", "source_file", combined_family(F.col("label_raw")).alias("label"))
-    return f.select("row_id", F.row_number().over(Window.partitionBy("source_file", "label").orderBy("row_index", "row_id")).alias("rank"))
+    return S.chronological_rank(f, ["source_file", "label"], "row_index", "row_id").select("row_id", "rank")
 
 
 @query("file_offsets", f"with {FLOWS}, c as (select source_file, count(*) as n from flows group by 1) select source_file, n, coalesce(sum(n) over (order by source_file rows between unbounded preceding and 1 preceding), 0)::bigint as file_offset from c")

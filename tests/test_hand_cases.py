@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowmill.functions import labels as L
-from flowmill.operators import clean, explain, imbalance, metrics, models, prepare, profile, ranking, robust, significance
+from flowmill.operators import clean, explain, imbalance, metrics, models, prepare, profile, ranking, ranks, robust, significance
 from flowmill.operators import sampling as S
 from flowmill.sources import bundles, caches, captures
 
@@ -334,3 +334,33 @@ def test_exact_p_of_small_and_large_splits():
         off = int(n**0.5)
         z = (2 * off - 1) / n**0.5
         assert significance._two_sided(n // 2 - off, n // 2 + off) == pytest.approx(math.erfc(z / 2**0.5), rel=1e-4)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 500, 40_000])
+def test_quantiles_match_sorted_values(spark, n):
+    rng = np.random.default_rng(n)
+    a = rng.normal(size=n)
+    b = rng.integers(0, 5, n).astype(float)  # ties
+    b[: n // 3] = 2.0
+    c = np.where(rng.random(n) < 0.3, np.nan, rng.exponential(size=n) * 1e9)
+    c[: n // 50] = INF
+    g = ["hot" if x < 0.9 else None for x in rng.random(n)]
+    rows = [(i, x, float(a[i]), float(b[i]), None if i % 7 == 0 else float(c[i]), None) for i, x in enumerate(g)]
+    df = spark.createDataFrame(rows, "i int, g string, a double, b double, c double, void double").repartition(3)
+    probs = [0.0, 0.05, 0.5, 0.95, 1.0]
+    order = lambda x: (math.isnan(x), x)
+
+    def want(values):
+        s = sorted((v for v in values if v is not None), key=order)
+        if not s:
+            return [None] * len(probs)
+        ends = [(s[math.floor(p * (len(s) - 1))], s[math.ceil(p * (len(s) - 1))], p * (len(s) - 1)) for p in probs]
+        return [x if k == int(k) else (math.ceil(k) - k) * x + (k - math.floor(k)) * y for x, y, k in ends]
+
+    for by in ([], ["g"]):
+        got = {(r.g if by else 0, r.column): r.q for r in ranks.quantiles(df, ["a", "b", "c", "void"], probs, by).collect()}
+        groups = {x: [r for r in rows if r[1] == x] for x in set(g)} if by else {0: rows}
+        assert len(got) == 4 * len(groups) if n else not got or all(v is None for q in got.values() for v in q)
+        for (k, column), q in got.items() if n else ():
+            at = 2 + ["a", "b", "c", "void"].index(column)
+            assert repr(q) == repr(want([r[at] for r in groups[k]])), (k, column)
