@@ -101,6 +101,14 @@ def nearest_minority(queries: DataFrame, points: DataFrame, label: str, target,
     return queries.select("row_id", "x").join(near, "row_id", "left").select("row_id", "x", ids.alias("neighbours"))
 
 
+def minority_targets(df: DataFrame, label: str, ratio: float = 0.3) -> DataFrame:
+    """(label, n, goal): every class but the largest is raised to `ratio` of it, rounded down; classes
+    that have as many rows keep theirs. One row a class."""
+    n = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    most = n.agg(F.max("n").alias("_top"))
+    return n.join(F.broadcast(most)).select("label", "n", F.greatest("n", F.floor(F.col("_top") * F.lit(ratio))).alias("goal"))
+
+
 def smote(points: DataFrame, label: str, target, per_seed: int, k: int = 5, seed: int = 42, seeds: DataFrame | None = None) -> DataFrame:
     """(seed_id, copy, neighbour_id, gap, x): per_seed synthetic rows on the way from each seed to one
     of its k nearest minority neighbours. Choices are hashes of (seed, row, copy)."""

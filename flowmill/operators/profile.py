@@ -46,6 +46,20 @@ def describe_dataset(df: DataFrame, numeric: list[str], label: str, key: list[st
     return shape.join(F.broadcast(per)).join(F.broadcast(repeats))
 
 
+def dataset_summary(df: DataFrame, numeric: list[str], label: str, key: list[str], top: int = 5) -> DataFrame:
+    """(metric, name, value) of everything describe_dataset() counts, and the columns of each type, the
+    `top` columns with most missing cells, the numeric columns with infinite ones, rows a label."""
+    one = describe_dataset(df, numeric, label, key)
+    totals = one.unpivot([], one.columns, "metric", "value").select("metric", F.lit("").alias("name"), F.col("value").cast("long").alias("value"))
+    kinds = [k for _, k in df.dtypes]
+    types = df.sparkSession.createDataFrame([("type", k, kinds.count(k)) for k in sorted(set(kinds))], "metric string, name string, value long")  # a row a type
+    cells = missing_counts(df, numeric)
+    missing = top_k(cells, "missing", top, "column").select(F.lit("missing"), "column", "missing")
+    infinite = cells.where("infinite > 0").select(F.lit("infinite"), "column", "infinite")
+    labels = df.groupBy(F.coalesce(F.col(label), F.lit("")).alias("name")).agg(F.count("*").alias("value")).select(F.lit("label").alias("metric"), "name", "value")
+    return totals.union(types).union(missing).union(infinite).union(labels)
+
+
 def moments(c: Column) -> dict[str, Column]:
     return {"n": F.count(c), "s": F.sum(c), "ss": F.sum(c * c)}
 

@@ -215,6 +215,12 @@ def label_positions(df: DataFrame, source: str, label: str, order: str) -> DataF
     return j.select(source, label, "n", *[(F.col(a) / F.col("_d")).alias(b) for a, b in (("_lo", "min_pos"), ("_mid", "median_pos"), ("_hi", "max_pos"))])
 
 
+def schedule_absences(positions: DataFrame, schedule: DataFrame, source: str, label: str) -> DataFrame:
+    """(source, label) of the schedule, a small table, that have no row in the captures."""
+    here = positions.select(source, label).distinct()
+    return schedule.select(source, label).join(here, [source, label], "left_anti")
+
+
 def chronology_violations(positions: DataFrame, schedule: DataFrame, source: str, label: str) -> DataFrame:
     """Pairs next to each other in observed median order whose scheduled order (seq) is the reverse.
     schedule: (source, label, seq), a small published table."""

@@ -29,6 +29,15 @@ def _(spark, d):
     return out.groupBy("source_file", normalize_raw_label(F.col("Label")).alias("label")).agg(F.count("*").alias("n"), F.min("row_index").alias("first_row"), F.max("row_index").alias("last_row"))
 
 
+@query("scan_label_counts", f"with {FLOWS} select trim(regexp_replace(regexp_replace(label_raw, '[^\\x20-\\x7E]', ' ', 'g'), ' +', ' ', 'g')) as label, count(*) as n, count(distinct source_file) as n_sources from flows group by 1")
+def _(spark, d):
+    """Label counts of flows written as one CSV folder a source and scanned as text."""
+    src = flows(spark, d).selectExpr("source_file", "row_id", "label_raw as ` Label`", "cast(f_value as string) as f_value")
+    path = captures.write_captures(src, captures.scratch_path(spark, "captures"), "source_file")
+    out = C.strip_columns(captures.scan_captures(spark, path))
+    return out.groupBy(normalize_raw_label(F.col("Label")).alias("label")).agg(F.count("*").alias("n"), F.count_distinct("source_file").alias("n_sources"))
+
+
 @query("strip_columns", "select l_orderkey, l_linenumber, l_quantity from lineitem")
 def _(spark, d):
     t = table(spark, d, "lineitem").selectExpr("l_orderkey as ` l_orderkey`", "l_linenumber as `l_linenumber  `", "l_quantity as ` l_quantity `")

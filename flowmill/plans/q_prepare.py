@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import imbalance as I
 from ..operators import prepare as R
 from ..operators import profile as P
 from ..operators import sampling as S
@@ -141,3 +142,9 @@ def _(spark, d):
     ranked = S.hash_rank(clean(spark, d).select("row_id", "label"), "label", "row_id")
     grown = R.random_oversample(ranked, R.target_quota(ranked, "label", "Bot", 0.5), "label")
     return grown.groupBy("row_id", "label").agg(F.count("*").alias("copies"))
+
+
+@query("minority_targets", f"with {CLEAN}, c as (select label, count(*) as n from clean group by label) select label, n, greatest(n, floor((select max(n) from c) * 0.3::double)::bigint) as goal from c")
+def _(spark, d):
+    """Rows to which each class but the largest is raised: 30 % of the largest."""
+    return I.minority_targets(clean(spark, d), "label")

@@ -143,3 +143,22 @@ def _(spark, d):
     c = flows(spark, d).groupBy("source_file").agg(F.count("*").alias("n"))
     before = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return c.withColumn("file_offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+
+_SUMMARY = f"""{FLOWS}, s as (select count(*) as n_rows, count(distinct label_raw) as n_labels,
+ count(*) filter (where f_rate is null or isnan(f_rate)) as m_rate, count(*) filter (where f_value is null) as m_value, count(*) filter (where f_k is null) as m_k,
+ count(*) filter (where isinf(f_rate)) as i_rate, count(*) filter (where isinf(f_value)) as i_value, count(*) filter (where isinf(f_k)) as i_k from flows),
+k as (select count(*) as c from flows group by label_raw, case when isfinite(f_rate) then f_rate end, f_k),
+summary as (select 'n_rows' as metric, '' as name, n_rows as value from s union all select 'n_labels', '', n_labels from s
+union all select 'missing_cells', '', m_rate + m_value + m_k from s union all select 'infinite_cells', '', i_rate + i_value + i_k from s
+union all select 'duplicate_rows', '', (select sum(c - 1)::bigint from k)
+union all select 'type', * from (values ('bigint', 2), ('date', 1), ('double', 5), ('string', 2), ('timestamp_ntz', 1)) t
+union all select 'missing', * from (select * from (select 'f_rate' as c, m_rate as m from s union all select 'f_value', m_value from s union all select 'f_k', m_k from s) order by m desc, c limit 2)
+union all select 'infinite', * from (select 'f_rate' as c, i_rate as n from s union all select 'f_value', i_value from s union all select 'f_k', i_k from s) where n > 0
+union all select 'label', label_raw, count(*) from flows group by label_raw)"""
+
+
+@query("dataset_summary", f"with {_SUMMARY} select * from summary")
+def _(spark, d):
+    """Shape, types, missing and infinite cells, repeats and labels of the dirty flows."""
+    return P.dataset_summary(flows(spark, d), ["f_rate", "f_value", "f_k"], "label_raw", ["label_raw", "f_rate", "f_k"], 2)

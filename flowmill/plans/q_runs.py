@@ -101,3 +101,16 @@ def _(spark, d):
     runs = bundles.join_sides(spark.read.option("header", True).csv(f"{root}/a/metrics"), [spark.read.option("header", True).csv(f"{root}/a/{s}") for s in ("extended", "ci") if s in found], "model")
     number = [F.col(c).cast("double").alias(c) for c in ("f1_macro", "f1_weighted", "ci_low")]
     return runs.select(F.lit("a").alias("bundle"), F.col("model").cast("int").alias("model"), *number)
+
+
+@query("result_files", f"with {METRICS} select 'metrics' as part, model, round(sum(f1_macro), 8) as value from mm group by model union all select 'confusion', model, count(*)::double from preds group by model union all select 'folders', null, 2")
+def _(spark, d):
+    """Metrics as JSON and matrices as CSV written as a bundle, found below its root and read again."""
+    c = cm(spark, d)
+    m = M.model_metrics(M.marginals(c)).select("model", F.struct("f1_macro").alias("metrics"))
+    path = captures.scratch_path(spark, "result-files")
+    bundles.write_results(m, {"confusion": c}, path)
+    metrics = spark.read.schema("model int, metrics struct<f1_macro: double>").json(f"{path}/metrics").select(F.lit("metrics").alias("part"), "model", F.round("metrics.f1_macro", 8).alias("value"))
+    cells = spark.read.option("header", True).schema(c.schema).csv(f"{path}/confusion").groupBy("model").agg(F.sum("n").cast("double").alias("value"))
+    folders = bundles.discover(spark, path).agg(F.count("*").cast("double").alias("value")).select(F.lit("folders"), F.lit(None).cast("int"), "value")
+    return metrics.union(cells.select(F.lit("confusion"), "model", "value")).union(folders)

@@ -81,6 +81,13 @@ def _(spark, d):
     return S.chronology_violations(S.label_positions(clean(spark, d), "source_file", "label", "row_index"), schedule, "source_file", "label")
 
 
+@query("schedule_absences", f"with {CLEAN}, s as (select * from (values ('BENIGN'),('DoS'),('PortScan'),('Bot')) t(label)), f as (select 'cap_' || k as source_file from range(9) t(k)) select source_file, label from f, s where not exists (select 1 from clean c where c.source_file = f.source_file and c.label = s.label)")
+def _(spark, d):
+    """Labels of the published schedule that a capture lacks: one class never occurs, one capture doesn't exist."""
+    rows = [(f"cap_{k}", x) for k in range(9) for x in ("BENIGN", "DoS", "PortScan", "Bot")]
+    return S.schedule_absences(clean(spark, d), spark.createDataFrame(rows, "source_file string, label string"), "source_file", "label")
+
+
 @query("split_overlap", f"with {SPLIT} select count(*) as overlap from (select row_id from split where side = 'train' intersect select row_id from split where side = 'test')")
 def _(spark, d):
     s = split(spark, d)

@@ -33,6 +33,14 @@ def read_csv_bundle(spark: SparkSession, path: str, bundle: str) -> DataFrame:
     return _to_run_schema(spark.read.option("header", True).csv(path).withColumn("bundle", F.lit(bundle)))
 
 
+def write_results(metrics: DataFrame, tables: dict[str, DataFrame], path: str) -> None:
+    """A result bundle below path: metrics (a row a model) as JSON documents, each table as CSV with a
+    header, one folder each. A folder that exists is an error."""
+    metrics.write.json(f"{path}/metrics")
+    for name, df in tables.items():
+        df.write.option("header", True).csv(f"{path}/{name}")
+
+
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """(folder, files, bytes) of the result folders below root; contents aren't read."""
     files = file_fingerprints(spark, root).where("name not like '\\\\_%'")
