@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, decontam, langid_nb, line_dedup, mix_waterfill, mpeg_audio, near_dedup, quality_fm, shard_bytes, warc_chunks
+from . import brown_lm, decontam, divergence, hard_negatives, langid_nb, line_dedup, mix_waterfill, mpeg_audio, near_dedup, quality_fm, shard_bytes, token_counts, warc_chunks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +72,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_fm, op3_langid_nb, op4_warc_chunks, op5_mpeg_audio, op6_shard_bytes, op7_prob_minhash, op8_brown_lm, op9_mix_waterfill, op10_decontaminate)}
+def op11_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, noisy)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_fm, op3_langid_nb, op4_warc_chunks, op5_mpeg_audio, op6_shard_bytes, op7_prob_minhash, op8_brown_lm, op9_mix_waterfill, op10_decontaminate, op11_token_cache, op12_hard_negatives, op13_divergence)}
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _BIT = "cast(substr(b, {0}, 1) as int)"
@@ -106,4 +121,32 @@ x as (select d.*, u.source_size, u.target, u.whole, u.target - u.whole * u.sourc
 select doc_id, size, source_size, target,
        size * (whole + case when 2 * run - size <= 2 * rest and rest > 0 then 1 else 0 end)::bigint as taken
 from x""",
+    "op12_hard_negatives": """
+with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+             list_transform(embedding, lambda x: floor(256 * x::double)) as v
+           from embeddings where vec_id is not null and label is not null and embedding is not null
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+      from r a join r b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, id as positive_id, score as positive_score from s where same
+      qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, id)::int as rank,
+       id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * score and score <= positive_score
+qualify rank <= 5""",
+    "op13_divergence": r"""
+with d as (select row_number() over () as k, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+w as (select k, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from d),
+kept as (select lang, term, count(*) as total from w group by all having count(distinct k) >= 30),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as n from w group by all),
+x as (select g.lang, g.source, kept.term, coalesce(n, 0)::hugeint as n, kept.total::hugeint as total
+      from g join kept using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = kept.term),
+p as (select lang, source, term, n, (1 + 1000000000 * (n + 5) // (sum(n) over s + 5 * count(*) over s))::bigint as p,
+             (1 + 1000000000 * (total + 5) // (sum(total) over s + 5 * count(*) over s))::bigint as q from x window s as (partition by lang, source)),
+pair as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(v, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source
+         left join (select i.lang, i.source, j.source as item, sum(abs(i.p - j.p)) as v from p i join p j using (lang, term) group by all) s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+term as (select lang, source, 'term' as part, term as item, p - q as value from p where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from (select * from pair union all select * from term))
+select * from ranked where part = 'pair' or rank <= 50""",
 }
