@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.labels import combined_family, finite_or_null
+from ..operators import attribution, boosting
 from ..operators import explain as X
 from ..operators import imbalance as I
 from ..operators import models as ML
 from ..operators import sampling as S
+from ..operators.prepare import balanced_weights
 from ..sources import batch, captures
 from .catalog import query
 from .views import flows, table
@@ -27,8 +31,6 @@ def vectors(spark, d):
 def _ready(spark, d):
     from pyspark.ml.functions import array_to_vector
 
-    from ..operators.prepare import balanced_weights
-
     v = vectors(spark, d).select("row_id", "side", "fold", array_to_vector("x").alias("features"), F.col("y").cast("double").alias("label"))
     return balanced_weights(v.where("side = 'train'"), "label"), balanced_weights(v.where("side = 'test'"), "label")
 
@@ -104,8 +106,6 @@ def _(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("x"), F.col("label").alias("y"))
     from pyspark.ml.functions import array_to_vector
 
-    from ..operators.prepare import balanced_weights
-
     mixed = S.split_random(S.shuffle_labels(S.balanced_cap(e, "y", "row_id", 100_000), "y", "row_id"), "y", "row_id", min_test=3)
     v = balanced_weights(mixed.select("row_id", "side", array_to_vector("x").alias("features"), F.col("y").cast("double").alias("label")), "label")
     s = ML.score(ML.fit("logistic_regression", v.where("side = 'train'").cache(), 10), v.where("side = 'test'"))
@@ -159,3 +159,34 @@ def _(spark, d):
     pick = lambda n, s: t.orderBy(F.xxhash64(F.lit(s), "row_id"), "row_id").limit(n)
     rule = lambda c: c["l_quantity"] * (1 - c["l_discount"]) + F.when(c["l_tax"] > 0.04, 10.0).otherwise(0.0)
     return X.sampling_shapley(pick(40, 1), pick(20, 2), ["l_quantity", "l_discount", "l_tax"], rule)
+
+
+@query("tree_attribution")
+def _(spark, d):
+    """Every test flow's exact attributions of a fitted forest, by class."""
+    sides = _flow_sides(spark, d)
+    model, classes = ML.fit_pipeline("random_forest", sides.where("side = 'train'").drop("side"), _FLOW_FEATURES, "label", "row_id", numTrees=20)
+    phi = attribution.tree_attribution(model, classes, sides.where("side = 'test'"), _FLOW_FEATURES, "row_id")
+    return phi.select("row_id", "class", *[F.round(c, 9).alias(c) for c in ("expected", "prediction")], *[F.round(F.col("phi")[f], 9).alias(f"phi_{f}") for f in _FLOW_FEATURES])
+
+
+@query("kernel_attribution")
+def _(spark, d):
+    """Attributions of a fitted regression: 1,000 test flows against 200 training flows, the sizes that are the operator's settings."""
+    sides = _flow_sides(spark, d)
+    model, classes = ML.fit_pipeline("logistic_regression", sides.where("side = 'train'").drop("side"), _FLOW_FEATURES, "label", "row_id")
+    ready = PipelineModel(model.stages[:-1]).transform(sides.withColumns({f: F.col(f).cast("double") for f in _FLOW_FEATURES}))
+    ready = ready.select("row_id", "side", vector_to_array("features").alias("x"))
+    pick = lambda side, n: ready.where(F.col("side") == side).orderBy(F.xxhash64("row_id"), "row_id").limit(n)
+    phi = attribution.kernel_attribution(model.stages[-1], pick("test", 1000), pick("train", 200), _FLOW_FEATURES, classes)
+    return phi.select("row_id", "class", "feature", F.round("phi", 9).alias("phi"))
+
+
+@query("model_softmax_boost")
+def _(spark, d):
+    """Test embeddings scored by softmax boosting with balanced weights."""
+    sides = balanced_weights(vectors(spark, d).select("row_id", "side", "x", F.col("y").cast("int").alias("label")).where("side = 'train'"), "label")
+    model = boosting.fit(sides, 10, rounds=10, depth=3, rate=0.3)
+    test = vectors(spark, d).where("side = 'test'").select("row_id", F.col("y").cast("int").alias("label"), "x")
+    scored = boosting.predict(model, test, ["row_id", "label"])
+    return scored.select("row_id", "label", "y_pred", F.round(F.array_max("probability"), 6).alias("confidence"))
