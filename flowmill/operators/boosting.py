@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.captures import scratch_path
+from ..sources.scratch import removed, written
 
 #: Rows of a block, bins of a feature at most.
 BLOCK_ROWS, BINS = 8192, 64
@@ -118,20 +118,6 @@ def _unpacked(block, features: int, classes: int):
     return np.frombuffer(block.bins, np.uint8).reshape(len(label), features), label, np.frombuffer(block.weight, float), np.frombuffer(block.scores, float).reshape(len(label), classes)
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _removed(df: DataFrame) -> None:
-    """Delete a table of _written() that nothing reads any more."""
-    spark = df.sparkSession
-    for f in {p.rpartition("/")[0] for p in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def _level(blocks: DataFrame, before: DataFrame | None, trees: list[Tree], counted: dict[int, set[int]], level: int, bins: int, features: int, classes: int, penalty: float, least: float) -> DataFrame:
     """(class, parent, node, sums, gain, feature, cut, left, g, h) of each node of this level."""
     shape = (3, features, bins)
@@ -210,14 +196,14 @@ def fit(rows: DataFrame, classes: int, rounds: int = 100, depth: int = 4, rate:
     shares = {r["label"]: r["w"] for r in rows.groupBy("label").agg(F.sum("weight").alias("w")).collect()}  # a row a class
     w = np.array([shares.get(k, 0.0) for k in range(classes)])
     model = Boosted(bin_edges(rows, features, bins), np.log(np.maximum(w / w.sum(), 1e-6)), [], [], depth)
-    blocks = _written(_packed(rows, model), "boost-0")
+    blocks = written(_packed(rows, model), "boost-0")
     size = 2 ** (depth + 1) - 1
     for r in range(rounds):
         model.losses.append(_loss(blocks, features, classes))
         trees = [Tree(np.full(size, -1), np.zeros(size, np.int64), np.zeros(size)) for _ in range(classes)]
         counted, before, used = {k: {0} for k in range(classes)}, None, []
         for level in range(depth + 1):
-            after = _written(_level(blocks, before, trees, counted, level, bins, features, classes, penalty, least), f"boost-{r}-{level}")
+            after = written(_level(blocks, before, trees, counted, level, bins, features, classes, penalty, least), f"boost-{r}-{level}")
             used.append(after)
             counted = {k: set() for k in range(classes)}
             for n in after.drop("sums").collect():  # a row a node and class
@@ -230,12 +216,11 @@ def fit(rows: DataFrame, classes: int, rounds: int = 100, depth: int = 4, rate:
             if not any(counted.values()):
                 break
         model.trees.append(trees)
-        rescored = _written(_rescored(blocks, model, features, classes), f"boost-{r + 1}")
-        for done in (blocks, *used):
-            _removed(done)
+        rescored = written(_rescored(blocks, model, features, classes), f"boost-{r + 1}")
+        removed(blocks, *used)
         blocks = rescored
     model.losses.append(_loss(blocks, features, classes))
-    _removed(blocks)
+    removed(blocks)
     return model
 
 

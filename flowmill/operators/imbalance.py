@@ -1,102 +1,16 @@
-"""Synthetic over-sampling. Neighbours are exact: rows are packed into blocks, each two blocks meet in
-a task, which hands on the k best of each row, and an aggregation merges them."""
+"""Synthetic over-sampling and editing by exact nearest neighbours (neighbours.py)."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a block (64 floats a row: 1 MB).
-BLOCK_ROWS = 2048
-
-
-def _packed(points: DataFrame, tag) -> DataFrame:
-    """(ids, xs, tags): the rows in blocks, each sorted by row_id; rows without a vector are left out."""
-    rows = points.select("row_id", "x", tag.alias("tag")).where("row_id is not null and x is not null")
-    size = BLOCK_ROWS
-
-    def blocks(batches):
-        held, n = [], 0
-
-        def out():
-            t = pa.Table.from_batches(held).combine_chunks().sort_by("row_id")
-            for at in range(0, t.num_rows, size):
-                part = t.slice(at, size).combine_chunks()
-                x = np.asarray(part.column("x").combine_chunks().flatten(), np.float64)
-                tags = part.column("tag").combine_chunks()
-                yield pa.RecordBatch.from_arrays([pa.array([part.column("row_id").to_numpy().tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(tags)], pa.int32()), tags)], ["ids", "xs", "tags"])
-
-        for b in batches:
-            if b.num_rows:
-                held.append(b)
-                n += b.num_rows
-            if n >= size:
-                yield from out()
-                held, n = [], 0
-        if n:
-            yield from out()
-
-    kind = rows.schema["tag"].dataType.simpleString()
-    spread = 2 * points.sparkSession.sparkContext.defaultParallelism
-    return rows.withColumn("row_id", F.col("row_id").cast("long")).repartition(spread).mapInArrow(blocks, f"ids binary, xs binary, tags array<{kind}>").cache()
-
-
-def _nearest(queries: DataFrame, others: DataFrame, k: int) -> DataFrame:
-    """(row_id, n): the k nearest others (d, o, tag) of each row of packed `queries`, nearest first,
-    without the row itself; of equal distances, the smaller ids. Rows without others have no row."""
-    tag = others.schema["tags"].dataType.elementType
-    kind = tag.simpleString()
-
-    def best(batches):
-        own, dist, who, tags = b"", None, None, None
-
-        def out():
-            n = np.isfinite(dist)
-            ids = np.repeat(np.frombuffer(own, np.int64), n.sum(1))
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(dist[n]), pa.array(who[n]), pa.array(tags[n].tolist(), arrow_tag)], ["row_id", "d", "o", "tag"])
-
-        for b in batches:
-            arrow_tag = b.column(4).type.value_type
-            for i in range(b.num_rows):
-                q_bytes = b.column(0)[i].as_py()
-                q_ids, ids = np.frombuffer(q_bytes, np.int64), np.frombuffer(b.column(2)[i].as_py(), np.int64)
-                q, x = np.frombuffer(b.column(1)[i].as_py()).reshape(len(q_ids), -1), np.frombuffer(b.column(3)[i].as_py()).reshape(len(ids), -1)
-                if q_bytes != own:
-                    if own:
-                        yield out()
-                    own, dist, who, tags = q_bytes, np.full((len(q), k), np.inf), np.full((len(q), k), -1), np.full((len(q), k), None, object)
-                apart = (q**2).sum(1)[:, None] - 2 * q @ x.T + (x**2).sum(1)[None, :]
-                at = np.minimum(np.searchsorted(ids, q_ids), len(ids) - 1)
-                same = np.flatnonzero(ids[at] == q_ids)
-                apart[same, at[same]] = np.inf
-                rows = np.arange(len(q))
-                new = np.zeros((len(q), min(k, len(ids))), np.int64)
-                gone = np.zeros(new.shape, bool)
-                for j in range(new.shape[1]):  # ids are sorted, so the first of equal distances is the smallest
-                    new[:, j] = apart.argmin(1)
-                    gone[:, j] = np.isinf(apart[rows, new[:, j]])
-                    apart[rows, new[:, j]] = np.inf
-                # by differences, so that equal rows are at the same distance in every block
-                d = np.stack([((q - x[new[:, j]]) ** 2).sum(1) for j in range(new.shape[1])], 1)
-                d[gone] = np.inf
-                t = np.array([*b.column(4)[i].as_py(), None], object)[:-1]
-                dist, who, tags = np.hstack([dist, d]), np.hstack([who, ids[new]]), np.hstack([tags, t[new]])
-                top = np.lexsort((who, dist), axis=1)[:, :k]
-                dist, who, tags = (np.take_along_axis(v, top, 1) for v in (dist, who, tags))
-        if own:
-            yield out()
-
-    left = queries.select("ids", "xs").hint("shuffle_replicate_nl")
-    pairs = left.crossJoin(others.select(F.col("ids").alias("o_ids"), F.col("xs").alias("o_xs"), F.col("tags").alias("o_tags")))
-    found = pairs.mapInArrow(best, f"row_id long, d double, o long, tag {kind}")
-    return found.groupBy("row_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "o", "tag"))), 1, k).alias("n"))  # k a task and row
+from .neighbours import nearest, usable
 
 
 def nearest_minority(queries: DataFrame, points: DataFrame, label: str, target, k: int) -> DataFrame:
     """(row_id, x, neighbours): each query's k nearest other rows of the target class, exact."""
-    near = _nearest(_packed(queries, F.lit(True)), _packed(points.where(F.col(label) == target), F.lit(True)), k)
+    near = nearest(usable(queries, F.lit(True)), usable(points.where(F.col(label) == target), F.lit(True)), k)
     ids = F.coalesce(F.transform("n", lambda s: s["o"]), F.array().cast("array<long>"))
     return queries.select("row_id", "x").join(near, "row_id", "left").select("row_id", "x", ids.alias("neighbours"))
 
@@ -125,7 +39,7 @@ def smote(points: DataFrame, label: str, target, per_seed: int, k: int = 5, seed
 
 def danger_points(points: DataFrame, label: str, target, k: int = 10) -> DataFrame:
     """Minority rows of whose k nearest rows at least half, but not all, are of other classes."""
-    near = _nearest(_packed(points.where(F.col(label) == target), F.lit(True)), _packed(points, F.col(label) != target), k)
+    near = nearest(usable(points.where(F.col(label) == target), F.lit(True)), usable(points, F.col(label) != target), k)
     foes = F.size(F.filter("n", lambda s: s["tag"]))
     danger = near.where((foes >= k / 2) & (foes < k)).select("row_id")
     return points.where(F.col(label) == target).join(danger, "row_id", "left_semi")
@@ -133,8 +47,8 @@ def danger_points(points: DataFrame, label: str, target, k: int = 10) -> DataFra
 
 def nearest_votes(points: DataFrame, label: str, k: int) -> DataFrame:
     """(row_id, label, votes): the labels of each row's k nearest other rows, exact."""
-    packed = _packed(points, F.col(label))
-    near = _nearest(packed, packed, k).select("row_id", F.transform("n", lambda s: s["tag"]).alias("votes"))
+    own = usable(points, F.col(label))
+    near = nearest(own, own, k).select("row_id", F.transform("n", lambda s: s["tag"]).alias("votes"))
     return points.select("row_id", F.col(label).alias("label")).join(near, "row_id")
 
 
