@@ -85,11 +85,12 @@ def fit(sample: np.ndarray, leaf_rows: int, ways: int = WAYS, max_leaves: int =
         distinct = np.unique(sample[rows], axis=0) if len(rows) else sample[rows]
         if len(rows) <= leaf_rows or len(distinct) < 2 or tree.leaves + ways > max_leaves:
             continue
-        # of three times as many random rows, greedily those far from one another
-        tried = distinct[rng.permutation(len(distinct))[: 3 * ways]]
+        # of three times as many random rows, greedily those far from one another; no more than leaves of the size aimed at
+        split = max(2, min(ways, -(-len(rows) // leaf_rows)))
+        tried = distinct[rng.permutation(len(distinct))[: 3 * split]]
         chosen = [0]
         far = _apart(tried, tried[:1])[:, 0]
-        while len(chosen) < min(ways, len(tried)):
+        while len(chosen) < min(split, len(tried)):
             chosen.append(int(far.argmax()))
             far = np.minimum(far, _apart(tried, tried[chosen[-1:]])[:, 0])
         node = Node(tried[chosen])
@@ -141,27 +142,22 @@ def survivors(tree: Tree, q: np.ndarray, low: np.ndarray, high: np.ndarray) -> n
     least, most = tree.small[tree.rows > 0].min(initial=np.inf), tree.large[tree.rows > 0].max(initial=0)
     slack = SLACK * np.sqrt(max(qq, most))
 
-    def ring(nl, nh):
-        inner = np.sqrt(np.maximum(qq + nl - 2 * high, 0))
-        outer2 = qq + nh - 2 * low
-        return inner, np.where(outer2 < 0, -1, np.sqrt(np.maximum(outer2, 0)))
-
-    inner, outer = ring(least, most)
     waiting = [0]
     while waiting:
         node = tree.nodes[waiting.pop()]
+        to = np.array(node.to)
         d = _apart(q[None, :], node.points)[0][:, None]
         lowest = np.maximum(np.maximum(node.near - d, d - node.far), 0).max(0)  # of a row's distance to q, by all split points
         highest = (node.far + d).min(0)
-        for j, to in enumerate(node.to):
-            if not np.isfinite(highest[j]):
-                continue  # no rows
-            lo, hi = inner, outer
-            if to < 0:
-                lo, hi = ring(tree.small[-1 - to], tree.large[-1 - to])
-            meets = (lowest[j] - slack <= hi) & (highest[j] + slack >= lo) & (low <= high)
-            if meets.any():
-                out.append(-1 - to) if to < 0 else waiting.append(to)
+        nl, nh = np.full(len(to), least), np.full(len(to), most)
+        leaf = to < 0
+        nl[leaf], nh[leaf] = tree.small[-1 - to[leaf]], tree.large[-1 - to[leaf]]
+        full = np.isfinite(highest)  # ways with rows
+        inner = np.sqrt(np.maximum(qq + nl[full] - 2 * high[:, None], 0))  # the ring of each window and way
+        outer = qq + nh[full] - 2 * low[:, None]
+        meets = (outer >= 0) & (lowest[full] - slack <= np.sqrt(np.maximum(outer, 0))) & (highest[full] + slack >= inner) & (low <= high)[:, None]
+        for j in np.flatnonzero(full)[meets.any(0)]:
+            out.append(-1 - to[j]) if to[j] < 0 else waiting.append(to[j])
     return np.array(out, np.int64)
 
 
@@ -190,6 +186,19 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q.astype(np.int64) @ x.astype(np.int64).T
 
 
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest of each row above NEVER; of equal ones, the first columns."""
+    n = scores.shape[1]
+    if n > 4 * k:  # only those that reach the k-th best
+        least = np.partition(scores, n - k, axis=1)[:, n - k, None]
+        scores = np.where(scores >= least, scores, NEVER)
+    row, column = np.nonzero(scores > NEVER)
+    order = np.lexsort((column, -scores[row, column], row))
+    row, column = row[order], column[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[rank < k], column[rank < k]
+
+
 class Index:
     """The tree and its rows: a table (vec_id, label, v, leaf, part) in the shared folder."""
 
@@ -275,20 +284,20 @@ class Index:
 
         def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             right = right.sort_values("vec_id")
-            x, ids, labels = _matrix(right["v"], dims), right["vec_id"].to_numpy(), right["label"].to_numpy()
-            out = []
+            x, ids, labels = _matrix(right["v"], dims), right["vec_id"].to_numpy(np.int64), right["label"].to_numpy()
+            out = [pd.DataFrame({"vec_id": ids[:0], "window": np.zeros(0, np.int32), "row_id": ids[:0], "score": ids[:0]})]
             for at in range(0, len(left), 1024):
                 part = left.iloc[at : at + 1024]
                 scores = _products(_matrix(part["v"], dims), x) if len(right) else np.zeros((len(part), 0), np.int64)
-                for i, (query, label, lows, highs) in enumerate(zip(part["vec_id"], part["label"], part["low"], part["high"], strict=True)):
-                    fits = (labels == label) & (ids != query) if same else labels != label
-                    for w, (low, high) in enumerate(zip(lows, highs, strict=True)):
-                        met = np.flatnonzero(fits & (scores[i] >= low) & (scores[i] <= high))
-                        if len(met) > 4 * k:  # only those that reach the k-th best
-                            met = met[scores[i][met] >= np.partition(scores[i][met], -k)[-k]]
-                        met = met[np.argsort(-scores[i][met], kind="stable")[:k]]
-                        out += [(query, w, ids[m], scores[i][m]) for m in met]
-            return pd.DataFrame(out, columns=["vec_id", "window", "row_id", "score"]).astype({"vec_id": "int64", "window": "int32", "row_id": "int64", "score": "int64"})
+                alike = part["label"].to_numpy()[:, None] == labels[None, :]
+                fits = alike & (part["vec_id"].to_numpy()[:, None] != ids[None, :]) if same else ~alike
+                windows = [len(w) for w in part["low"]]
+                for w in range(max(windows)):
+                    asked = np.array([n > w for n in windows])
+                    low, high = (np.array([b[w] for b in part[c][asked]], np.int64)[:, None] for c in ("low", "high"))
+                    who, which = _best(np.where(fits[asked] & (scores[asked] >= low) & (scores[asked] <= high), scores[asked], NEVER), k)
+                    out.append(pd.DataFrame({"vec_id": part["vec_id"].to_numpy()[asked][who], "window": np.full(len(who), w, np.int32), "row_id": ids[which], "score": scores[asked][who, which]}))
+            return pd.concat(out)
 
         routed = asked.mapInPandas(route, "vec_id long, label long, v array<int>, low array<long>, high array<long>, leaf int, part int")
         routed = routed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
