@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.labels import combined_family, finite_or_null
-from ..operators import attribution, boosting
+from ..operators import attribution, boosting, network
 from ..operators import explain as X
 from ..operators import imbalance as I
 from ..operators import models as ML
@@ -190,3 +190,12 @@ def _(spark, d):
     test = vectors(spark, d).where("side = 'test'").select("row_id", F.col("y").cast("int").alias("label"), "x")
     scored = boosting.predict(model, test, ["row_id", "label"])
     return scored.select("row_id", "label", "y_pred", F.round(F.array_max("probability"), 6).alias("confidence"))
+
+
+@query("model_network")
+def _(spark, d):
+    """Test embeddings scored by a network trained with balanced weights and stopped early."""
+    sides = vectors(spark, d).select("row_id", "side", "x", F.col("y").cast("int").alias("label"))
+    model = network.fit(balanced_weights(sides.where("side = 'train'"), "label"), 10, hidden=(128, 64), epochs=100)
+    scored = network.predict(model, sides.where("side = 'test'"), ["row_id", "label"])
+    return scored.select("row_id", "label", "y_pred", F.round(F.array_max("probability"), 6).alias("confidence"))
