@@ -1,18 +1,22 @@
-"""Operator 10: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
-
-Words are lower-case runs of letters and digits. Every three-word gram of an item is a seed, however
-many documents hold it: the grams of an edited copy that leaked into much of the corpus are common,
-but the only ones its documents have. Seeds are found in each whole text; the diagonals of one item's
-hits are joined into windows, and each window is aligned with the item, unless so few of the item's
-words occur in it that no alignment can reach the threshold. Alignments that reach THRESHOLD of the
-item's best possible score are matches.
+"""Operator 10: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+
+Words are lower-case runs of letters and digits. The seeds are chosen so that no alignment that reaches
+the threshold is missed. An alignment with M matched words of an item of n scores 3 M - 2 X, X being what
+is replaced, added or left out between them; if that is at least 3 t n, at least n (1.5 t - 0.5) - 1 of
+its neighbouring matched words are neighbours in both texts: whole word pairs. So each item asks for that
+many (`need`) of its pairs within the longest stretch that such an alignment covers, and all but its
+need - 1 most frequent pairs are rare seeds, of which at least one must hit; frequent pairs are looked up
+for the texts and items that a rare one has joined only. Items so short that the count is 0 (five words or
+fewer) take single words as seeds, of which t n must hit. Stretches with enough hits are joined into
+windows and aligned, unless so few of the item's words occur in them that no alignment can reach the
+threshold. Alignments that reach THRESHOLD of the item's best possible score are matches.
 
 The benchmark is the stated query set: it is broadcast in blocks of at most BLOCK_BYTES of text, one
 narrow pass a block, so that its size has no bound; only matches are shuffled.
 
-Defined results: items with fewer words than a gram match nothing; null or empty texts match
-nothing; the best alignment of each document and item is returned; repeated rows give one match;
-rows with a null doc_id give matches with a null doc_id; extra columns are ignored.
+Defined results: items without words match nothing; null or empty texts match nothing; the best alignment
+of each document and item is returned; repeated rows give one match; rows with a null doc_id give matches
+with a null doc_id; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +32,11 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 
-GRAM = 3
 MATCH, MISMATCH, GAP = 3, -2, -2
 THRESHOLD = 0.45
 BLOCK_BYTES = 16 << 20
+#: Hits of frequent pairs that are held at once.
+HELD_HITS = 1 << 22
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,7 +44,7 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return tv.span_hashes(data, s, e), row
 
 
-def grams(h: np.ndarray, row: np.ndarray, k: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+def grams(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of k whole words in a row, and the number of the word each starts at."""
     if len(h) < k:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -50,33 +55,78 @@ def grams(h: np.ndarray, row: np.ndarray, k: int = GRAM) -> tuple[np.ndarray, np
     return tv.mix(g[at]), at
 
 
+@dataclass
+class Seeds:
+    """Seed -> (item, position) lists of grams of k words, sorted by seed, with repeats."""
+
+    k: int
+    gram: np.ndarray
+    item: np.ndarray
+    at: np.ndarray
+
+    def hits(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers of grams with hits, first and last entry of each)."""
+        lo, hi = np.searchsorted(self.gram, g, "left"), np.searchsorted(self.gram, g, "right")
+        some = np.flatnonzero(hi > lo)
+        return some, lo[some], hi[some]
+
+
 @dataclass
 class Items:
-    """One block of the benchmark: words of each item, and seed -> (item, position) lists."""
+    """One block of the benchmark: words of each item, its seeds, hits needed in a stretch of so many words,
+    and how far an alignment may drift from the diagonal of a hit."""
 
     ids: list
     words: list[np.ndarray]
-    seed: np.ndarray  # sorted, with repeats
-    seed_item: np.ndarray
-    seed_at: np.ndarray
+    rare: list[Seeds]
+    frequent: Seeds
+    need: np.ndarray
+    stretch: np.ndarray
+    drift: np.ndarray
+
 
+def needed_pairs(n: int, threshold: float) -> int:
+    """Word pairs that each alignment of the threshold's score shares with an item of n words."""
+    return int(np.ceil(n * (1.5 * threshold - 0.5) - 1 - 1e-9))
 
-def load_items(ids: list, texts: list[str]) -> Items:
-    """All grams of a block's items as seeds."""
+
+def load_items(ids: list, texts: list[str], threshold: float = THRESHOLD) -> Items:
+    """A block's items with rare seeds (pairs, and words of short items) and frequent ones."""
     arr = pc.utf8_lower(pa.array([t or "" for t in texts], pa.large_string()))
-    words, seeds, items, at = [], [], [], []
+    words: list[np.ndarray] = []
+    found: dict[int, list] = {1: [], 2: []}
+    need = []
     for k in range(len(arr)):
         for _, _, data, off in tv.byte_slices(arr.slice(k, 1)):
             h, row = word_hashes(data, off)
-            g, p = grams(h, row)
+            pairs = needed_pairs(len(h), threshold)
+            size = 2 if pairs >= 1 else 1
+            need.append(pairs if pairs >= 1 else max(1, int(np.ceil(threshold * len(h) - 1e-9))))
+            g, p = grams(h, row, size)
             words.append(h)
-            seeds.append(g)
-            items.append(np.full(len(g), k))
-            at.append(p)
-    seed = np.concatenate([np.zeros(0, np.uint64), *seeds])
-    order = np.argsort(seed, kind="stable")
-    whole = lambda x: np.concatenate([np.zeros(0, np.int64), *x])[order].astype(np.int64)
-    return Items(ids, words, seed[order], whole(items), whole(at))
+            found[size].append((g, np.full(len(g), k), p))
+
+    def table(size: int) -> tuple[np.ndarray, ...]:
+        g, item, at = (np.concatenate([np.zeros(0, t), *c]).astype(t) for c, t in zip(zip(*found[size], strict=True) if found[size] else [[]] * 3, (np.uint64, np.int64, np.int64), strict=True))
+        return g, item, at
+
+    need_of = np.array(need, np.int64)
+    g, item, at = table(2)
+    _, kind, count = np.unique(g, return_inverse=True, return_counts=True)
+    order = np.lexsort((at, -count[kind] if len(g) else at, item))  # each item's most frequent pairs first
+    place = np.arange(len(g)) - np.searchsorted(item[order], item[order])
+    rare = np.zeros(len(g), bool)
+    rare[order] = place >= need_of[item[order]] - 1
+
+    def seeds(k: int, own, g, item, at) -> Seeds:
+        g, item, at = g[own], item[own], at[own]
+        by = np.argsort(g, kind="stable")
+        return Seeds(k, g[by], item[by], at[by])
+
+    short = table(1)
+    size = np.array([len(w) for w in words], np.int64)
+    drift = np.floor(size * (1.5 - 1.5 * threshold) + 1e-9).astype(np.int64)
+    return Items(ids, words, [seeds(2, rare, g, item, at), seeds(1, np.ones(len(short[0]), bool), *short)], seeds(2, ~rare, g, item, at), need_of, size + drift, drift)
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
@@ -97,13 +147,11 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def windows(hits: np.ndarray, at: np.ndarray, n_item: int, n_doc: int) -> list[tuple[int, int]]:
-    """Stretches of the text (in words) around the diagonals hits - at; overlapping ones are joined."""
-    diagonal = np.unique(hits - at)
-    margin = n_item // 2 + 4
+def windows(diagonal: np.ndarray, n_item: int, drift: int, n_doc: int) -> list[tuple[int, int]]:
+    """Stretches of the text (in words) that alignments through these diagonals can cover; overlapping ones are joined."""
     out: list[tuple[int, int]] = []
-    for d in diagonal:
-        a, b = max(0, int(d) - margin), min(n_doc, int(d) + n_item + margin)
+    for d in np.unique(diagonal):
+        a, b = max(0, int(d) - drift), min(n_doc, int(d) + n_item + drift)
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -111,29 +159,66 @@ def windows(hits: np.ndarray, at: np.ndarray, n_item: int, n_doc: int) -> list[t
     return out
 
 
+def _expanded(seeds: Seeds, some, lo, hi, at, row) -> tuple[np.ndarray, ...]:
+    """(text, item, word of the text, word of the item) of each hit."""
+    lens = hi - lo
+    pick = np.repeat(lo - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
+    where = np.repeat(at[some], lens)
+    return row[where], seeds.item[pick], where, seeds.at[pick]
+
+
+def candidates(h: np.ndarray, row: np.ndarray, items: Items) -> tuple[np.ndarray, ...]:
+    """(text, item, word of the text, word of the item) of all hits in stretches that hold as many as
+    their item needs, in order of text, item and word."""
+    hits = []
+    for seeds in items.rare:
+        if len(seeds.gram):
+            g, at = grams(h, row, seeds.k)
+            some, lo, hi = seeds.hits(g)
+            if len(some):
+                hits.append(_expanded(seeds, some, lo, hi, at, row))
+    if not hits:
+        return (np.zeros(0, np.int64),) * 4
+    n = len(items.words)
+    joined = np.unique(np.concatenate([t * n + k for t, k, _, _ in hits]))
+    if len(items.frequent.gram):
+        g, at = grams(h, row, 2)
+        some, lo, hi = items.frequent.hits(g)
+        many = np.isin(row[at[some]], joined // n)  # texts that a rare seed has joined
+        some, lo, hi = some[many], lo[many], hi[many]
+        step = np.cumsum(hi - lo) // HELD_HITS
+        for k in np.unique(step):
+            t, i, where, pos = _expanded(items.frequent, *(x[step == k] for x in (some, lo, hi)), at, row)
+            own = np.isin(t * n + i, joined)
+            hits.append((t[own], i[own], where[own], pos[own]))
+    text, item, where, pos = (np.concatenate(c) for c in zip(*hits, strict=True))
+    order = np.lexsort((where, item, text))
+    text, item, where, pos = text[order], item[order], where[order], pos[order]
+    last = np.arange(len(text)) + items.need[item] - 1  # the hit that completes a stretch
+    end = np.minimum(last, len(text) - 1)
+    full = (last < len(text)) & (text[end] == text) & (item[end] == item) & (where[end] - where <= items.stretch[item])
+    inside = np.zeros(len(text) + 1, np.int64)
+    np.add.at(inside, np.flatnonzero(full), 1)
+    np.add.at(inside, last[full] + 1, -1)
+    live = np.cumsum(inside[:-1]) > 0
+    return text[live], item[live], where[live], pos[live]
+
+
 def matches(data: np.ndarray, off: np.ndarray, items: Items, threshold: float) -> list[tuple[int, int, float, int, int]]:
     """(text number, item number, score, first word, end word) of the best match of each text and item."""
     h, row = word_hashes(data, off)
-    g, at = grams(h, row)
-    lo, hi = np.searchsorted(items.seed, g, "left"), np.searchsorted(items.seed, g, "right")
-    some = np.flatnonzero(hi > lo)
-    if not len(some):
+    text, item, where, pos = candidates(h, row, items)
+    if not len(text):
         return []
-    lens = hi[some] - lo[some]
-    pick = np.repeat(lo[some] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
-    where = np.repeat(at[some], lens)
-    text, item, pos = row[where], items.seed_item[pick], items.seed_at[pick]
     begins = np.searchsorted(row, np.arange(len(off) - 1), "left")
     ends = np.searchsorted(row, np.arange(len(off) - 1), "right")
-    order = np.lexsort((where, item, text))
-    text, item, pos, where = text[order], item[order], pos[order], where[order]
     cuts = np.flatnonzero((np.diff(text) != 0) | (np.diff(item) != 0)) + 1
     out = []
     for own in np.split(np.arange(len(text)), cuts):
         t, k = int(text[own[0]]), int(item[own[0]])
         doc, words = h[begins[t] : ends[t]], items.words[k]
         best = (0, 0, 0)
-        for a, b in windows(where[own] - begins[t], pos[own], len(words), len(doc)):
+        for a, b in windows(where[own] - begins[t] - pos[own], len(words), int(items.drift[k]), len(doc)):
             # each match takes a word of the item, so this bounds the score
             if np.isin(words, doc[a:b]).sum() / len(words) < threshold:
                 continue
@@ -146,21 +231,21 @@ def matches(data: np.ndarray, off: np.ndarray, items: Items, threshold: float) -
     return out
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> Iterator[Items]:
+def _blocks(benchmark: DataFrame, limit: int, threshold: float) -> Iterator[Items]:
     """The items in blocks of about `limit` bytes of text."""
     sized = benchmark.select("item_id", "text").where("text is not null")
     n = int((sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // limit + 1)
     for k in range(n):
         block = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toArrow()
         if block.num_rows:
-            yield load_items(block.column("item_id").to_pylist(), block.column("text").to_pylist())
+            yield load_items(block.column("item_id").to_pylist(), block.column("text").to_pylist(), threshold)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word) of every document that holds a copy of an item."""
     schema = "doc_id long, item_id long, score double, first_word int, end_word int"
     found = docs.sparkSession.createDataFrame([], schema)
-    for items in _blocks(benchmark, block_bytes):
+    for items in _blocks(benchmark, block_bytes, threshold):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -194,6 +279,6 @@ def _without_matches(docs: DataFrame, items: Items, threshold: float) -> DataFra
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without a match, with all their columns; narrow passes only."""
     out = docs
-    for items in _blocks(benchmark, block_bytes):
+    for items in _blocks(benchmark, block_bytes, threshold):
         out = _without_matches(out, items, threshold)
     return out

@@ -184,10 +184,53 @@ def test_edited_copy_in_many_documents_is_found(spark):
     assert {r.doc_id for r in decontam.keep_clean(df, bench).collect()} == set(range(31, 60))
 
 
+EDITS = {
+    "a word after every second": lambda w, r: [y for i, x in enumerate(w) for y in ([x, "added"] if i % 2 else [x])],
+    "every third dropped": lambda w, r: [x for i, x in enumerate(w) if i % 3 != 1],
+    "every fifth replaced": lambda w, r: [x if i % 5 else "other" for i, x in enumerate(w)],
+    "a quarter replaced at random": lambda w, r: [x if r.random() > 0.25 else "other" for x in w],
+    "a fifth added at random": lambda w, r: [y for x in w for y in ([x, "added"] if r.random() < 0.2 else [x])],
+    "the first half": lambda w, r: w[: len(w) // 2],
+    "the middle": lambda w, r: w[len(w) // 4 : -len(w) // 4],
+    "halves apart": lambda w, r: [*w[: len(w) // 2], *["gap"] * 6, *w[len(w) // 2 :]],
+    "pairs kept, one added": lambda w, r: [y for i, x in enumerate(w) for y in ([x, "more"] if i % 3 == 1 else [x])],
+    "neighbours swapped here and there": lambda w, r: [w[i + 1] if i % 8 == 2 and i + 1 < len(w) else w[i - 1] if i % 8 == 3 else x for i, x in enumerate(w)],
+    "dropped and added": lambda w, r: [y for i, x in enumerate(w) if i % 9 != 4 for y in ([x, "added"] if i % 4 == 3 else [x])],
+}
+
+
+@pytest.mark.parametrize("vocabulary", [30, 400])
+def test_every_alignment_of_the_score_is_found(vocabulary):
+    """Eleven ways to edit, items of 1 to 50 words, against the alignment of every pair."""
+    rng = random.Random(12)
+    vocab = words(random.Random(13), vocabulary)
+    items = [" ".join(rng.choice(vocab) for _ in range(n)) for n in (1, 2, 3, 4, 5, 6, 7, 9, 12, 15, 20, 28, 40, 40, 50)]
+    docs = []
+    for edit in EDITS.values():
+        for item in items:
+            w = [rng.choice(vocab) for _ in range(rng.randint(0, 60))]
+            at = rng.randrange(len(w) + 1)
+            docs.append(" ".join([*w[:at], *edit(item.split(), rng), *w[at:]]))
+    block = decontam.load_items(list(range(len(items))), items)
+    got = {}
+    for i, _, data, off in decontam.tv.byte_slices(decontam.pa.array(docs, decontam.pa.large_string())):
+        got |= {(i + t, k): score for t, k, score, *_ in decontam.matches(data, off, block, decontam.THRESHOLD)}
+    number: dict = {}
+    code = lambda text: np.array([number.setdefault(x, len(number)) for x in text.split()], np.uint64)
+    want = {}
+    for d, text in enumerate(docs):
+        for k, item in enumerate(items):
+            score = decontam.align(code(item), code(text))[0] / (decontam.MATCH * len(item.split()))
+            if score >= decontam.THRESHOLD:
+                want[d, k] = score
+    assert len(want) > 150 and got == want
+
+
 def test_leaks_of_awkward_rows(spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "a"), (4, "a b c d e f g"), (4, "a b c d e f g"), (None, "b c d e f g a")], "item_id long, text string").selectExpr("*", "'x' as g")
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(awkward(spark), bench).collect()}
-    assert {(6, 4), (7, 4)} <= got and {d for d, _ in got} == {6, 7}
+    assert {(6, 4), (7, 4)} <= got and {d for d, i in got if i != 3} == {6, 7}
+    assert {d for d, i in got if i == 3} == {6, 7, None}  # a single word, wherever it stands
     assert decontam.keep_clean(awkward(spark), bench).columns == awkward(spark).columns
     assert decontam.leaks(empty(spark), bench).count() == 0 and decontam.leaks(awkward(spark), bench.limit(0)).count() == 0
     assert decontam.keep_clean(awkward(spark), bench.limit(0)).count() == 13
