@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,19 +71,62 @@ def moments(c: Column) -> dict[str, Column]:
     return {"n": F.count(c), "s": F.sum(c), "ss": F.sum(c * c)}
 
 
+def _comoments(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """[6, a, b] of a batch's rows where both columns are known: rows, means of a and b, variations of a
+    and b, covariation."""
+    m = known.astype(float)
+    n = m.T @ m
+    with np.errstate(invalid="ignore", divide="ignore"):
+        shift = np.where(m.sum(0) > 0, np.where(known, x, 0).sum(0) / m.sum(0), 0)
+        z = np.where(known, x - shift, 0)  # near zero, so that sums of squares keep their digits
+        s, ss = z.T @ m, (z * z).T @ m
+        mean = np.where(n > 0, s / n, 0)
+        v = ss - s * mean
+        c = z.T @ z - s * mean.T
+    return np.stack([n, mean + shift[:, None], mean.T + shift[None, :], v, v.T, c])
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """_comoments() of both batches' rows."""
+    n = a[0] + b[0]
+    share = np.divide(b[0], n, out=np.zeros_like(n), where=n > 0)
+    dx, dy = b[1] - a[1], b[2] - a[2]
+    w = a[0] * share
+    return np.stack([n, a[1] + dx * share, a[2] + dy * share, a[3] + b[3] + dx * dx * w, a[4] + b[4] + dy * dy * w, a[5] + b[5] + dx * dy * w])
+
+
+def comoments(df: DataFrame, columns: list[str]) -> np.ndarray:
+    """[6, a, b] of every two columns over the rows where both aren't null: each task reduces its rows to
+    one matrix a kind, tasks are merged in a few groups, and these by the driver. One scan."""
+    k = len(columns)
+
+    def part(batches):
+        total = np.zeros((6, k, k))
+        for b in batches:
+            cells = [c.cast(pa.float64()) for c in b.columns]
+            known = np.stack([np.asarray(pc.is_valid(c)) for c in cells], 1)
+            total = _merged(total, _comoments(np.stack([c.to_numpy(zero_copy_only=False) for c in cells], 1), known))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slot", "sums"])
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = reduce(_merged, [np.frombuffer(s).reshape(6, k, k) for s in pdf["sums"]])
+        return pd.DataFrame({"slot": [0], "sums": [total.tobytes()]})
+
+    parts = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(part, "slot int, sums binary")
+    found = parts.groupBy("slot").applyInPandas(whole, "slot int, sums binary").collect()  # at most 16 rows of columns squared
+    return reduce(_merged, [np.frombuffer(bytes(r["sums"])).reshape(6, k, k) for r in found], np.zeros((6, k, k)))
+
+
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r) of every pair of columns, a before b: one aggregation of sums over complete pairs;
-    r is null for a constant column."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-
-    def sums(a: str, b: str) -> Column:
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = (F.when(both, F.col(c).cast("double")) for c in (a, b))
-        return F.struct(F.count(x).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("cxy"))
-
-    wide = df.agg(*[sums(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    long = wide.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("s")) for i, (a, b) in enumerate(pairs)])).alias("e"))
-    return long.select("e.a", "e.b", F.try_divide("e.s.cxy", F.sqrt(F.col("e.s.vx") * F.col("e.s.vy"))).alias("r"))
+    """(a, b, r) of every pair of columns, a before b, over rows where both are known; r is null for a
+    constant column and NaN for one with NaN."""
+    s = comoments(df, columns)
+    rows = []
+    for i, a in enumerate(columns):
+        for j in range(i + 1, len(columns)):
+            v = s[3, i, j] * s[4, i, j]
+            rows.append((a, columns[j], None if v <= 0 else float(s[5, i, j] / np.sqrt(v))))
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def discriminative_features(df: DataFrame, features: list[str], label: str, k: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .ranks import quantiles
 
 #: A ranking maximises or minimises an objective under constraints (metric, operator, limit); a limit
@@ -26,8 +27,8 @@ def _limited(models: DataFrame, rule: tuple) -> Column:
 
 def policy_rankings(models: DataFrame, policy: dict, compat_ties: bool = False) -> DataFrame:
     """(ranking, model, status, objective_value): the winner of each ranking; where no model meets the
-    constraints, the unconstrained winner with that status."""
-    out = None
+    constraints, the unconstrained winner with that status. The models' rows are made once."""
+    models, out = written(models.coalesce(1), "models"), None
     for name, spec in policy.items():
         up = "maximize" in spec
         objective = spec.get("maximize") or spec["minimize"]
@@ -46,7 +47,7 @@ def policy_rankings(models: DataFrame, policy: dict, compat_ties: bool = False)
 
 def policy_exclusions(models: DataFrame, policy: dict) -> DataFrame:
     """(ranking, model, failed): the first constraint, in policy order, that a model fails."""
-    out = None
+    models, out = written(models.coalesce(1), "models"), None
     for name, spec in policy.items():
         failed = F.lit(None).cast("string")
         for rule in reversed(spec["constraints"]):

@@ -145,11 +145,20 @@ def shuffle_labels(df: DataFrame, label: str, row_id: str, seed: int = 42) -> Da
     return one.join(two, "rn").drop("rn")
 
 
-def chronological_rank(df: DataFrame, groups: list[str], order: str, tie: str, buckets: int = 200) -> DataFrame:
+#: Rows of a group that one task ranks.
+RANGE_ROWS = 1_000_000
+
+
+def chronological_rank(df: DataFrame, groups: list[str], order: str, tie: str, buckets: int = 200, range_rows: int = RANGE_ROWS) -> DataFrame:
     """df with the 1-based `rank` of each row in its group by order and tie, and the group's size
-    `n`. A group may hold most rows: `order` (a number, date or timestamp) is cut into approximate
+    `n`. Groups are counted first: up to range_rows rows a group, they are ranked in one shuffle. Else a
+    group may hold most rows: `order` (a number, date or timestamp) is cut into approximate
     quantile ranges, the ranges' totals are prefix-summed and rows are ranked within a range. Null
     groups are groups; null orders come first."""
+    largest = df.groupBy(*groups).agg(F.count("*").alias("_c")).agg(F.max("_c")).first()[0] or 0
+    if largest <= range_rows:
+        own = Window.partitionBy(*groups)
+        return df.withColumns({"rank": F.row_number().over(own.orderBy(order, tie)), "n": F.count(F.lit(1)).over(own)})
     keys = [f"_g{i}" for i in range(len(groups))]
     when = dict(df.dtypes)[order] in ("date", "timestamp", "timestamp_ntz")
     value = F.col(order).cast("timestamp").cast("double") if when else F.col(order).cast("double")
@@ -170,12 +179,12 @@ def chronological_rank(df: DataFrame, groups: list[str], order: str, tie: str, b
     return placed.withColumns({"rank": F.col("_ahead") + F.col("_in"), "n": F.col("_n")}).drop("_r", "_in", "_ahead", "_n")
 
 
-def chronological_split(df: DataFrame, groups: list[str], order: str, tie: str, test_size: float = 0.3, buckets: int = 200) -> DataFrame:
+def chronological_split(df: DataFrame, groups: list[str], order: str, tie: str, test_size: float = 0.3, buckets: int = 200, range_rows: int = RANGE_ROWS) -> DataFrame:
     """df with `side`: the first max(1, min(n-1, floor(n * (1 - test_size)))) rows of each group by
     chronological_rank() train, the rest test; a single row trains."""
     cut = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(1.0 - test_size))))
     side = F.when((F.col("n") == 1) | (F.col("rank") <= cut), "train").otherwise("test")
-    return chronological_rank(df, groups, order, tie, buckets).withColumn("side", side).drop("rank", "n")
+    return chronological_rank(df, groups, order, tie, buckets, range_rows).withColumn("side", side).drop("rank", "n")
 
 
 def dataset_fingerprint(df: DataFrame, label: str) -> DataFrame:

@@ -122,7 +122,7 @@ def _(spark, d):
 def _(spark, d):
     c = clean(spark, d)
     chosen = c.where(S.sample_key(7, F.col("label"), F.col("row_id")) < "20").select("source_file", "row_index")
-    return captures.materialize_rows(c, chosen, ["source_file", "row_index"]).select("row_id", "label", "f_value")
+    return captures.materialize_rows(c, chosen, "source_file", "row_index").select("row_id", "label", "f_value")
 
 
 @query("alignment_mismatches", f"with {CLEAN} select count(*) as n_rows, count(*) filter (where l.label <> c.label) as mismatches from labeled l join clean c using (source_file, row_index)")

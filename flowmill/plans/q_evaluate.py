@@ -111,12 +111,12 @@ def _(spark, d):
 _P = [f"((row_id * {k}) % 101)" for k in (7, 13, 17, 19, 23)]
 
 
-@query("threshold_decision", f"with x as (select event_id as row_id from events), p as (select row_id, [{', '.join(_P)}] as q from x), s as (select row_id, list_transform(q, lambda v: v / list_sum(q)::double) as q from p) select row_id, case when q[3] >= 0.3::double then 2 else (case when q[1] >= greatest(q[2], q[4], q[5]) then 0 when q[2] >= greatest(q[4], q[5]) then 1 when q[4] >= q[5] then 3 else 4 end) end as decision from s where row_id % 101 <> 0")
+@query("threshold_decision", f"with x as (select event_id as row_id from events), p as (select row_id, [{', '.join(_P)}] as q from x), s as (select row_id, list_transform(q, lambda v: coalesce(v / nullif(list_sum(q), 0)::double, 0)) as q from p) select row_id, case when q[3] >= 0.3::double then 2 else (case when q[1] >= greatest(q[2], q[4], q[5]) then 0 when q[2] >= greatest(q[4], q[5]) then 1 when q[4] >= q[5] then 3 else 4 end) end as decision from s")
 def _(spark, d):
-    e = table(spark, d, "events").where("event_id % 101 <> 0").select(F.col("event_id").alias("row_id"))
+    e = table(spark, d, "events").select(F.col("event_id").alias("row_id"))
     q = F.array(*[F.expr(p) for p in _P])
     total = F.aggregate(q, F.lit(0).cast("long"), lambda a, x: a + x).cast("double")
-    return e.select("row_id", M.threshold_decision(F.transform(q, lambda v: v / total), 2, 0.3).alias("decision"))
+    return e.select("row_id", M.threshold_decision(F.transform(q, lambda v: F.coalesce(F.try_divide(v, total), F.lit(0.0))), 2, 0.3).alias("decision"))
 
 
 @query("confusion_diff", f"with {CM} select model, y_true, y_pred, n + (y_true = 1)::int as stored_n, n as rebuilt_n from cm where model = 2 and y_pred = 3 and y_true = 1")

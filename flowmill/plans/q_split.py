@@ -31,8 +31,8 @@ def _(spark, d):
 
 @query("temporal_split_skewed", f"with {SPLIT} select row_id, source_file, label, side from split")
 def _(spark, d):
-    """The same split with few ranges a group."""
-    return S.chronological_split(clean(spark, d), ["source_file", "label"], "row_index", "row_id", buckets=16).select("row_id", "source_file", "label", "side")
+    """The same split with groups cut into ranges."""
+    return S.chronological_split(clean(spark, d), ["source_file", "label"], "row_index", "row_id", buckets=16, range_rows=20).select("row_id", "source_file", "label", "side")
 
 
 _BY_DAY = f"""{CLEAN}, g as (select *, row_number() over (partition by capture_day, label order by ts, row_id) as rn, count(*) over (partition by capture_day, label) as n from clean),

@@ -14,6 +14,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/flowmill/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again, so that a lost executor costs one task."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_captures(df: DataFrame, path: str, by: str) -> str:
     """One folder of CSVs a source, Latin-1, with headers."""
     df.write.partitionBy(by).option("header", True).option("encoding", "ISO-8859-1").csv(path)
@@ -47,8 +54,31 @@ def positions_by_order(df: DataFrame, group: str, order: str, out: str = "positi
     return blocked.withColumn("_in", inside).join(ahead, [group, "_blk"]).withColumn(out, (F.col("_ahead") + F.col("_in")).cast("long")).drop("_blk", "_in", "_ahead")
 
 
-def materialize_rows(df: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(chosen, keys, "left_semi")
+#: Bitmaps (4 KB for 32,768 positions of a file) up to which they are broadcast.
+BROADCAST_BITMAPS = 16_384
+
+
+def position_bitmaps(chosen: DataFrame, source: str, position: str) -> DataFrame:
+    """(source, bucket, bits): the chosen positions of each file as bitmaps."""
+    p = F.col(position).cast("long")
+    kept = chosen.where(F.col(source).isNotNull() & p.isNotNull()).select(F.col(source).alias("_source"), F.bitmap_bucket_number(p).alias("_bucket"), F.bitmap_bit_position(p).alias("_bit"))
+    return kept.groupBy("_source", "_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+
+
+def materialize_rows(df: DataFrame, chosen: DataFrame, source: str, position: str) -> DataFrame:
+    """The rows of df at the chosen (source, position). The positions are bitmaps, broadcast after a check of
+    their number, so that the scanned side isn't shuffled; beyond it both sides meet by key. Nulls match nothing."""
+    bitmaps = written(position_bitmaps(chosen, source, position), "positions")
+    if bitmaps.count() > BROADCAST_BITMAPS:
+        return df.join(chosen.select(source, position), [source, position], "left_semi")
+    p = F.col(position).cast("long")
+    pad = "_" * max(len(c) for c in df.columns)  # names that df doesn't have
+    bitmaps = bitmaps.toDF(*[pad + c for c in bitmaps.columns])
+    bit = F.bitmap_bit_position(p)
+    byte = F.conv(F.hex(F.substring(F.col(f"{pad}_bits"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.floor(byte / F.pow(F.lit(2.0), bit % 8)) % 2 == 1
+    met = df.join(F.broadcast(bitmaps), (F.col(source) == F.col(f"{pad}_source")) & (F.bitmap_bucket_number(p) == F.col(f"{pad}_bucket")))
+    return met.where(held).select(*df.columns)
 
 
 def alignment_mismatches(index: DataFrame, sample: DataFrame, keys: list[str], label: str) -> DataFrame:

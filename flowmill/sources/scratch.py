@@ -4,14 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from .captures import scratch_path
+from .captures import written
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written and read again."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["removed", "written"]
 
 
 def removed(*tables: DataFrame) -> None:

@@ -69,7 +69,7 @@ def frame(spark, counts):
 
 def test_chronological_split(spark):
     df = frame(spark, {"A": 90, "B": 2, "C": 1, "D": 11}).withColumn("source", F.lit("s"))
-    for s in (S.chronological_split(df, ["source", "label"], "ord", "row_id"), S.chronological_split(df.withColumn("source", F.lit(None).cast("string")), ["source", "label"], "ord", "row_id", buckets=7)):
+    for s in (S.chronological_split(df, ["source", "label"], "ord", "row_id"), S.chronological_split(df, ["source", "label"], "ord", "row_id", range_rows=5), S.chronological_split(df.withColumn("source", F.lit(None).cast("string")), ["source", "label"], "ord", "row_id", buckets=7, range_rows=5)):
         assert {r.label: (r.n_train, r.n_test) for r in S.split_manifest(s, "label").collect()} == {"A": (62, 28), "B": (1, 1), "C": (1, 0), "D": (7, 4)}
         assert s.where("label = 'A' and side = 'train'").agg(F.max("ord")).first()[0] == 61
     assert [tuple(r) for r in S.require_test_rows(s, "label", 3).collect()] == [("B", 1)]
