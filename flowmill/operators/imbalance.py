@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .neighbours import nearest, usable
+from .prepare import target_quota
+from .sampling import hash_rank
 
 
 def nearest_minority(queries: DataFrame, points: DataFrame, label: str, target, k: int) -> DataFrame:
@@ -56,3 +59,32 @@ def edited_out(votes: DataFrame) -> DataFrame:
     """Rows whose label loses the vote of their neighbours."""
     own = F.size(F.filter("votes", lambda x: x == F.col("label")))
     return votes.where(2 * own < F.size("votes")).select("row_id", "label")
+
+
+def resample(points: DataFrame, label: str, target, ratio: float, strategy: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """(row_id, x, label): points with the target class raised to `ratio` of the largest class (rounded up)
+    by synthetic rows. strategy: `smote`, `borderline_smote` (seeds are the class's rows in danger; without
+    any nothing is added) or `smote_enn` (rows, synthetic ones too, that lose their three neighbours' vote
+    go). Seeds take turns in a fixed random order. Synthetic ids lie below all others. A class of one row has
+    no neighbours and stays."""
+    if strategy not in ("smote", "borderline_smote", "smote_enn"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    points = points.select(F.col("row_id").cast("long").alias("row_id"), "x", label)
+    quota = target_quota(points, label, target, ratio).first()
+    if quota is None:
+        raise ValueError(f"no rows of class {target!r}")
+    need = quota["desired"] - quota["current"]
+    minority = points.where(F.col(label) == target)
+    seeds = danger_points(points, label, target) if strategy == "borderline_smote" else minority
+    ranked = written(hash_rank(seeds, label, "row_id", seed).select(F.col("row_id").alias("seed_id"), "rn"), "seeds")
+    n, least = ranked.count(), min(0, points.agg(F.min("row_id")).first()[0])
+    if need > 0 and n:
+        turns = -(-need // n)
+        own = seeds.join(ranked.select(F.col("seed_id").alias("row_id")), "row_id", "left_semi")
+        made = smote(points, label, target, turns, k, seed, own).join(ranked, "seed_id").where((F.col("copy") < turns) | (F.col("rn") <= need - n * (turns - 1)))
+        ids = F.lit(least) - (F.col("rn") - 1) * turns - F.col("copy")
+        points = points.unionByName(made.select(ids.alias("row_id"), "x", F.lit(target).cast(points.schema[label].dataType).alias(label)))
+    if strategy == "smote_enn":
+        points = written(points, "grown")
+        points = points.join(edited_out(nearest_votes(points.withColumnRenamed(label, "label"), "label", 3)).select("row_id"), "row_id", "left_anti")
+    return points

@@ -13,7 +13,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from . import metrics as M
+from .imbalance import resample
 from .prepare import balanced_weights, random_oversample, target_quota
 from .sampling import hash_rank
 
@@ -64,9 +66,10 @@ def oversampled(train: DataFrame, label: str, row_id: str, target, ratio: float,
 def fit_pipeline(name: str, train: DataFrame, features: list[str], label: str, row_id: str, *, imbalance: str = "weights", target: str | None = None, ratio: float = 0.3, scaler: str = "standard", **params) -> tuple[PipelineModel, list[str]]:
     """Medians for gaps and a scaler fitted on training rows, then a classifier fitted on these rows
     balanced, and the classes in the order of their numbers. imbalance: `weights` (balanced row
-    weights), `oversample` (the target class repeated, without weights) or `none`; it touches neither
-    medians nor scales. Gaps are nulls or NaN."""
-    if imbalance not in ("weights", "oversample", "none"):
+    weights), `oversample` (the target class repeated, without weights), `smote`, `borderline_smote` or
+    `smote_enn` (synthetic rows of the target class among the scaled rows, imbalance.resample) or `none`;
+    it touches neither medians nor scales, and scoring never resamples. Gaps are nulls or NaN."""
+    if imbalance not in ("weights", "oversample", "smote", "borderline_smote", "smote_enn", "none"):
         raise ValueError(f"unknown imbalance handling {imbalance!r}")
     indexer = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc").fit(train)
     numbered = indexer.transform(train.withColumns({f: F.col(f).cast("double") for f in features}))
@@ -78,6 +81,10 @@ def fit_pipeline(name: str, train: DataFrame, features: list[str], label: str, r
     ready = prepared.transform(numbered).select("row_id", "label", "features")
     if imbalance == "oversample":
         ready = oversampled(ready, "label", "row_id", float(indexer.labels.index(target)), ratio)
+    if "smote" in imbalance:
+        points = written(ready.select("row_id", vector_to_array("features").alias("x"), "label"), "points")
+        grown = resample(points, "label", float(indexer.labels.index(target)), ratio, imbalance)
+        ready = written(grown.select("row_id", "label", array_to_vector("x").alias("features")), "resampled")
     ready = balanced_weights(ready, "label") if imbalance == "weights" else ready.withColumn("weight", F.lit(1.0))
     classifier = fit(name, ready, len(indexer.labels), **params)
     return PipelineModel(stages=[*prepared.stages, *classifier.stages]), indexer.labels

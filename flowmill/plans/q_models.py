@@ -12,6 +12,7 @@ from ..operators import explain as X
 from ..operators import imbalance as I
 from ..operators import models as ML
 from ..operators import sampling as S
+from ..operators import tuning
 from ..operators.prepare import balanced_weights
 from ..sources import batch, captures
 from .catalog import query
@@ -199,3 +200,25 @@ def _(spark, d):
     model = network.fit(balanced_weights(sides.where("side = 'train'"), "label"), 10, hidden=(128, 64), epochs=100)
     scored = network.predict(model, sides.where("side = 'test'"), ["row_id", "label"])
     return scored.select("row_id", "label", "y_pred", F.round(F.array_max("probability"), 6).alias("confidence"))
+
+
+@query("model_tuned")
+def _(spark, d):
+    """Candidates of two models, scored by F2 of one class in concurrent jobs under a budget."""
+    train = _ready(spark, d)[0].cache()
+    out = None
+    for name, n in (("logistic_regression", 6), ("random_forest", 2)):
+        found, _ = tuning.tune(name, train, 10, 3, n, tuning.f_beta(3), budget=90)
+        found = found.select(F.lit(name).alias("model"), "*")
+        out = found if out is None else out.unionByName(found)
+    train.unpersist()
+    return out
+
+
+@query("model_pipeline_smote")
+def _(spark, d):
+    """As model_pipeline, with synthetic rows of a rare class among the scaled training rows."""
+    sides = _flow_sides(spark, d)
+    model, classes = ML.fit_pipeline("logistic_regression", sides.where("side = 'train'").drop("side"), _FLOW_FEATURES, "label", "row_id", imbalance="borderline_smote", target="Heartbleed")
+    scored = ML.predict(model, classes, sides.where("side = 'test'"), _FLOW_FEATURES, ["row_id", "label"])
+    return scored.select("row_id", "label", "y_pred", F.round("confidence", 6).alias("confidence"))

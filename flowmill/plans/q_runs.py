@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.labels import combined_family
+from ..functions.labels import combined_family, finite_or_null
 from ..operators import metrics as M
 from ..operators import sampling as S
 from ..sources import bundles, caches, captures
 from ..streaming import score_stream as ST
+from ..streaming import score_uploads as SU
 from .catalog import query
 from .q_clean import clean
 from .q_evaluate import METRICS, cm
@@ -114,3 +115,17 @@ def _(spark, d):
     cells = spark.read.option("header", True).schema(c.schema).csv(f"{path}/confusion").groupBy("model").agg(F.sum("n").cast("double").alias("value"))
     folders = bundles.discover(spark, path).agg(F.count("*").cast("double").alias("value")).select(F.lit("folders"), F.lit(None).cast("int"), "value")
     return metrics.union(cells.select(F.lit("confusion"), "model", "value")).union(folders)
+
+
+@query("score_uploads", f"with {LABELED}, u as (select label, case when row_id % 13 = 0 then 'number:f_value' when isfinite(f_rate) and f_rate > 50 then 'Attack' else 'Normal' end as decision from labeled) select label, decision, count(*) as n, (select count(*) from labeled) as n_rows, (select count(*) from labeled where row_id % 13 = 0) as n_quarantined from u group by all")
+def _(spark, d):
+    """Flows uploaded as CSVs, every thirteenth with an unreadable number: scored, set aside and counted by a stream."""
+    path = captures.scratch_path(spark, "uploads")
+    src = flows(spark, d).select("row_id", combined_family(F.col("label_raw")).alias("label"), "f_rate", F.when(F.expr("row_id % 13 = 0"), "12,5x").otherwise(F.col("f_value").cast("string")).alias("f_value"))
+    src.repartition(5, "row_id").write.option("header", True).csv(f"{path}/in")
+    stream = SU.read_uploads(spark, f"{path}/in", src.columns, 2)
+    rule = F.when(F.coalesce(finite_or_null(F.col("f_rate")), F.lit(0.0)) > 50, "Attack").otherwise("Normal")
+    SU.score_uploads(stream, ["f_rate", "f_value"], lambda df: df.select("row_id", "label", rule.alias("decision")), f"{path}/out", f"{path}/state").awaitTermination()
+    every = SU.read_part(spark, f"{path}/out", "scored").select("label", "decision").unionByName(SU.read_part(spark, f"{path}/out", "quarantine").select("label", F.col("_fault").alias("decision")))
+    counts = SU.read_part(spark, f"{path}/out", "counts").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_quarantined").alias("n_quarantined"))
+    return every.groupBy("label", "decision").agg(F.count("*").alias("n")).join(F.broadcast(counts))
