@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import written
+
 
 def _stirling_error(n: int) -> float:
     """log n! minus Stirling's formula."""
@@ -76,28 +78,48 @@ def macro_f1(truth: np.ndarray, pred: np.ndarray, weight: np.ndarray) -> float:
     return float(np.mean(2 * c / (t + p))) if len(labels) else 0.0
 
 
+#: Patterns that a task resamples at once.
+BUCKET_PATTERNS = 4096
+
+
 def bootstrap_scores(paired: DataFrame, models: list[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
     """(rep, one column a model) of macro-F1 over resamples that all models share; rep 0 is the rows as they are.
 
     Rows are compressed to distinct (truth, predictions) patterns with counts: at most classes to the
-    power models + 1, whatever the number of rows. Each replicate draws multinomial counts of the
-    patterns; replicates are spread over tasks.
+    power models + 1, whatever the number of rows. Patterns are dealt to buckets by hash and stay there. A
+    replicate's multinomial counts are drawn in two steps: how many rows each bucket gets, from the buckets'
+    totals, the same in every task by its seed, and each bucket's patterns given that number. Buckets hand on
+    their classes' counts, which Spark adds up.
     """
-    patterns = paired.groupBy("y_true", *models).agg(F.count("*").alias("n"))
-    packed = patterns.agg(F.array_sort(F.collect_list(F.struct("y_true", *models, "n"))).alias("p"))
-    runs = paired.sparkSession.range(replicates + 1).repartition(16, "id")
-
-    def draw(batches):
-        for pdf in batches:
-            out = []
-            for rep, rows in zip(pdf["id"], pdf["p"], strict=True):
-                t = np.array([[r[k] for k in ("y_true", *models)] for r in rows]).reshape(len(rows), 1 + len(models))
-                n = np.array([r["n"] for r in rows], np.int64)
-                w = n if rep == 0 or not len(n) else np.random.default_rng([seed, int(rep)]).multinomial(n.sum(), n / n.sum())
-                out.append([int(rep), *(macro_f1(t[:, 0], t[:, 1 + i], w) for i in range(len(models)))])
-            yield pd.DataFrame(out, columns=["rep", *models])
-
-    return runs.join(F.broadcast(packed)).mapInPandas(draw, ", ".join(["rep long", *(f"`{m}` double" for m in models)]))
+    patterns = paired.groupBy(F.col("y_true").alias("t"), *[F.col(m).alias(f"p{i}") for i, m in enumerate(models)]).agg(F.count("*").alias("n"))
+    patterns = written(patterns, "patterns")
+    buckets = max(1, -(-patterns.count() // BUCKET_PATTERNS))
+    patterns = patterns.withColumn("bucket", F.pmod(F.xxhash64("t", *[f"p{i}" for i in range(len(models))]), F.lit(buckets)).cast("int"))
+    sizes = np.zeros(buckets, np.int64)
+    for r in patterns.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # a row a bucket
+        sizes[r["bucket"]] = r["n"]
+
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, own = pdf.sort_values(list(pdf.columns)), int(key[0])
+        n, t = pdf["n"].to_numpy(np.int64), pdf["t"].to_numpy()
+        drawn = np.empty((replicates + 1, len(n)), np.int64)
+        drawn[0] = n
+        for rep in range(1, replicates + 1):
+            here = np.random.default_rng([seed, rep]).multinomial(sizes.sum(), sizes / sizes.sum())[own]
+            drawn[rep] = np.random.default_rng([seed, rep, own]).multinomial(here, n / n.sum())
+        out = []
+        for i in range(len(models)):
+            p = pdf[f"p{i}"].to_numpy()
+            for label in np.union1d(t, p):
+                counts = [drawn[:, mask].sum(1) for mask in (t == label, p == label, (t == label) & (p == label))]
+                out.append(pd.DataFrame({"rep": np.arange(replicates + 1), "model": np.int32(i), "label": int(label), "t": counts[0], "p": counts[1], "c": counts[2]}))
+        return pd.concat(out)
+
+    parts = patterns.groupBy("bucket").applyInPandas(draw, "rep long, model int, label long, t long, p long, c long")
+    sums = parts.groupBy("rep", "model", "label").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum("c").alias("c"))
+    f1 = F.avg(F.try_divide(2.0 * F.col("c"), F.col("t") + F.col("p")))  # classes that the resample doesn't hold don't count
+    scores = sums.groupBy("rep").pivot("model", list(range(len(models)))).agg(f1)
+    return scores.select("rep", *[F.coalesce(F.col(str(i)), F.lit(0.0)).alias(m) for i, m in enumerate(models)])
 
 
 def _interval(value: Column) -> list[Column]:
