@@ -300,7 +300,8 @@ class Index:
             return pd.concat(out)
 
         routed = asked.mapInPandas(route, "vec_id long, label long, v array<int>, low array<long>, high array<long>, leaf int, part int")
-        routed = routed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+        # of the same type on both sides: a cogroup sends equal numbers of different types to different tasks
+        routed = routed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
         rows = self.rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         own = ["leaf", "part", "block"]
         met = routed.groupBy(*own).cogroup(rows.groupBy(*own)).applyInPandas(compare, "vec_id long, window int, row_id long, score long")

@@ -63,6 +63,22 @@ def test_clusters_leave_rows_out(spark):
     assert index.compared(near.selectExpr("v", "transform(low, x -> cast(x as long)) as low", "high")) < 0.3
 
 
+def test_every_leaf_in_a_task_of_its_own(spark):
+    """Without Spark's merging of small partitions, and with queries in several blocks."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=6).astype(np.float32)], i % 3) for i in range(1500)]
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    before, hard_negatives.QUERY_ROWS = hard_negatives.QUERY_ROWS, 7
+    try:
+        assert got(spark, rows, 50, leaf_rows=12, part_rows=20) == mined(rows, 50)
+    finally:
+        hard_negatives.QUERY_ROWS = before
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_tiny_tables(spark):
     assert got(spark, []) == []
     assert got(spark, [(0, [1.0], 1)]) == []
