@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowmill.functions import labels as L
-from flowmill.operators import clean, explain, imbalance, metrics, models, prepare, profile, ranking, ranks, robust, significance
+from flowmill.operators import clean, explain, imbalance, metrics, models, neighbours, prepare, profile, ranking, ranks, robust, significance
 from flowmill.operators import sampling as S
 from flowmill.sources import bundles, caches, captures
 
@@ -267,7 +267,7 @@ def test_synthetic_rows_lie_between_neighbours(spark):
 
 def test_neighbours_match_brute_force_across_blocks(spark, monkeypatch):
     """Unit vectors in 64 dimensions, whose neighbours are further off than 1, in many small blocks."""
-    monkeypatch.setattr(imbalance, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 7)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(240, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
