@@ -90,13 +90,19 @@ def target_metrics(cm: DataFrame, target: int, benign: int) -> DataFrame:
     return g.select("model", "precision", "recall", beta(1.0).alias("f1"), beta(4.0).alias("f2"), ratio(F.col("fp"), F.col("fp") + F.col("tn")).alias("fpr"), "fp", "fn", "to_benign")
 
 
+#: Ranges of a model's distinct scores, each ranked on its own.
+SCORE_RANGES = 64
+
+
 def calibrate_threshold(preds: DataFrame, target: int, max_fpr: float) -> DataFrame:
     """The score threshold with the best target F1 (then precision, recall, threshold) among those
     whose false-positive rate is at most max_fpr; one row a model. Scores are aggregated to distinct
     values first; no row, where no threshold qualifies."""
     by_score = preds.groupBy("model", "score").agg(F.count_if(F.col("y_true") == target).alias("pos"), F.count_if(F.col("y_true") != target).alias("neg"))
-    # totals of score ranges first, so that distinct scores are ranked range by range
-    by_score = by_score.withColumn("_r", F.floor(F.col("score") * 64).cast("long"))
+    # totals of score ranges first, so that distinct scores are ranked range by range. The ranges hold about
+    # equally many distinct scores, however close together these lie
+    edges = by_score.groupBy("model").agg(F.percentile_approx("score", [k / SCORE_RANGES for k in range(1, SCORE_RANGES)], 1000).alias("_e"))
+    by_score = by_score.join(edges, "model").withColumn("_r", F.size(F.filter("_e", lambda e: e < F.col("score")))).drop("_e")
     w = Window.partitionBy("model")
     ranges = by_score.groupBy("model", "_r").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     above = w.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)

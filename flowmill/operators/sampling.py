@@ -207,6 +207,17 @@ def require_test_rows(split: DataFrame, label: str, least: int) -> DataFrame:
     return split_manifest(split, label).where((F.col("n_test") > 0) & (F.col("n_test") < least)).select("label", "n_test")
 
 
+def require_split(split: DataFrame, label: str, least: int = 0) -> DataFrame:
+    """split, or an error if a side is empty or a class of the test side has fewer than `least` rows there."""
+    counts = split_manifest(split, label).collect()  # a row a class
+    for side in ("train", "test"):
+        if not sum(r[f"n_{side}"] for r in counts):
+            raise ValueError(f"the split's {side} side is empty")
+    if short := {r["label"]: r["n_test"] for r in counts if 0 < r["n_test"] < least}:
+        raise ValueError(f"classes with fewer than {least} test rows: {short}")
+    return split
+
+
 def manifest_mismatches(actual: DataFrame, declared: DataFrame) -> DataFrame:
     """Classes whose train or test counts differ from the declared ones (absent counts are 0)."""
     a = actual.select("label", F.col("n_train").alias("_at"), F.col("n_test").alias("_ae"))
@@ -215,9 +226,13 @@ def manifest_mismatches(actual: DataFrame, declared: DataFrame) -> DataFrame:
     return j.where("_at <> _dt or _ae <> _de").select("label", F.col("_at").alias("actual_train"), F.col("_dt").alias("declared_train"), F.col("_ae").alias("actual_test"), F.col("_de").alias("declared_test"))
 
 
-def label_positions(df: DataFrame, source: str, label: str, order: str) -> DataFrame:
-    """Where each label sits in its source, as fractions of the source's length (largest order)."""
-    ends = df.groupBy(source).agg(F.greatest(F.max(order), F.lit(1)).alias("_d"))
+def label_positions(df: DataFrame, source: str, label: str, order: str, lengths: DataFrame | None = None) -> DataFrame:
+    """Where each label sits in its source, as fractions of the source's length: its largest order or,
+    for 0-based row positions, the last row of a file of `n_rows` by lengths (source, n_rows)."""
+    if lengths is None:
+        ends = df.groupBy(source).agg(F.greatest(F.max(order), F.lit(1)).alias("_d"))
+    else:
+        ends = lengths.select(source, F.greatest(F.col("n_rows") - 1, F.lit(1)).alias("_d"))
     stats = df.groupBy(source, label).agg(F.count("*").alias("n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
     mid = quantiles(df, [order], [0.5], [source, label]).select(F.col(source).alias("_s"), F.col(label).alias("_l"), F.col("q")[0].alias("_mid"))
     j = stats.join(ends, source).join(mid, same_groups([source, label], ["_s", "_l"]))
@@ -230,10 +245,25 @@ def schedule_absences(positions: DataFrame, schedule: DataFrame, source: str, la
     return schedule.select(source, label).join(here, [source, label], "left_anti")
 
 
+def observed_order(positions: DataFrame, schedule: DataFrame, source: str, label: str) -> DataFrame:
+    """positions of the scheduled labels with `seq`, the label whose median comes right before
+    (`previous`) and `violates`: the schedule puts that one later. schedule: (source, label, seq), a small
+    published table."""
+    w = Window.partitionBy(source).orderBy("median_pos", label)  # a row a scheduled label
+    j = positions.join(schedule, [source, label])
+    return j.withColumns({"previous": F.lag(label).over(w), "violates": F.coalesce(F.lag("seq").over(w) > F.col("seq"), F.lit(False))})
+
+
 def chronology_violations(positions: DataFrame, schedule: DataFrame, source: str, label: str) -> DataFrame:
-    """Pairs next to each other in observed median order whose scheduled order (seq) is the reverse.
-    schedule: (source, label, seq), a small published table."""
-    j = positions.join(F.broadcast(schedule), [source, label])
-    w = Window.partitionBy(source).orderBy("median_pos", label)
-    pairs = j.select(source, F.lag(label).over(w).alias("left_label"), F.lag("seq").over(w).alias("_ls"), F.col(label).alias("right_label"), "seq")
-    return pairs.where("_ls > seq").select(source, "left_label", "right_label")
+    """Pairs next to each other in observed median order whose scheduled order (seq) is the reverse."""
+    found = observed_order(positions, schedule, source, label).where("violates")
+    return found.select(source, F.col("previous").alias("left_label"), F.col(label).alias("right_label"))
+
+
+def require_chronology(positions: DataFrame, schedule: DataFrame, source: str, label: str) -> DataFrame:
+    """positions, or an error that names scheduled labels without a row, else pairs that contradict the schedule."""
+    if absent := schedule_absences(positions, schedule, source, label).orderBy(source, label).limit(100).collect():
+        raise ValueError("scheduled labels absent from their captures: " + ", ".join(f"{r[0]}: {r[1]}" for r in absent))
+    if wrong := chronology_violations(positions, schedule, source, label).orderBy(source, "left_label").limit(100).collect():
+        raise ValueError("row order contradicts the schedule: " + ", ".join(f"{r[0]}: {r[1]} before {r[2]}" for r in wrong))
+    return positions

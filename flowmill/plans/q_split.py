@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.labels import normalize_raw_label
 from ..operators import sampling as S
+from ..sources import captures, manifests
 from .catalog import query
 from .q_clean import clean
-from .views import CLEAN, table
+from .views import CLEAN, FLOWS, flows, table
 
 _CUT = "greatest(1, least(n - 1, floor(n * (1.0::double - 0.3::double))::bigint))"
 SPLIT = f"""{CLEAN}, g as (select *, row_number() over (partition by source_file, label order by row_index, row_id) as rn, count(*) over (partition by source_file, label) as n from clean),
@@ -66,6 +68,19 @@ def _(spark, d):
     return S.manifest_mismatches(m, declared)
 
 
+_LOST = MANIFEST.replace("from split", "from split where source_file <> 'cap_7'")
+
+
+@query("stored_manifest", f"with {SPLIT}, m as ({MANIFEST}), x as ({_LOST}) select coalesce(m.label, x.label) as label, coalesce(x.n_train, 0) as actual_train, coalesce(m.n_train, 0) as declared_train, coalesce(x.n_test, 0) as actual_test, coalesce(m.n_test, 0) as declared_test from m full join x on m.label = x.label where coalesce(m.n_train, 0) <> coalesce(x.n_train, 0) or coalesce(m.n_test, 0) <> coalesce(x.n_test, 0)")
+def _(spark, d):
+    """The split's manifest stored as JSON, loaded and validated; then a split that lost a capture is held against it."""
+    s = split(spark, d)
+    path = captures.scratch_path(spark, "manifest")
+    manifests.store_manifest(manifests.build_manifest(s, "label", "source_file", "chronological_v1", "flows"), path)
+    loaded = manifests.require_valid(manifests.load_manifests(spark, path), "chronological", "flows", [f"cap_{k}" for k in range(8)])
+    return S.manifest_mismatches(S.split_manifest(s.where("source_file <> 'cap_7'"), "label"), manifests.declared_counts(loaded))
+
+
 _SCHEDULE = [(f"cap_{k}", x, i) for k in range(8) for i, x in enumerate(["BENIGN", "DoS", "Web Attack", "Bot"])]
 
 
@@ -81,6 +96,28 @@ def _(spark, d):
     return S.chronology_violations(S.label_positions(clean(spark, d), "source_file", "label", "row_index"), schedule, "source_file", "label")
 
 
+_SUBLABELS = ["DoS Hulk", "FTP-Patator", "dos slowloris", "Web Attack XSS", "Bot"]
+_POSITION = "cast(row_number() over (partition by source_file order by row_index) - 1 as double)"
+
+
+@query(
+    "sublabel_chronology",
+    f"""with {FLOWS}, p as (select source_file, trim(regexp_replace(regexp_replace(label_raw, '[^\\x20-\\x7E]', ' ', 'g'), ' +', ' ', 'g')) as label, {_POSITION} as pos, count(*) over (partition by source_file) as n_rows from flows),
+l as (select source_file, label, count(*) as n, min(pos) / any_value(greatest(n_rows - 1, 1)) as min_pos, quantile_cont(pos, 0.5) / any_value(greatest(n_rows - 1, 1)) as median_pos, max(pos) / any_value(greatest(n_rows - 1, 1)) as max_pos from p group by all),
+s as (select * from (values {", ".join(f"('{x}', {k})" for k, x in enumerate(_SUBLABELS))}) t(label, seq))
+select source_file, l.label, n, round(min_pos, 8) as min_pos, round(median_pos, 8) as median_pos, round(max_pos, 8) as max_pos, lag(l.label) over o as previous, coalesce(lag(seq) over o > seq, false) as violates
+from l join s on l.label = s.label window o as (partition by source_file order by median_pos, l.label)""",
+)
+def _(spark, d):
+    """Raw sub-labels against their schedule, as fractions of the whole files' lengths, before anything is cleaned."""
+    f = flows(spark, d).select("row_id", "source_file", "row_index", normalize_raw_label(F.col("label_raw")).alias("label"))
+    placed = captures.positions_by_order(f, "source_file", "row_index")
+    lengths = f.groupBy("source_file").agg(F.count("*").alias("n_rows"))
+    schedule = spark.createDataFrame([(f"cap_{k}", x, i) for k in range(8) for i, x in enumerate(_SUBLABELS)], "source_file string, label string, seq int")
+    order = S.observed_order(S.label_positions(placed, "source_file", "label", "position", lengths), schedule, "source_file", "label")
+    return order.select("source_file", "label", "n", *[F.round(c, 8).alias(c) for c in ("min_pos", "median_pos", "max_pos")], "previous", "violates")
+
+
 @query("schedule_absences", f"with {CLEAN}, s as (select * from (values ('BENIGN'),('DoS'),('PortScan'),('Bot')) t(label)), f as (select 'cap_' || k as source_file from range(9) t(k)) select source_file, label from f, s where not exists (select 1 from clean c where c.source_file = f.source_file and c.label = s.label)")
 def _(spark, d):
     """Labels of the published schedule that a capture lacks: one class never occurs, one capture doesn't exist."""

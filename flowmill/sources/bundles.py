@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +55,7 @@ def join_sides(metrics: DataFrame, sides: list[DataFrame], key: str) -> DataFram
     """metrics (a row a model) with the columns of side tables that it lacks; a model without a side row has nulls."""
     for side in sides:
         new = [c for c in side.columns if c == key or c not in metrics.columns]
-        metrics = metrics.join(F.broadcast(side.select(*new)), key, "left")
+        metrics = metrics.join(side.select(*new), key, "left")
     return metrics
 
 
@@ -65,8 +69,46 @@ def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path)
+#: Bytes of a file that its digest holds at once.
+DIGEST_CHUNK = 1 << 20
+
+
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path and the path in it: local or shared folders, or a store that Arrow opens."""
+    if uri.startswith("file:") or "://" not in uri:
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for uri in b.column(0).to_pylist():
+            digest, size = hashlib.sha256(), 0
+            store, path = _store(uri)
+            with store.open_input_stream(path) as f:
+                while chunk := f.read(DIGEST_CHUNK):
+                    digest.update(chunk)
+                    size += len(chunk)
+            yield pa.RecordBatch.from_pydict({"name": [uri.rpartition("/")[2]], "size": [size], "sha256": [digest.hexdigest()]})
+
+
+def _empty_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of the files without a byte in each folder, which Spark's readers leave out."""
+    for b in batches:
+        for uri in b.column(0).to_pylist():
+            store, path = _store(uri)
+            found = [x.path for x in store.get_file_info(fs.FileSelector(path)) if x.is_file and not x.size and x.base_name[0] not in "_."]
+            yield pa.RecordBatch.from_pydict({"name": [x.rpartition("/")[2] for x in found], "size": [0] * len(found), "sha256": [hashlib.sha256().hexdigest()] * len(found)})
+
+
+def file_digests(spark: SparkSession, folder: str, streamed: bool = True) -> DataFrame:
+    """(name, size, sha256) of every file of a folder. Spark lists the files and packs them into tasks by size; each
+    is streamed through its digest, so that a file of any size takes DIGEST_CHUNK bytes. For stores that
+    only Spark's readers open, streamed=False hashes whole contents: files of 1 byte to 2 GB."""
+    schema = "name string, size long, sha256 string"
+    files = spark.read.format("binaryFile").load(folder)
+    if streamed:
+        return files.select("path").mapInArrow(_digests, schema).union(spark.createDataFrame([(folder,)], "path string").mapInArrow(_empty_files, schema))
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
