@@ -124,3 +124,13 @@ def require_timestamps(df: DataFrame, text: str, parsed: str) -> DataFrame:
 
 def union_frames(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def require_no_gaps(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df, or an error that names the columns with nulls, NaN or infinite numbers; one scan."""
+    number = {c for c, kind in df.dtypes if kind in ("float", "double")}
+    odd = lambda c: F.col(c).isNull() | (F.isnan(c) | (F.abs(c) == float("inf")) if c in number else F.lit(False))
+    row = df.agg(*[F.count_if(odd(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    if gaps := {c: row[i] for i, c in enumerate(columns) if row[i]}:
+        raise ValueError(f"the clean corpus has gaps: {gaps}")
+    return df

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors.exceptions.captured import CapturedException
@@ -111,6 +112,17 @@ def score(model, df: DataFrame) -> DataFrame:
     return scored.withColumn("confidence", F.array_max("probability"))
 
 
+def scoring_durations(model, rows: DataFrame, runs: int = 5) -> list[tuple[float, int]]:
+    """(milliseconds, rows) of scoring all rows, `runs` times after one untimed run; nothing is kept."""
+    n, out = rows.count(), []
+    for k in range(runs + 1):
+        begin = time.perf_counter()
+        score(model, rows).write.format("noop").mode("overwrite").save()
+        if k:
+            out.append((1000 * (time.perf_counter() - begin), n))
+    return out
+
+
 def macro_f1(scored: DataFrame, labels: list[int]) -> DataFrame:
     """(model, f1_macro) of scored rows, with `model` if they have it."""
     p = scored if "model" in scored.columns else scored.withColumn("model", F.lit("model"))

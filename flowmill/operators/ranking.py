@@ -25,6 +25,13 @@ def _limited(models: DataFrame, rule: tuple) -> Column:
     return F.coalesce(_COMPARE[op](F.col(metric), bound), F.lit(False))  # an absent metric fails
 
 
+def require_models(models: DataFrame) -> DataFrame:
+    """models, or an error if there is none to rank."""
+    if models.isEmpty():
+        raise ValueError("no model to rank")
+    return models
+
+
 def policy_rankings(models: DataFrame, policy: dict, compat_ties: bool = False) -> DataFrame:
     """(ranking, model, status, objective_value): the winner of each ranking; where no model meets the
     constraints, the unconstrained winner with that status. The models' rows are made once."""
@@ -115,9 +122,11 @@ def trust_verdict(models: DataFrame, classes: int) -> DataFrame:
 
 
 def consequences(ext: DataFrame, m: DataFrame, latency: DataFrame, benign: int) -> DataFrame:
-    """Spread of missed attacks and latency over the models, and the best model's weakest attack class."""
+    """Spread of missed attacks, latency, throughput and, where latency has `size_bytes`, stored size over the
+    models, and the best model's weakest attack class."""
     best = ext.orderBy(F.desc("f1_macro"), "model").limit(1).select("model")
     weak = worst_attack_class(m, benign).join(best, "model").select(F.col("worst_class").alias("weakest_class"))
     j = ext.join(latency, "model")
-    spread = j.agg(F.min("missed").alias("fewest_missed"), F.max("missed").alias("most_missed"), F.min_by("model", F.struct("missed", "model")).alias("safest"), (F.max("p95_ms") / F.min("p95_ms")).alias("latency_spread"))
+    over = {"latency_spread": "p95_ms", "throughput_spread": "rows_per_s", "size_spread": "size_bytes"}
+    spread = j.agg(F.min("missed").alias("fewest_missed"), F.max("missed").alias("most_missed"), F.min_by("model", F.struct("missed", "model")).alias("safest"), *[(F.max(c) / F.min(c)).alias(name) for name, c in over.items() if c in latency.columns])
     return spread.join(F.broadcast(weak))

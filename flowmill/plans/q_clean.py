@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import combined_family, finite_or_null, normalize_raw_label
 from ..operators import clean as C
 from ..operators import sampling as S
-from ..sources import captures
+from ..sources import caches, captures
 from .catalog import query
 from .views import CLEAN, FLOWS, LABELED, PREDS, flows, preds, table
 
@@ -15,8 +15,12 @@ FEATURES = ["f_rate", "f_value", "f_user", "f_k", "f_const"]
 EXPECTED = ["row_id", "row_index", "source_file", "label_raw", "f_rate", "f_value", "f_user", "f_k", "f_const", "f_missing"]
 
 
+def cleaned(dirty):
+    return C.clean_flows(dirty, "label_raw", FEATURES).select("row_id", "row_index", "ts", "capture_day", "source_file", "label", *FEATURES)
+
+
 def clean(spark, d):
-    return C.clean_flows(flows(spark, d), "label_raw", FEATURES).select("row_id", "row_index", "ts", "capture_day", "source_file", "label", *FEATURES)
+    return cleaned(flows(spark, d))
 
 
 @query("scan_flows")
@@ -95,10 +99,14 @@ def _(spark, d):
 
 @query("clean_corpus", f"with {CLEAN} select source_file, label, count(*) as n, min(row_index) as first_row from clean group by all")
 def _(spark, d):
-    """The clean corpus written as Parquet, checked for gaps and read back."""
-    path = captures.scratch_path(spark, "clean-corpus")
-    clean(spark, d).write.parquet(path)
-    back = spark.read.parquet(path)
+    """The clean corpus cached as Parquet, loaded again while its inputs stay, and checked for gaps."""
+    path, inputs = captures.scratch_path(spark, "clean-corpus"), captures.scratch_path(spark, "corpus-inputs")
+    flows(spark, d).write.parquet(inputs)
+    caches.load_or_build(spark, path, inputs, cleaned)
+    back, built = caches.load_or_build(spark, path, inputs, cleaned)
+    if built:
+        raise ValueError("the clean corpus was built twice from the same inputs")
+    C.require_no_gaps(back, ["label", *FEATURES])
     return back.groupBy("source_file", "label").agg(F.count("*").alias("n"), F.min("row_index").alias("first_row"))
 
 

@@ -163,12 +163,20 @@ def _(spark, d):
     return j.withColumn("separable", G.separable(F.col("p"), F.col("ci_low"), F.col("ci_high")))
 
 
-@query("cv_summary", f"with {PREDS}, f as (select model, row_id % 5 as fold, y_true, y_pred from preds), l as (select distinct model, fold, y from (select distinct model, fold from f) cross join (values (0),(1),(2),(3),(4)) t(y)), g as (select l.model, l.fold, l.y, (select count(*) from f where f.model=l.model and f.fold=l.fold and f.y_true=l.y and f.y_pred=l.y) as tp, (select count(*) from f where f.model=l.model and f.fold=l.fold and f.y_true=l.y) as s, (select count(*) from f where f.model=l.model and f.fold=l.fold and f.y_pred=l.y) as p from l), h as (select model, fold, avg(coalesce(2 * tp / nullif(s + p, 0)::double, 0)) as f1 from g group by all) select model, round(avg(f1), 8) as f1_mean, round(stddev_pop(f1), 8) as f1_std from h group by model")
-def _(spark, d):
-    """Mean and population deviation of macro-F1 over five folds."""
+_CV = """f as (select model, row_id % 5 as fold, y_true, y_pred from preds), l as (select distinct model, fold, y from (select distinct model, fold from f) cross join (values (0),(1),(2),(3),(4)) t(y)), g as (select l.model, l.fold, l.y, (select count(*) from f where f.model=l.model and f.fold=l.fold and f.y_true=l.y and f.y_pred=l.y) as tp, (select count(*) from f where f.model=l.model and f.fold=l.fold and f.y_true=l.y) as s, (select count(*) from f where f.model=l.model and f.fold=l.fold and f.y_pred=l.y) as p from l), h as (select model, fold, avg(coalesce(2 * tp / nullif(s + p, 0)::double, 0)) as f1 from g group by all), cv as (select model, avg(f1) as f1_mean, stddev_pop(f1) as f1_std from h group by model)"""
+
+
+def cross_validated(spark, d):
+    """(model, f1_mean, f1_std) over five folds."""
     folds = preds(spark, d).select(F.struct("model", (F.col("row_id") % 5).alias("fold")).alias("model"), "y_true", "y_pred")
     per = M.model_metrics(M.marginals(M.confusion_matrix(folds, LABELS))).select("model.model", "model.fold", "f1_macro")
-    return per.groupBy("model").agg(F.round(F.avg("f1_macro"), 8).alias("f1_mean"), F.round(F.stddev_pop("f1_macro"), 8).alias("f1_std"))
+    return per.groupBy("model").agg(F.avg("f1_macro").alias("f1_mean"), F.stddev_pop("f1_macro").alias("f1_std"))
+
+
+@query("cv_summary", f"with {PREDS}, {_CV} select model, {sql_rounded('f1_mean', 'f1_std')} from cv")
+def _(spark, d):
+    """Mean and population deviation of macro-F1 over five folds."""
+    return rounded(cross_validated(spark, d), "f1_mean", "f1_std")
 
 
 _LAT = "lat as (select (event_id % 4)::int as model, 1 + (event_id * 31 % 97) / 10.0::double * (1 + event_id % 4) as ms, 1000 as n_rows from events)"
@@ -248,11 +256,11 @@ def _(spark, d):
     return R.operational_impact(c, M.marginals(c), BENIGN).select("model", F.round("alerts_per_10k", 6).alias("alerts_per_10k"), "missed", "worst_class", F.round("worst_recall", 8).alias("worst_recall"))
 
 
-@query("trust_verdict", f"with {METRICS}, bl as (select max(n) / sum(n)::double as b from (select y_true, count(*) as n from preds where model = 0 group by 1)) select model, f1_macro >= 0.99 as near_perfect, round(accuracy - b, 8) as lift, case when 0.01 * (model + 1) < 0.02 then 'stable' when 0.01 * (model + 1) < 0.05 then 'moderate' when 0.01 * (model + 1) < 0.1 then 'variable' else 'unstable' end as stability, 0.2::double as chance from mm, bl")
+@query("trust_verdict", f"with {METRICS}, bl as (select max(n) / sum(n)::double as b from (select y_true, count(*) as n from preds where model = 0 group by 1)), {_CV} select mm.model, f1_macro >= 0.99 as near_perfect, round(accuracy - b, 8) as lift, case when f1_std < 0.02 then 'stable' when f1_std < 0.05 then 'moderate' when f1_std < 0.1 then 'variable' else 'unstable' end as stability, 0.2::double as chance from mm join cv on mm.model = cv.model, bl")
 def _(spark, d):
     p = preds(spark, d)
     base = p.where("model = 0").groupBy("y_true").agg(F.count("*").alias("n")).agg((F.max("n") / F.sum("n")).alias("baseline"))
-    m = M.model_metrics(M.marginals(cm(spark, d))).withColumn("cv_std", F.expr("0.01 * (model + 1)").cast("double"))
+    m = M.model_metrics(M.marginals(cm(spark, d))).join(cross_validated(spark, d).withColumnRenamed("f1_std", "cv_std"), "model")
     return rounded(R.trust_verdict(m.join(F.broadcast(base)), 5), "lift")
 
 
@@ -275,10 +283,11 @@ def _(spark, d):
     return rounded(R.leader_gap(field(spark, d).where("binary_fpr is not null"), "f1_macro"), "gap")
 
 
-@query("extended_table", f"with {FIELD} select f.model, {sql_rounded('f1_macro', 'recall_macro', 'mcc')}, round(f.p95_ms, 8) as p95_ms, size_mb from field f join (select model, mcc from ext) e using (model)")
+@query("extended_table", f"with {FIELD} select f.model, {sql_rounded('f1_macro', 'recall_macro', 'mcc')}, round(f.p95_ms, 8) as p95_ms, round(1000000 / p50_ms, 6) as rows_per_s, size_mb from field f join (select model, mcc from ext) e using (model) join ls on ls.model = f.model")
 def _(spark, d):
     e = M.extended_metrics(cm(spark, d), BENIGN, 500).select("model", "mcc")
-    return rounded(field(spark, d).join(e, "model").select("model", "f1_macro", "recall_macro", "mcc", "p95_ms", "size_mb"), "f1_macro", "recall_macro", "mcc", "p95_ms")
+    t = R.latency_summary(latencies(spark, d)).select("model", F.round("rows_per_s", 6).alias("rows_per_s"))
+    return rounded(field(spark, d).join(e, "model").join(t, "model").select("model", "f1_macro", "recall_macro", "mcc", "p95_ms", "rows_per_s", "size_mb"), "f1_macro", "recall_macro", "mcc", "p95_ms")
 
 
 @query("compare_models", f"with {METRICS} select model, {sql_rounded('accuracy', 'f1_macro', 'f1_weighted')} from mm")
@@ -286,7 +295,7 @@ def _(spark, d):
     return rounded(M.model_metrics(M.marginals(cm(spark, d))).select("model", "accuracy", "f1_macro", "f1_weighted"), "accuracy", "f1_macro", "f1_weighted")
 
 
-@query("consequences", f"with {EXT}, {LAT}, bm as (select model from ext order by f1_macro desc, model limit 1), wk as (select label from m where model = (select model from bm) and label <> 4 order by recall, label limit 1) select min(missed) as fewest_missed, max(missed) as most_missed, arg_min(ext.model, missed * 10 + ext.model) as safest, (select label from wk) as weakest_class, round(max(p95_ms) / min(p95_ms), 8) as latency_spread from ext join ls on ext.model = ls.model")
+@query("consequences", f"with {EXT}, {LAT}, bm as (select model from ext order by f1_macro desc, model limit 1), wk as (select label from m where model = (select model from bm) and label <> 4 order by recall, label limit 1) select min(missed) as fewest_missed, max(missed) as most_missed, arg_min(ext.model, missed * 10 + ext.model) as safest, (select label from wk) as weakest_class, round(max(p95_ms) / min(p95_ms), 8) as latency_spread, round(max(p50_ms) / min(p50_ms), 8) as throughput_spread from ext join ls on ext.model = ls.model")
 def _(spark, d):
     c = cm(spark, d)
-    return rounded(R.consequences(M.extended_metrics(c, BENIGN, 500), M.marginals(c), R.latency_summary(latencies(spark, d)), BENIGN), "latency_spread")
+    return rounded(R.consequences(M.extended_metrics(c, BENIGN, 500), M.marginals(c), R.latency_summary(latencies(spark, d)), BENIGN), "latency_spread", "throughput_spread")

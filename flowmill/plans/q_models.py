@@ -11,10 +11,11 @@ from ..operators import attribution, boosting, network
 from ..operators import explain as X
 from ..operators import imbalance as I
 from ..operators import models as ML
+from ..operators import ranking as R
 from ..operators import sampling as S
 from ..operators import tuning
 from ..operators.prepare import balanced_weights
-from ..sources import batch, captures
+from ..sources import batch, bundles, captures
 from .catalog import query
 from .views import flows, table
 
@@ -95,6 +96,22 @@ def _(spark, d):
     return batch.read_predictions(spark, f"{path}/out").select("row_id", "Label", "y_pred", F.round("confidence", 6).alias("confidence"))
 
 
+@query("model_footprint")
+def _(spark, d):
+    """Fitted models, stored: macro-F1 on test rows, bytes of their files, measured latency and throughput."""
+    train, test = _ready(spark, d)
+    test = captures.written(test, "scored-rows")
+    root, durations, scored = captures.scratch_path(spark, "models"), [], []
+    for name in ("logistic_regression", "random_forest"):
+        model = ML.fit(name, train, 10)
+        model.write().save(f"{root}/{name}")
+        stored = PipelineModel.load(f"{root}/{name}")  # what is measured is what is stored
+        durations += [(name, *t) for t in ML.scoring_durations(stored, test)]
+        scored.append(ML.score(stored, test).withColumn("model", F.lit(name)))
+    times = R.latency_summary(spark.createDataFrame(durations, "model string, ms double, n_rows long"))
+    return ML.macro_f1(scored[0].union(scored[1]), LABELS).join(times, "model").join(bundles.artifact_sizes(spark, root), "model")
+
+
 @query("model_search")
 def _(spark, d):
     train, _test = _ready(spark, d)

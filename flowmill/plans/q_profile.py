@@ -72,14 +72,31 @@ def _(spark, d):
     return _rounded(P.discriminative_features(c, ["f_rate", "f_value", "f_user", "f_const"], "label", 3), "score")
 
 
-@query("eda_bundle", f"""with {CLEAN} select 'rows' as metric, '' as name, count(*)::double as value from clean union all select 'label', label, count(*)::double from clean group by label
-union all select 'variance', 'f_value', round(var_samp(f_value::double), 4) from clean union all select 'variance', 'f_rate', round(var_samp(f_rate::double), 4) from clean""")
+@query(
+    "eda_bundle",
+    f"""with {CLEAN}, m as (select label, avg(f_rate::double) as f_rate, avg(f_value::double) as f_value, avg(f_user::double) as f_user, avg(f_const::double) as f_const from clean group by label),
+u as (unpivot m on f_rate, f_value, f_user, f_const into name "column" value v),
+g as (select count(*) filter (where f_rate is null) as f_rate, count(*) filter (where f_value is null) as f_value, count(*) filter (where f_user is null) as f_user, count(*) filter (where f_const is null) as f_const from clean),
+gaps as (unpivot g on f_rate, f_value, f_user, f_const into name "column" value v)
+select 'rows' as metric, '' as name, count(*)::double as value from clean union all select 'label', label, count(*)::double from clean group by label
+union all select 'missing', * from (select "column", v::double as v from gaps order by v desc, "column" limit 3)
+union all select 'variance', 'f_value', round(var_samp(f_value::double), 4) from clean union all select 'variance', 'f_rate', round(var_samp(f_rate::double), 4) from clean
+union all select 'variance', 'f_user', round(var_samp(f_user::double), 4) from clean union all select 'variance', 'f_const', round(var_samp(f_const::double), 4) from clean
+union all select 'correlation', 'f_rate|f_value', round(corr(f_rate::double, f_value::double), 6) from clean union all select 'correlation', 'f_rate|f_user', round(corr(f_rate::double, f_user::double), 6) from clean
+union all select 'correlation', 'f_value|f_user', round(corr(f_value::double, f_user::double), 6) from clean
+union all select 'discriminative', * from (select "column", round(coalesce(case when avg(v) = 0 then null else stddev_samp(v) / abs(avg(v)) end, 0), 6) as score from u group by "column" order by score desc, "column" limit 3)""",
+)
 def _(spark, d):
-    c = clean(spark, d)
+    """Clean and mapped flows in one table: rows, labels, gaps, variances, correlations, the columns that tell classes apart."""
+    cols = ["f_rate", "f_value", "f_user", "f_const"]
+    c = clean(spark, d).select("label", *[F.col(x).cast("double").alias(x) for x in cols])
     rows = c.agg(F.count("*").cast("double").alias("value")).select(F.lit("rows").alias("metric"), F.lit("").alias("name"), "value")
     labels = c.groupBy("label").agg(F.count("*").cast("double").alias("value")).select(F.lit("label"), "label", "value")
-    var = P.stats_by_column(c, ["f_value", "f_rate"], {"v": lambda x: F.round(F.var_samp(x.cast("double")), 4)}).select(F.lit("variance"), "column", "v")
-    return rows.union(labels).union(var)
+    gaps = P.top_k(P.missing_counts(c, cols), "missing", 3, "column").select(F.lit("missing"), "column", F.col("missing").cast("double"))
+    var = P.stats_by_column(c, cols, {"v": lambda x: F.round(F.var_samp(x), 4)}).select(F.lit("variance"), "column", "v")
+    corr = P.correlation_pairs(c, cols[:3]).select(F.lit("correlation"), F.concat_ws("|", "a", "b"), F.round("r", 6))
+    tells = P.discriminative_features(c, cols, "label", 3).select(F.lit("discriminative"), "column", F.round("score", 6))
+    return rows.union(labels).union(gaps).union(var).union(corr).union(tells)
 
 
 @query("class_quartiles", f"with {CLEAN} select label, round(quantile_cont(f_value::double, 0.25), 6) as q1, round(quantile_cont(f_value::double, 0.5), 6) as q2, round(quantile_cont(f_value::double, 0.75), 6) as q3 from clean group by label")

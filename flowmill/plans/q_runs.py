@@ -61,12 +61,16 @@ def _(spark, d):
 
 @query("sample_cache", f"with {CLEAN}, " + nested_sql("clean", "label", "row_id", "(select count(*) // 2 from clean)", 5, "42", "label, count(*) as n", " group by label"))
 def _(spark, d):
-    """A sized sample written under its size and read back; its row count must match."""
-    c = clean(spark, d)
-    size = c.count() // 2
+    """A sized sample cached under its size and loaded again; its row count must match."""
+    inputs = captures.scratch_path(spark, "sample-inputs")
+    clean(spark, d).write.parquet(inputs)
+    size = spark.read.parquet(inputs).count() // 2
     path = captures.scratch_path(spark, f"sample-{size}")
-    S.nested_sample(c, "label", "row_id", size, 5).write.parquet(path)
-    return bundles.require_rows(spark.read.parquet(path), size).groupBy("label").agg(F.count("*").alias("n"))
+    for _ in range(2):
+        sample, built = caches.load_or_build(spark, path, inputs, lambda c: S.nested_sample(c, "label", "row_id", size, 5), n_rows=size)
+    if built:
+        raise ValueError("the sample was built twice from the same inputs")
+    return sample.groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("result_sinks", "select 0::bigint as differing")

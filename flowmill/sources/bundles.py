@@ -51,6 +51,13 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     return files.groupBy("folder").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
+def artifact_sizes(spark: SparkSession, root: str) -> DataFrame:
+    """(model, files, size_bytes) of everything stored below each folder of root; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    below = F.substring_index("path", f"/{root.rstrip('/').rpartition('/')[2]}/", -1)
+    return files.groupBy(F.substring_index(below, "/", 1).alias("model")).agg(F.count("*").alias("files"), F.sum("length").alias("size_bytes"))
+
+
 def join_sides(metrics: DataFrame, sides: list[DataFrame], key: str) -> DataFrame:
     """metrics (a row a model) with the columns of side tables that it lacks; a model without a side row has nulls."""
     for side in sides:
