@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
+from . import forest_cells
 from . import metrics as M
 from .imbalance import resample
 from .prepare import balanced_weights, random_oversample, target_quota
@@ -180,8 +181,12 @@ def search(name: str, train: DataFrame, n_classes: int, labels: list[int], folds
 
 
 def forest_importance(train: DataFrame, features: list[str], n_classes: int, top_k: int | None = None) -> DataFrame:
-    """(feature, importance, rk) of a random forest, best first."""
-    f = fit("random_forest", train, n_classes).stages[-1].featureImportances.toArray()
+    """(feature, importance, rk) of a random forest, best first. Many rows are grouped into cells first, where these are fewer."""
+    found = forest_cells.cells(train)
+    if found is None:
+        f = fit("random_forest", train, n_classes).stages[-1].featureImportances.toArray()
+    else:
+        f = forest_cells.importance(found, lambda df, seed: fit("random_forest", df, n_classes, numTrees=1, bootstrap=False, featureSubsetStrategy="sqrt", seed=seed).stages[-1].featureImportances.toArray())
     rows = train.sparkSession.createDataFrame([(n, float(v)) for n, v in zip(features, f, strict=True)], "feature string, importance double")
     ranked = rows.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))  # one row a feature
     return ranked.where(F.col("rk") <= top_k) if top_k else ranked

@@ -137,12 +137,12 @@ def _lines(spark, d):
 
 @query("rf_importance")
 def _(spark, d):
-    return ML.forest_importance(ML.assemble(_lines(spark, d), LINE_FEATURES, "y").cache(), LINE_FEATURES, 3)
+    return ML.forest_importance(ML.assemble(_lines(spark, d), LINE_FEATURES, "y"), LINE_FEATURES, 3)
 
 
 @query("rfe")
 def _(spark, d):
-    kept = ML.eliminate(_lines(spark, d).select("row_id", "y", *LINE_FEATURES).cache(), LINE_FEATURES, "y", 3, keep=2, step=2)
+    kept = ML.eliminate(_lines(spark, d).select("row_id", "y", *LINE_FEATURES), LINE_FEATURES, "y", 3, keep=2, step=2)
     return spark.createDataFrame([(f,) for f in kept], "feature string")
 
 
