@@ -22,10 +22,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.captures import scratch_path
+from ..sources.captures import scratch_path, written
 
 #: Numbers that a step over leaves and rows may hold at once.
 CELLS = 1 << 21
+#: Cells (features x classes numbers each) up to which their attributions are broadcast.
+BROADCAST_CELLS = 50_000
 
 
 @dataclass
@@ -126,27 +128,49 @@ def tree_values(groups: list[Paths], trees: int, x: np.ndarray, classes: int) ->
     return phi / trees
 
 
+def thresholds(groups: list[Paths], n: int) -> list[np.ndarray]:
+    """The bounds of each of n features in all trees, ascending: rows between the same bounds lie in the same leaves."""
+    found: list[set] = [set() for _ in range(n)]
+    for g in groups:
+        for bounds in (g.low, g.high):
+            for f, v in zip(g.feature.ravel().tolist(), bounds.ravel().tolist(), strict=True):
+                found[f].add(v)
+    return [np.array(sorted(v for v in f if np.isfinite(v))) for f in found]
+
+
 def tree_attribution(model: PipelineModel, classes: list[str], df: DataFrame, features: list[str], row_id: str) -> DataFrame:
     """(row_id, class, expected, prediction, phi): a row each row and class; phi maps each feature to its
     attribution in the model's probability of the class. expected plus all of them is the prediction.
 
     model: a pipeline that ends in a random forest; attributions are of the features as the forest gets
-    them, scaled. Rows with gaps that the pipeline fills are explained as filled. The forest's paths go
+    them, scaled. Rows between the same thresholds of the forest lie in the same leaves: they are one cell,
+    which is explained once. Rows with gaps that the pipeline fills are explained as filled. The forest's paths go
     to every task: their size depends on the number and depth of its trees only."""
     ready = PipelineModel(model.stages[:-1]).transform(df.withColumns({f: F.col(f).cast("double") for f in features})) if len(model.stages) > 1 else df
     forest = model.stages[-1]
     groups, expected, trees = forest_paths(forest_nodes(forest).toPandas())
     scored = forest.transform(ready).select(F.col(row_id).alias("row_id"), vector_to_array("features").alias("x"), vector_to_array("probability").alias("p"))
+    bounds = thresholds(groups, len(features))
+
+    def place(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["x"])
+                at = np.stack([np.searchsorted(b, x[:, j], "left") for j, b in enumerate(bounds)], 1).astype(np.int32)
+                yield pdf.assign(cell=[row.tobytes() for row in at])
 
     def explain(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            phi = tree_values(groups, trees, np.stack(pdf["x"]), len(classes))
-            yield pd.DataFrame({"row_id": pdf["row_id"], "p": pdf["p"], "phi": [list(v.T) for v in phi]})
+            if len(pdf):
+                phi = tree_values(groups, trees, np.stack(pdf["x"]), len(classes))
+                yield pd.DataFrame({"cell": pdf["cell"], "phi": [list(v.T) for v in phi]})
 
     kind = scored.schema["row_id"].dataType.simpleString()
-    found = scored.mapInPandas(explain, f"row_id {kind}, p array<double>, phi array<array<double>>")
+    placed = written(scored.mapInPandas(place, f"row_id {kind}, x array<double>, p array<double>, cell binary"), "placed")
+    cells = placed.groupBy("cell").agg(F.any_value("x").alias("x"))  # equal leaves, equal attributions: each cell is explained once
+    spread = cells.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "cell")
+    phi = written(spread.mapInPandas(explain, "cell binary, phi array<array<double>>"), "cell-phi")
+    found = placed.select("row_id", "p", "cell").join(F.broadcast(phi) if phi.count() <= BROADCAST_CELLS else phi, "cell")
     by_class = F.transform(F.arrays_zip("p", "phi"), lambda c, i: F.struct(i.alias("i"), c["p"].alias("prediction"), c["phi"].alias("phi")))
     names, mean = F.array(*[F.lit(c) for c in classes]), F.array(*[F.lit(float(e)) for e in expected])
     out = found.select("row_id", F.explode(by_class).alias("c"))
