@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..sources.scratch import spread, written
 from . import forest_cells
 from . import metrics as M
 from .imbalance import resample
@@ -82,7 +82,7 @@ def fit_pipeline(name: str, train: DataFrame, features: list[str], label: str, r
     prepared = Pipeline(stages=[gaps, VectorAssembler(inputCols=filled, outputCol="_raw"), scalers[scaler]]).fit(numbered)
     ready = prepared.transform(numbered).select("row_id", "label", "features")
     if imbalance == "oversample":
-        ready = oversampled(ready, "label", "row_id", float(indexer.labels.index(target)), ratio)
+        ready = written(oversampled(ready, "label", "row_id", float(indexer.labels.index(target)), ratio), "oversampled")
     if "smote" in imbalance:
         points = written(ready.select("row_id", vector_to_array("features").alias("x"), "label"), "points")
         grown = resample(points, "label", float(indexer.labels.index(target)), ratio, imbalance)
@@ -139,6 +139,7 @@ def stack(train: DataFrame, test: DataFrame, bases: list[str], n_classes: int, f
         wide = parts[0].select("row_id", "label", F.col("probability").alias("p0"))
         for i, p in enumerate(parts[1:], 1):
             wide = wide.join(p.select("row_id", F.col("probability").alias(f"p{i}")), "row_id")
+        wide = spread(wide, "stacked")  # the bases score once
         joined = F.concat(*[F.col(f"p{i}") for i in range(len(parts))])
         return balanced_weights(wide.select("row_id", array_to_vector(joined).alias("features"), F.col("label").cast("double").alias("label")), "label")
 
@@ -160,7 +161,7 @@ def search(name: str, train: DataFrame, n_classes: int, labels: list[int], folds
     for k, values in SPACES[name].items():
         grid = [g | {k: v} for g in grid for v in values]
     chosen = random.Random(seed).sample(grid, min(n_iter, len(grid)))
-    train = train.coalesce(1 + train.count() // 50_000).cache()  # a fit is many short passes: few small tasks each
+    train = spread(train, "search-rows").cache()  # a fit is many short passes; no task repeats the sorts before
     runs, rows = None, []
     for i, params in enumerate(chosen):
         rows.append((i, str(sorted(params.items()))))
