@@ -89,28 +89,30 @@ class Cells:
 
         def run(batches):
             for pdf in batches:
-                for home, of_home in pdf.groupby("cell"):
-                    for at in range(0, len(of_home), BLOCK_ROWS):
-                        part = of_home.iloc[at : at + BLOCK_ROWS].sort_values("row_id")
-                        x = np.stack(part["x"])
-                        meets = np.zeros((len(part), len(centres)), bool)
-                        if own:
-                            meets[:, home] = True
-                        else:
-                            d = _apart(x, centres)
-                            # enough rows lie within the farthest of these cells
-                            upper = np.where(count > 0, d + far, np.inf)
-                            order = upper.argsort(1)
-                            enough = np.take_along_axis(np.broadcast_to(count, d.shape), order, 1).cumsum(1) > k
-                            sure = np.where(enough.any(1), np.take_along_axis(upper, np.take_along_axis(order, enough.argmax(1)[:, None], 1), 1)[:, 0], np.inf)
-                            bound = np.fmin(part["bound"].to_numpy(float), sure)
-                            meets = np.maximum(d - far, near - d) <= bound[:, None] + slack
-                            meets[:, home] = False
-                        meets &= count > 0
-                        for c in np.flatnonzero(meets.any(0)):
-                            met = meets[:, c]
-                            ids, xs = part["row_id"].to_numpy()[met].tobytes(), x[met].tobytes()
-                            yield pd.DataFrame({"cell": np.int32(c), "part": np.arange(parts[c], dtype=np.int32), "ids": [ids] * parts[c], "xs": [xs] * parts[c]})
+                # rows of neighbouring cells share a block, so that each block of rows meets few large blocks of queries
+                pdf = pdf.sort_values(["cell", "row_id"])
+                for at in range(0, len(pdf), BLOCK_ROWS):
+                    part = pdf.iloc[at : at + BLOCK_ROWS]
+                    x, home = np.stack(part["x"]), part["cell"].to_numpy()
+                    meets = np.zeros((len(part), len(centres)), bool)
+                    if own:
+                        meets[np.arange(len(part)), home] = True
+                    else:
+                        d = _apart(x, centres)
+                        # enough rows lie within the farthest of these cells
+                        upper = np.where(count > 0, d + far, np.inf)
+                        order = upper.argsort(1)
+                        enough = np.take_along_axis(np.broadcast_to(count, d.shape), order, 1).cumsum(1) > k
+                        sure = np.where(enough.any(1), np.take_along_axis(upper, np.take_along_axis(order, enough.argmax(1)[:, None], 1), 1)[:, 0], np.inf)
+                        bound = np.fmin(part["bound"].to_numpy(float), sure)
+                        meets = np.maximum(d - far, near - d) <= bound[:, None] + slack
+                        meets[np.arange(len(part)), home] = False
+                    meets &= count > 0
+                    for c in np.flatnonzero(meets.any(0)):
+                        met = np.flatnonzero(meets[:, c])
+                        met = met[np.argsort(part["row_id"].to_numpy()[met], kind="stable")]
+                        ids, xs = part["row_id"].to_numpy()[met].tobytes(), x[met].tobytes()
+                        yield pd.DataFrame({"cell": np.int32(c), "part": np.arange(parts[c], dtype=np.int32), "ids": [ids] * parts[c], "xs": [xs] * parts[c]})
 
         return queries.mapInPandas(run, "cell int, part int, ids binary, xs binary")
 
@@ -153,6 +155,11 @@ def nearest(queries: DataFrame, others: DataFrame, k: int) -> DataFrame:
     return search(queries, others, k)[0]
 
 
+def _query_parts(queries: DataFrame) -> int:
+    """So many partitions that one holds two blocks or more."""
+    return max(1, min(2 * queries.sparkSession.sparkContext.defaultParallelism, queries.count() // (2 * BLOCK_ROWS)))
+
+
 def search(queries: DataFrame, others: DataFrame, k: int) -> tuple[DataFrame, DataFrame, Cells]:
     """nearest(), the visits beyond the queries' own cells, and the cells."""
     centres = pivots(others)
@@ -161,10 +168,14 @@ def search(queries: DataFrame, others: DataFrame, k: int) -> tuple[DataFrame, Da
         none = f"array<struct<d:double,o:bigint,tag:{kind}>>"
         return queries.where("false").select("row_id", F.lit(None).cast(none).alias("n")), queries.where("false"), None
     cells = Cells(others, centres)
-    homed = written(cells._placed(queries.drop("tag")).repartition("cell", F.pmod(F.xxhash64("row_id"), F.lit(16))), "query-cells")
+    # a cell of many blocks is several tasks' work
+    share = F.pmod(F.xxhash64("row_id"), F.array(*[F.lit(1 + int(p) // 8) for p in cells.parts])[F.col("cell")])
+    homed = written(cells._placed(queries.drop("tag")).repartition(_query_parts(queries), "cell", share), "query-cells")
     best = F.slice(F.array_sort(F.collect_list(F.struct("d", "o", "tag"))), 1, k).alias("n")  # k a block that the query meets
     own = written(cells.met(cells.visits(homed, k, own=True), k).groupBy("row_id").agg(best), "own-cells")
     bound = own.where(F.size("n") >= k).select("row_id", F.sqrt(F.element_at("n", k)["d"]).alias("bound"))
-    visits = cells.visits(homed.join(bound, "row_id", "left"), k, own=False)
+    # by cell again, which the join by row_id has undone: else each task has rows of all cells
+    bounded = written(homed.join(bound, "row_id", "left").repartition(_query_parts(queries), "cell", share), "bounded-cells")
+    visits = cells.visits(bounded, k, own=False)
     rest = cells.met(visits, k)
     return own.select("row_id", F.explode("n").alias("e")).select("row_id", "e.*").unionByName(rest).groupBy("row_id").agg(best), visits, cells

@@ -57,3 +57,12 @@ def test_odd_tables(spark):
     assert N.nearest(own, own, 3).count() == 0
     assert N.nearest(own, own.where("false"), 3).count() == 0
     assert I.nearest_votes(df.where("false"), "y", 3).count() == 0
+
+
+def test_queries_of_many_cells_share_a_block(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL_ROWS", 20)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=24)) for i in range(600)]  # no clusters: each query meets most cells
+    own = N.usable(points(spark, rows), F.col("y"))
+    _, visits, cells = N.search(own, own, 5)
+    assert visits.count() <= 4 * len(cells.centres)  # was about a row for each two cells
