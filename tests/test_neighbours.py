@@ -65,4 +65,4 @@ def test_queries_of_many_cells_share_a_block(spark, monkeypatch):
     rows = [(i, rng.normal(size=24)) for i in range(600)]  # no clusters: each query meets most cells
     own = N.usable(points(spark, rows), F.col("y"))
     _, visits, cells = N.search(own, own, 5)
-    assert visits.count() <= 4 * len(cells.centres)  # was about a row for each two cells
+    assert visits.count() <= 4 * len(cells.centres)
