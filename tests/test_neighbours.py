@@ -66,3 +66,23 @@ def test_queries_of_many_cells_share_a_block(spark, monkeypatch):
     own = N.usable(points(spark, rows), F.col("y"))
     _, visits, cells = N.search(own, own, 5)
     assert visits.count() <= 4 * len(cells.centres)
+
+
+@pytest.fixture
+def unclustered(spark, monkeypatch):
+    """2,000 rows of 24 numbers (0.4 MB) in 51 cells, each of which meets most cells."""
+    monkeypatch.setattr(N, "CELL_ROWS", 40)
+    rng = np.random.default_rng(10)
+    return [(i, rng.normal(size=24)) for i in range(2000)]
+
+
+def test_visits_are_not_broadcast(spark, unclustered):
+    more = unclustered + [(i + 2000, 1.1 * v) for i, v in unclustered]
+    rows = N.usable(points(spark, more), F.col("y"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "4m")  # a table of the visits has more, though fewer rows than the blocks that they meet
+    try:
+        got = {r["row_id"]: [e["o"] for e in r["n"]] for r in N.nearest(rows.where("row_id % 16 = 0"), rows, 3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert len(got) == 250
+    assert {i: got[i] for i in range(0, 4000, 160)} == brute(more[::160], more, 3)
