@@ -169,6 +169,7 @@ def _(spark, d):
     """Synthetic rows of class 3 joined to the rest; rows that lose their neighbours' vote are listed."""
     p = _points(spark, d)
     grown = p.unionByName(I.smote(p, "y", 3, 1).select((-1 - F.col("seed_id")).alias("row_id"), "x", F.lit(3).cast("int").alias("y")))
+    grown = written(grown, "grown")  # read several times
     return I.edited_out(I.nearest_votes(grown, "y", 3))
 
 

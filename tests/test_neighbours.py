@@ -86,3 +86,16 @@ def test_visits_are_not_broadcast(spark, unclustered):
         spark.conf.unset("spark.sql.maxBroadcastTableSize")
     assert len(got) == 250
     assert {i: got[i] for i in range(0, 4000, 160)} == brute(more[::160], more, 3)
+
+
+def test_queries_are_sent_once_a_group(spark, unclustered):
+    own = N.usable(points(spark, unclustered), F.col("y"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    shuffled = lambda: store.executorList(False).apply(0).totalShuffleWrite()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        assert N.nearest(own, own, 3).count() == 2000
+        assert shuffled() - before < 8e6  # a copy of the queries a cell has 20 MB
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
