@@ -28,8 +28,8 @@ GROUP_ROWS = 131_072
 SAMPLE, PIVOTS, CELL_ROWS = 4096, 256, 512
 #: Distances are rounded: bounds are widened by this share of the largest.
 SLACK = 1e-9
-#: Queries compared at a time (with 2,048 rows: 4 MB), and pairs whose distances are found by differences at a time.
-AT_ONCE, EXACT = 256, 1 << 15
+#: Queries compared at a time (with 2,048 rows: 4 or 8 MB), and pairs whose distances are found by differences at a time.
+AT_ONCE, EXACT = 512, 1 << 15
 NONE = np.iinfo(np.int64).max
 
 
@@ -74,9 +74,13 @@ class Held:
         self.blocks, self.middle = blocks, middle
         self.ready = []
         for _, y, _ in blocks:
-            y = y - middle
-            size = (y * y).sum(1)
-            self.ready.append((np.ascontiguousarray(np.column_stack([-2 * y, size]).T), math.sqrt(size.max(initial=0))))
+            ready = self._ready(y)
+            with np.errstate(over="ignore"):
+                self.ready.append((ready.astype(np.float32), math.sqrt(ready[-1].max(initial=0))))
+
+    def _ready(self, y: np.ndarray) -> np.ndarray:
+        y = y - self.middle
+        return np.ascontiguousarray(np.column_stack([-2 * y, (y * y).sum(1)]).T)
 
     def closest(self, ids: np.ndarray, x: np.ndarray, most: np.ndarray, lower: np.ndarray, slack: float, k: int) -> tuple:
         """(d, o, place) of each query's k nearest rows but itself that are no further than `most` (squared); of
@@ -85,17 +89,28 @@ class Held:
         best = np.full((len(x), k), np.inf), np.full((len(x), k), NONE), np.full((len(x), k), -1)
         shifted = np.column_stack([x - self.middle, np.ones(len(x))])
         size = (shifted[:, :-1] ** 2).sum(1)
+        with np.errstate(over="ignore"):
+            short = shifted.astype(np.float32)
+        # the same memory again and again, which is much cheaper than new pages for each block
+        room = AT_ONCE * max((len(y) for _, y, _ in self.blocks), default=0)
+        products, below = np.empty(8 * room, np.uint8), np.empty(room, bool)
         for j in lower.mean(0).argsort():  # near blocks first, so that the bounds are soon narrow
             (o_ids, y, place), (ready, largest) = self.blocks[j], self.ready[j]
             met = np.flatnonzero(lower[:, j] <= np.sqrt(most) + slack)
             for at in range(0, len(met), AT_ONCE):
                 i = met[at : at + AT_ONCE]
-                near = shifted[i] @ ready  # squared distances less the query's own size, rounded
-                off = 4 * (x.shape[1] + 4) * 2.0**-52 * (math.sqrt(size[i].max()) + largest) ** 2
-                limit = most[i] - size[i] + off
+                shape, scale = (len(i), len(y)), 4 * (x.shape[1] + 4) * (math.sqrt(size[i].max()) + largest) ** 2
+                # single precision picks candidates where its error is small against the distances; they are compared exactly below
+                kind, off = np.float32, scale * 2.0**-23 + 1e-30
+                if not (scale < 1e30 and off <= 0.01 * np.median(most[i])):
+                    kind, off = np.float64, scale * 2.0**-52
+                left, right = (short[i], ready) if kind is np.float32 else (shifted[i], self._ready(y))
+                # squared distances less the query's own size, rounded
+                near = np.matmul(left, right, out=products[: len(i) * len(y) * left.itemsize].view(kind).reshape(shape))
+                limit = (most[i] - size[i] + off).astype(kind)
                 if len(y) > k + 1 and len(free := np.flatnonzero(np.isinf(limit))):
-                    limit[free] = np.partition(near[free], k, axis=1)[:, k] + 2 * off  # k + 1, as one may be the query itself
-                hits = np.flatnonzero(near <= limit[:, None])
+                    limit[free] = np.partition(near[free], k, axis=1)[:, k] + kind(2 * off)  # k + 1, as one may be the query itself
+                hits = np.flatnonzero(np.less_equal(near, limit[:, None], out=below[: len(i) * len(y)].reshape(shape)))
                 for part in range(0, len(hits), EXACT):
                     q, o = np.divmod(hits[part : part + EXACT], len(y))
                     q = i[q]

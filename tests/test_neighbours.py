@@ -99,3 +99,23 @@ def test_queries_are_sent_once_a_group(spark, unclustered):
         assert shuffled() - before < 8e6  # a copy of the queries a cell has 20 MB
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("kind", ["floats", "few values", "far from zero", "tiny", "huge", "near copies"])
+def test_blocks_compare_exactly(kind):
+    rng = np.random.default_rng(11)
+    for n, dims, k in ((1, 3, 2), (5, 2, 5), (90, 6, 3), (300, 17, 4)):
+        y = rng.integers(0, 3, (n, dims)).astype(float) if kind == "few values" else rng.normal(size=(n, dims))
+        y = y * {"tiny": 1e-30, "huge": 1e25}.get(kind, 1) + (1e9 if kind == "far from zero" else 0)
+        if kind == "near copies":
+            y[n - n // 2 :] = y[: n // 2] * (1 + 1e-14)
+        ids, cut = np.arange(n) * 7, n // 3
+        held = N.Held([(ids[a:b], y[a:b], a) for a, b in ((0, cut), (cut, n)) if b > a], y.mean(0))
+        most = np.full(n, np.inf)
+        for _ in range(2):  # without and with bounds
+            d, o, place = held.closest(ids, y, most, np.zeros((n, len(held.blocks))), 0.0, k)
+            for i in range(n):
+                apart = ((y - y[i]) ** 2).sum(1)
+                want = [j for j in np.lexsort((ids, apart)) if j != i][:k]
+                assert place[i][: len(want)].tolist() == want and o[i][: len(want)].tolist() == ids[want].tolist()
+            most = d[:, -1]
